@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, simhash, substrings
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": mixing.query, "op3_format_chats": chat.query}
+    return {"op1_mix_sources": mixing.query, "op3_format_chats": chat.query, "op4_simhash_dedup": simhash.query, "op8_substring_dedup": substrings.query}
 
 
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": mixing.SQL, "op3_format_chats": chat.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op3_format_chats": chat.SQL, "op8_substring_dedup": substrings.SQL}
