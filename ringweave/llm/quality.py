@@ -25,7 +25,7 @@ from .common import fold, pieces, utf8
 from .words import U, Words
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
-SAMPLE, EPOCHS, RATE, SEED = 4000, 8, 0.6, 7
+SAMPLE, EPOCHS, RATE, SEED = 4000, 5, 0.3, 7
 PIECE = 1 << 20
 
 
