@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, quality, simhash, substrings
+from . import chat, langid, mixing, quality, simhash, substrings, toxicity
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": mixing.query, "op3_format_chats": chat.query, "op4_simhash_dedup": simhash.query, "op5_language_id": langid.query, "op6_quality": quality.query, "op8_substring_dedup": substrings.query}
+    return {"op1_mix_sources": mixing.query, "op2_toxicity": toxicity.query, "op3_format_chats": chat.query, "op4_simhash_dedup": simhash.query, "op5_language_id": langid.query, "op6_quality": quality.query, "op8_substring_dedup": substrings.query}
 
 
 def oracle_sql() -> dict:
