@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, quality, simhash, substrings, toxicity
+from . import ann, chat, langid, mixing, quality, simhash, substrings, toxicity
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": mixing.query, "op2_toxicity": toxicity.query, "op3_format_chats": chat.query, "op4_simhash_dedup": simhash.query, "op5_language_id": langid.query, "op6_quality": quality.query, "op8_substring_dedup": substrings.query}
+    return {"op1_mix_sources": mixing.query, "op2_toxicity": toxicity.query, "op3_format_chats": chat.query, "op4_simhash_dedup": simhash.query, "op5_language_id": langid.query, "op6_quality": quality.query, "op8_substring_dedup": substrings.query, "op10_nearest": ann.query}
 
 
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": mixing.SQL, "op3_format_chats": chat.SQL, "op8_substring_dedup": substrings.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op3_format_chats": chat.SQL, "op8_substring_dedup": substrings.SQL, "op10_nearest": ann.SQL}
