@@ -115,20 +115,20 @@ def scores(data: np.ndarray, offsets: np.ndarray, model) -> np.ndarray:
     return out
 
 
-def _score(model):
+def _score(model, text_col, out):
     def run(batches):
         for batch in batches:
-            score = scores(*utf8(batch.column("text")), model.value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(score)], [*batch.schema.names, "score"])
+            score = scores(*utf8(batch.column(text_col)), model.value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(score)], [*batch.schema.names, out])
 
     return run
 
 
-def score(rows: DataFrame, model) -> DataFrame:
-    """`rows`, which have a column `text`, with their scores."""
+def score(rows: DataFrame, model, *, text_col="text", out="score") -> DataFrame:
+    """`rows` with the score of their text in a column `out`, which they must not have yet."""
     sent = rows.sparkSession.sparkContext.broadcast(model)  # one number for each of BUCKETS
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_score(sent), f"{fields}, score double")
+    return rows.mapInArrow(_score(sent, text_col, out), f"{fields}, `{out}` double")
 
 
 def learned(spark, docs: DataFrame, sf_dir: str):

@@ -51,14 +51,15 @@ def _fingerprints(width: int):
                 for a in range(0, len(h), 1 << 16):
                     ones += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 out[k] = bits[2 * ones > len(h)].sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(out.view(np.int64))], ["id", "key", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", width=3) -> DataFrame:
-    """id, fp: a signed 64-bit fingerprint for each row."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(width), f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    """id, key (xxhash64 of the text), fp: a signed 64-bit fingerprint for each row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints(width), f"id {docs.schema[id_col].dataType.simpleString()}, key long, fp long")
 
 
 class BKTree:
@@ -184,14 +185,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width=3, radius=RADIUS, shard=SHARD) -> DataFrame:
-    """id, fp, component_id (the smallest id reachable over links) for each row."""
+    """id, key (xxhash64 of the text), fp, root (one per component), component_id (the smallest id reachable over links) for each row."""
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "simhash-prints")
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     reach = components(links(nodes.select("fp"), radius, shard))
     rooted = nodes.join(reach.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
-    return prints.join(named.hint("merge"), "fp").select("id", "fp", "component_id")
+    named = rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "root", "component_id")
+    return prints.join(named.hint("merge"), "fp").select("id", "key", "fp", "root", "component_id")
+
+
+def deduplicated(docs: DataFrame, near: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """`docs` with one row of each component of near_duplicates(): the one with the smallest id, a row without an id only where none has one."""
+    stays = near.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
+    kept = docs.withColumn("_text_key", F.xxhash64(F.col(text_col))).join(stays.hint("merge"), (F.col("_text_key") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_text_key", id_col]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
