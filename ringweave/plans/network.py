@@ -53,10 +53,13 @@ class Network:
 
     @cached_property
     def raw(self) -> DataFrame:
-        """tx_id, row_seq, src_id, dst_id, amount, timestamp."""
+        return self.raw_of(self.read("orders"))
+
+    def raw_of(self, orders: DataFrame) -> DataFrame:
+        """tx_id, row_seq, src_id, dst_id, amount, timestamp of orders, which may be a stream."""
         o, c, p = F.col("o_orderkey"), F.col("o_custkey"), self.communities
         seconds = (o % 60) * 86400 + (o * 7919) % (3600 * (1 + (c % p) % 6))
-        return self.read("orders").select(
+        return orders.select(
             F.concat(F.lit("tx_"), o).alias("tx_id"),
             o.alias("row_seq"),
             F.concat(F.lit("acc_"), c).alias("src_id"),

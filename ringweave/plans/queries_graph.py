@@ -32,12 +32,20 @@ def edges_of(net: Network) -> DataFrame:
     return graph.project(net.accounts, net.links, net.transactions)
 
 
+def once(net: Network, name: str, make) -> DataFrame:
+    """A table that several parts of a query read: written when first asked for."""
+    kept = net.__dict__.setdefault("_kept", {})
+    if name not in kept:
+        kept[name] = communities.cut(make(), name)
+    return kept[name]
+
+
 def inside_of(net: Network) -> DataFrame:
-    return graph.internal(edges_of(net), net.membership)
+    return once(net, "inside", lambda: graph.internal(edges_of(net), net.membership))
 
 
 def features_of(net: Network) -> DataFrame:
-    return features.community_features(net.membership, inside_of(net), net.transactions, net.merchants)
+    return once(net, "features", lambda: features.community_features(net.membership, inside_of(net), net.transactions, net.merchants))
 
 
 def labels_of(net: Network) -> DataFrame:
@@ -45,7 +53,7 @@ def labels_of(net: Network) -> DataFrame:
 
 
 def evidence_of(net: Network) -> DataFrame:
-    return evidence.community_evidence(net.membership, inside_of(net), net.transactions, features_of(net))
+    return once(net, "evidence", lambda: evidence.community_evidence(net.membership, inside_of(net), net.transactions, features_of(net)))
 
 
 # --- hashes and enrichment -------------------------------------------------

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_graph
+from . import queries_graph, queries_marts
 
-MODULES = [queries_graph]
+MODULES = [queries_graph, queries_marts]
 
 
 def queries() -> dict:
