@@ -35,11 +35,12 @@ def register(cases: DataFrame) -> DataFrame:
     """measure, key, n: cases by status and disposition, exports, ready dossiers."""
     rows = cases.join(readiness(cases), "case_id")
     disposition = F.coalesce("decision.disposition", F.lit("PENDING"))
+    mark = lambda measure, key: F.struct(F.lit(measure).alias("measure"), key.alias("key"))
     marks = F.array(
-        F.struct(F.lit("status").alias("measure"), F.col("status").alias("key")),
-        F.struct(F.lit("disposition"), disposition),
-        F.when(F.col("sar_exported"), F.struct(F.lit("sar"), F.lit("exported"))),
-        F.when(F.col("dossier_status") == "READY", F.struct(F.lit("dossier"), F.lit("READY"))),
+        mark("status", F.col("status")),
+        mark("disposition", disposition),
+        F.when(F.col("sar_exported"), mark("sar", F.lit("exported"))),
+        F.when(F.col("dossier_status") == "READY", mark("dossier", F.lit("READY"))),
     )
     return rows.select(F.explode(F.array_compact(marks)).alias("m")).groupBy("m.measure", "m.key").agg(F.count("*").alias("n"))
 

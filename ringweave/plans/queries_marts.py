@@ -469,7 +469,7 @@ ORACLES["stream_enrich"] = base.ORACLES["enrich_tx"]
 @register("stream_enrich")
 def stream_enrich(net: Network) -> DataFrame:
     spark = net.spark
-    orders = spark.readStream.schema(net.read("orders").schema).parquet(f"{net.sf_dir}/orders.parquet")
+    orders = spark.readStream.schema(net.read("orders").schema).parquet(f"{net.sf_dir}/orders.parque[t]")  # a pattern, as the table may be one file
     members = labels.ring_members(net.rings)
     patterns = enrich.first_patterns(members)
     profiles = enrich.ring_profiles(net.rings.select("pattern_id"), net.n)
