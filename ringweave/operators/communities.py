@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.hashing import modulo, stable_int
-from .graph import mirrored, parties
+from .graph import mirrored
 
 HOUR = 3600.0
 
@@ -48,7 +48,7 @@ def structure(membership: DataFrame, inside: DataFrame) -> DataFrame:
 
 def activity(transactions: DataFrame) -> DataFrame:
     """account_id, timestamp: distinct times at which an account sent or received."""
-    return parties(transactions).select("account_id", "timestamp").distinct()
+    return transactions.select(F.explode(F.array("src_account_id", "dst_account_id")).alias("account_id"), "timestamp").distinct()
 
 
 def gaps(times: DataFrame, key: str) -> DataFrame:
@@ -108,7 +108,7 @@ def _moves(state: DataFrame, both: DataFrame, m2: float, resolution: float) -> D
     return scored.join(own, "node").filter("best IS NOT NULL").select("node", "comm", F.col("best.t").alias("target"), gain.alias("gain")).filter(F.col("gain") > 1e-9)
 
 
-def detect(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42, rounds: int = 30, least: float = 1e-6) -> DataFrame:
+def detect(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42, rounds: int = 20, least: float = 1e-4) -> DataFrame:
     """account_id, community_id of a partition with high modularity; nodes (account_id) without edges are alone.
 
     Levels of moves, then contraction, until nothing changes. A round first tries
