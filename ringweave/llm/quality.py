@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, pieces, utf8
+from .common import fold, pieces, stored, utf8
 from .words import U, Words
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
@@ -95,8 +95,11 @@ def learn(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="l
     """The model, learned from `sample` of the labelled rows at most."""
     rows = labelled.select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("place"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)")
     cut = rows.select("place").orderBy("place").limit(sample).agg(F.max("place")).first()[0]
-    chosen = rows.filter(F.col("place") <= F.lit(cut)).mapInArrow(_sample, "place string, label int, ids binary, weights binary").orderBy("place").limit(sample).collect()
-    return train([(r["label"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in chosen if r["ids"]])
+    chosen = rows.filter(F.col("place") <= F.lit(cut)).mapInArrow(_sample, "place string, label int, ids binary, weights binary")
+    # a partition at a time, so that the driver's JVM never holds the whole sample
+    found = [(r["place"], r["label"], r["ids"], r["weights"]) for r in stored(chosen, "quality-sample").toLocalIterator()]
+    found.sort()
+    return train([(label, np.frombuffer(ids, np.int32), np.frombuffer(weights, np.float32)) for _, label, ids, weights in found[:sample] if ids])
 
 
 def scores(data: np.ndarray, offsets: np.ndarray, model) -> np.ndarray:
