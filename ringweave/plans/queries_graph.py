@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import hashing
 from ..operators import communities, enrich, evidence, features, graph, labels
-from .network import METHODS, Network, h, sql
+from .network import Network, h, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,10 +80,6 @@ def _enriched(net: Network) -> DataFrame:
     return enrich.enrich(net.raw, net.accounts, enrich.assignments(net.accounts, net.n, profiles, patterns), net.n, profiles, patterns)
 
 
-def _h(key, salt):
-    return h(key, salt)
-
-
 _FLOAT = lambda key, salt: f"({h(key, salt)}::DOUBLE / {TWO_64})"
 _ENRICH = f"""
 prof AS (SELECT DISTINCT pattern_id, 'dev_ring_' || pattern_id AS rd, 'ip_ring_' || pattern_id AS ri, CASE WHEN {_FLOAT("pattern_id", "42-has-ins")} < 0.5 THEN 'ins_ring_' || pattern_id END AS rn,
@@ -254,11 +250,11 @@ def ring_labels_low(net: Network) -> DataFrame:
 
 @register(
     "feature_quality",
-    "SELECT feature, count(*) FILTER (v IS NULL)::BIGINT AS missing, round(avg(v) FILTER (is_positive = 1), 4) AS mean_positive, round(avg(v) FILTER (is_positive = 0), 4) AS mean_negative, round((avg(v) FILTER (is_positive = 1)) / nullif(avg(v) FILTER (is_positive = 0), 0), 4) AS ratio FROM long_ JOIN ring_labels USING (community_id) GROUP BY feature",
+    "SELECT feature, count(*) FILTER (v IS NULL)::BIGINT AS missing, round(avg(v) FILTER (is_positive = 1), 6) AS mean_positive, round(avg(v) FILTER (is_positive = 0), 6) AS mean_negative, round((avg(v) FILTER (is_positive = 1)) / nullif(avg(v) FILTER (is_positive = 0), 0), 6) AS ratio FROM long_ JOIN ring_labels USING (community_id) GROUP BY feature",
     _FEATURES + "," + _LABELS.format(t="0.1") + ", long_ AS (" + " UNION ALL ".join(f"SELECT community_id, '{c}' AS feature, {c} AS v FROM features" for c in features.FEATURES) + ")",
 )
 def feature_quality(net: Network) -> DataFrame:
-    return r(features.quality_report(features_of(net), labels.community_labels(net.membership, labels.ring_members(net.rings), 0.1)), 4)
+    return r(features.quality_report(features_of(net), labels.community_labels(net.membership, labels.ring_members(net.rings), 0.1)), 6)
 
 
 # --- evidence ----------------------------------------------------------------
