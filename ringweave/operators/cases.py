@@ -52,7 +52,7 @@ def targets(cases: DataFrame) -> DataFrame:
 def in_open_case(ids: DataFrame, cases: DataFrame) -> DataFrame:
     """Rows of ids (id) that are a target of a case that isn't closed; upper and lower case are the same."""
     open_ = targets(cases).filter("status <> 'CLOSED'").select(F.lower("id").alias("key")).distinct()
-    return ids.join(open_, F.lower("id") == F.col("key"), "left_semi")
+    return ids.join(open_.hint("merge"), F.lower("id") == F.col("key"), "left_semi")
 
 
 def totals(cases: DataFrame, transactions: DataFrame, features: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def totals(cases: DataFrame, transactions: DataFrame, features: DataFrame, evide
     volume = tx.select("case_id", "amount").unionByName(com.select("case_id", "amount")).groupBy("case_id").agg(F.sum("amount").alias("volume"))
     kinds = rows.groupBy("case_id").agg(*(F.count_if(F.col("type") == k).alias(k.lower() + "_targets") for k in ENTITIES))
     found = rows.join(evidence.select(F.col("entity_type").alias("type"), F.col("entity_id").alias("id"), "severity"), ["type", "id"]).groupBy("case_id").agg(*(F.count_if(F.col("severity") == s).alias(s.lower() + "_evidence") for s in ("HIGH", "MEDIUM", "LOW")))
-    return cases.select("case_id").join(kinds, "case_id", "left").join(volume, "case_id", "left").join(found, "case_id", "left").na.fill(0)
+    return cases.select("case_id").join(kinds.hint("merge"), "case_id", "left").join(volume.hint("merge"), "case_id", "left").join(found.hint("merge"), "case_id", "left").na.fill(0)
 
 
 def snapshots(cases: DataFrame, scores: DataFrame, features: DataFrame, at: str) -> DataFrame:

@@ -64,7 +64,7 @@ def gaps(times: DataFrame, key: str) -> DataFrame:
 
 def activity_stats(membership: DataFrame, transactions: DataFrame) -> DataFrame:
     """Per community over the distinct times of its members: count, active hours, median gap, span, compression, first and last."""
-    times = activity(transactions).join(membership, "account_id").select("community_id", "timestamp").distinct()
+    times = activity(transactions).join(membership.hint("merge"), "account_id").select("community_id", "timestamp").distinct()
     basic = times.groupBy("community_id").agg(F.count("*").alias("tx_count"), F.countDistinct(F.date_trunc("hour", "timestamp")).alias("active_hours"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
     medians = gaps(times, "community_id").groupBy("community_id").agg(F.median("gap").alias("median_gap_hours"))
     span = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / F.lit(1e6) / HOUR

@@ -60,7 +60,7 @@ def assignments(accounts: DataFrame, n_accounts: int, profiles: DataFrame | None
     )
     if profiles is None or patterns is None:
         return out
-    ringed = out.join(patterns.join(profiles, "pattern_id"), "account_id", "left")
+    ringed = out.join(patterns.join(profiles.hint("merge"), "pattern_id").hint("merge"), "account_id", "left")
 
     def adopt(name: str, salt: str, ring: str, column: str) -> Column:
         chosen = stable_float(a, F.concat(F.lit(f"{seed}-adopt-{salt}|"), "pattern_id")) < F.col(f"p_{name}")
@@ -76,7 +76,7 @@ def link_type(entity: Column) -> Column:
 def enrich(raw: DataFrame, accounts: DataFrame, assigned: DataFrame, n_accounts: int, profiles: DataFrame, patterns: DataFrame) -> DataFrame:
     """Raw transactions (tx_id, src_id, dst_id, amount, timestamp) with the observable columns of the ledger. Stateless: works on streams too."""
     n, r = pools(n_accounts), F.col("r")
-    ringed = assigned.join(accounts.select("account_id", "creation_date"), "account_id").join(patterns.join(profiles, "pattern_id"), "account_id", "left").withColumnRenamed("account_id", "src_id")
+    ringed = assigned.join(accounts.select("account_id", "creation_date"), "account_id").join(patterns.join(profiles.hint("merge"), "pattern_id").hint("merge"), "account_id", "left").withColumnRenamed("account_id", "src_id")
     rows = raw.join(ringed, "src_id", "left").withColumn("r", halves(F.coalesce("tx_id", F.lit("")), "tx"))
     hashed = stable_int(F.coalesce("tx_id", F.lit("")), "tx")
     spare = lambda prefix, size: F.concat(F.lit(prefix), F.lpad(modulo(hashed, size).cast("string"), 4, "0"))
@@ -110,7 +110,7 @@ def enrich(raw: DataFrame, accounts: DataFrame, assigned: DataFrame, n_accounts:
 def attach_labels(ledger: DataFrame, patterns: DataFrame) -> DataFrame:
     """ledger with pattern_id ('' for none; both sides' patterns, sorted, if they differ) and is_ring_member, for evaluation only."""
     side = lambda name: patterns.select(F.col("account_id").alias(f"{name}_account_id"), F.col("patterns").alias(name))
-    both = ledger.join(side("src"), "src_account_id", "left").join(side("dst"), "dst_account_id", "left")
+    both = ledger.join(side("src").hint("merge"), "src_account_id", "left").join(side("dst").hint("merge"), "dst_account_id", "left")
     parts = lambda c: F.coalesce(F.split(F.col(c), r"\|"), F.expr("array()").cast("array<string>"))
     merged = F.array_join(F.array_sort(F.array_union(parts("src"), parts("dst"))), "|")
     return both.withColumn("pattern_id", merged).withColumn("is_ring_member", F.col("pattern_id") != "").drop("src", "dst")

@@ -77,8 +77,8 @@ def burst_windows(rows: DataFrame, key: str, seconds: int) -> DataFrame:
 def bursts(rows: DataFrame, key: str, entity_type: str) -> DataFrame:
     """Evidence for the fullest hour, or failing that the fullest day, of each key. Rows (key, timestamp, transaction_id)."""
     hour = burst_windows(rows, key, 3600).filter("total >= 4").withColumn("severity", steps(F.col("n"), (15, 8), ("HIGH", "MEDIUM"))).filter("severity IS NOT NULL")
-    day = burst_windows(rows, key, 86400).filter("total >= 4").join(hour.select(key), key, "left_anti").withColumn("severity", F.when(F.col("n") >= 4, "LOW"))
-    inside = rows.join(hour.select(key, "start", "end"), key).filter(F.col("timestamp").between(F.col("start"), F.col("end")))
+    day = burst_windows(rows, key, 86400).filter("total >= 4").join(hour.select(key).hint("merge"), key, "left_anti").withColumn("severity", F.when(F.col("n") >= 4, "LOW"))
+    inside = rows.join(hour.select(key, "start", "end").hint("merge"), key).filter(F.col("timestamp").between(F.col("start"), F.col("end")))
     first = F.row_number().over(W.partitionBy(key).orderBy("timestamp", "transaction_id"))
     support = inside.withColumn("k", first).filter(F.col("k") <= SUPPORT).groupBy(key).agg(F.array_sort(F.collect_set("transaction_id")).alias("support"))
     seconds = (F.unix_micros("end") - F.unix_micros("start")) / F.lit(1e6)
@@ -88,7 +88,7 @@ def bursts(rows: DataFrame, key: str, entity_type: str) -> DataFrame:
         metrics = {"transaction_count": F.col("n"), "window_length": length(unit), "start": F.date_format("start", "yyyy-MM-dd HH:mm:ss"), "end": F.date_format("end", "yyyy-MM-dd HH:mm:ss")}
         return item(found, entity_type, F.col(key), "TEMPORAL_BURST", F.col("severity"), F.lit(window), F.format_string("%d transactions within %s", "n", F.lit(window)), support, metrics, F.col("start"))
 
-    return rows_of(hour.join(support, key, "left"), "60min", 60.0, F.coalesce("support", _none())).unionByName(rows_of(day, "24h", 3600.0, _none()))
+    return rows_of(hour.join(support.hint("merge"), key, "left"), "60min", 60.0, F.coalesce("support", _none())).unionByName(rows_of(day, "24h", 3600.0, _none()))
 
 
 def rapid(rows: DataFrame, key: str, entity_type: str) -> DataFrame:
@@ -108,7 +108,7 @@ def density(features: DataFrame) -> DataFrame:
 def degrees(membership: DataFrame, inside: DataFrame) -> DataFrame:
     """account_id, community_id, degree within the community, zeros included."""
     n = mirrored(inside.select("src", "dst")).groupBy("account_id").agg(F.count("*").alias("degree"))
-    return membership.join(n, "account_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return membership.join(n.hint("merge"), "account_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
 def hub_rows(membership: DataFrame, inside: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def hub_rows(membership: DataFrame, inside: DataFrame) -> DataFrame:
     # ranks over distinct degrees: a community's degrees are few, its members may be many
     n = d.groupBy("community_id", "degree").count()
     share = n.withColumn("upto", F.sum("count").over(W.partitionBy("community_id").orderBy("degree"))).drop("count")
-    return d.join(p, "community_id").join(share, ["community_id", "degree"]).withColumn("rank_pct", F.col("upto") / F.col("members") * 100)
+    return d.join(p.hint("merge"), "community_id").join(share.hint("merge"), ["community_id", "degree"]).withColumn("rank_pct", F.col("upto") / F.col("members") * 100)
 
 
 def hubs(membership: DataFrame, inside: DataFrame, entity_type: str = "COMMUNITY") -> DataFrame:
@@ -204,5 +204,5 @@ def matches(items: DataFrame, transactions: DataFrame) -> DataFrame:
     """evidence_id, transaction_id: transactions that an item names, or that fall into its window on the same entity."""
     named = items.select("entity_type", "entity_id", "evidence_id", F.explode("supporting_entities").alias("transaction_id")).filter(F.col("transaction_id").startswith("tx_"))
     timed = items.filter("observed_at IS NOT NULL").select("entity_type", "entity_id", "evidence_id", F.col("observed_at").alias("from"), F.to_timestamp(F.element_at("metrics", F.lit("end"))).alias("to"))
-    inside = timed.join(transactions.select("entity_id", "transaction_id", "timestamp"), "entity_id").filter(F.col("timestamp").between(F.col("from"), F.col("to")))
+    inside = timed.join(transactions.select("entity_id", "transaction_id", "timestamp").hint("merge"), "entity_id").filter(F.col("timestamp").between(F.col("from"), F.col("to")))
     return named.unionByName(inside.select(*named.columns)).distinct()

@@ -18,7 +18,7 @@ FEATURES = (
 def member_transactions(membership: DataFrame, transactions: DataFrame) -> DataFrame:
     """Transactions with a member at either end, once for each community."""
     ends = transactions.withColumn("account_id", F.explode(F.array_distinct(F.array("src_account_id", "dst_account_id"))))
-    return ends.join(membership, "account_id").drop("account_id").dropDuplicates(["community_id", "transaction_id"])
+    return ends.join(membership.hint("merge"), "account_id").drop("account_id").dropDuplicates(["community_id", "transaction_id"])
 
 
 def shared_counts(inside: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def shared_counts(inside: DataFrame) -> DataFrame:
 
 def entropy(rows: DataFrame, merchants: DataFrame) -> DataFrame:
     """Entropy in bits of merchant categories; transactions without a known merchant don't count."""
-    n = rows.join(merchants.select("merchant_id", "category"), "merchant_id").groupBy("community_id", "category").count()
+    n = rows.join(merchants.select("merchant_id", "category").hint("merge"), "merchant_id").groupBy("community_id", "category").count()
     p = F.col("count") / F.sum("count").over(W.partitionBy("community_id"))
     return n.withColumn("p", p).groupBy("community_id").agg(F.abs(F.sum(F.col("p") * F.log2("p"))).alias("merchant_category_entropy"))
 
@@ -39,7 +39,7 @@ def community_features(membership: DataFrame, inside: DataFrame, transactions: D
     """community_id and FEATURES as doubles; null where a feature isn't defined or its columns are missing."""
     require(transactions, ["transaction_id", "timestamp", "src_account_id", "dst_account_id", "amount"])
     n, e = F.col("member_count"), F.col("internal_edges")
-    base = structure(membership, inside).join(inside.groupBy("community_id").agg(F.avg("temporal_overlap").alias("temporal_overlap_mean")), "community_id", "left").join(shared_counts(inside), "community_id", "left").join(activity_stats(membership, transactions), "community_id", "left")
+    base = structure(membership, inside).join(inside.groupBy("community_id").agg(F.avg("temporal_overlap").alias("temporal_overlap_mean")), "community_id", "left").join(shared_counts(inside).hint("merge"), "community_id", "left").join(activity_stats(membership, transactions).hint("merge"), "community_id", "left")
     rows = member_transactions(membership, transactions)
     has = lambda c: c in transactions.columns
     null = F.lit(None).cast("double")
@@ -50,9 +50,9 @@ def community_features(membership: DataFrame, inside: DataFrame, transactions: D
         (F.avg(F.when(F.col("transaction_status") == "declined", 1.0).otherwise(0.0)) if has("transaction_status") else F.max(null)).alias("declined_rate"),
         (F.countDistinct("payment_method") if has("payment_method") else F.max(null)).alias("unique_payment_methods"),
     )
-    base = base.join(money, "community_id", "left")
+    base = base.join(money.hint("merge"), "community_id", "left")
     if merchants is not None and has("merchant_id"):
-        base = base.join(entropy(rows, merchants), "community_id", "left")
+        base = base.join(entropy(rows, merchants).hint("merge"), "community_id", "left")
     else:
         base = base.withColumn("merchant_category_entropy", null)
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -66,7 +66,7 @@ def shared_pairs(links: DataFrame, transactions: DataFrame) -> DataFrame:
     # a hot entity makes a large join partition, which adaptive execution splits
     a, b = uses.withColumnRenamed("account_id", "src"), uses.withColumnRenamed("account_id", "dst").withColumnsRenamed({"kind": "k", "entity_id": "e", "day": "d"})
     on = (F.col("kind") == F.col("k")) & (F.col("entity_id") == F.col("e")) & F.col("day").eqNullSafe(F.col("d")) & (F.col("src") < F.col("dst"))
-    return a.join(b, on).select("src", "dst", "kind", "entity_id")
+    return a.join(b.hint("merge"), on).select("src", "dst", "kind", "entity_id")
 
 
 def active_days(transactions: DataFrame) -> DataFrame:
@@ -77,15 +77,15 @@ def project(accounts: DataFrame, links: DataFrame, transactions: DataFrame) -> D
     """Account edges: src, dst, four sorted arrays of shared ids, temporal_overlap, weight."""
     require(transactions, ["transaction_id", "timestamp", "src_account_id", "dst_account_id", "merchant_id"])
     known = accounts.select("account_id")
-    pairs = shared_pairs(links.join(known, "account_id", "left_semi"), transactions)
+    pairs = shared_pairs(links.join(known.hint("merge"), "account_id", "left_semi"), transactions)
     arrays = [F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("entity_id")))).alias(k) for k in KINDS]
     edges = pairs.groupBy("src", "dst").agg(*arrays)
     days = active_days(transactions)
     side = lambda name: days.select(F.col("account_id").alias(name), F.col("days").alias(f"{name}_days"))
     overlap = F.coalesce(F.size(F.array_intersect("src_days", "dst_days")), F.lit(0))
-    edges = edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    edges = edges.join(side("src").hint("merge"), "src", "left").join(side("dst").hint("merge"), "dst", "left")
     edges = edges.withColumn("temporal_overlap", F.when(F.col("src_days").isNull() | F.col("dst_days").isNull(), 0).otherwise(overlap))
-    edges = edges.join(known.withColumnRenamed("account_id", "src"), "src", "left_semi").join(known.withColumnRenamed("account_id", "dst"), "dst", "left_semi")
+    edges = edges.join(known.withColumnRenamed("account_id", "src").hint("merge"), "src", "left_semi").join(known.withColumnRenamed("account_id", "dst").hint("merge"), "dst", "left_semi")
     return edges.select("src", "dst", *KINDS, "temporal_overlap", evidence_weight({k: F.size(k) for k in KINDS}, F.col("temporal_overlap")).alias("weight"))
 
 
@@ -105,7 +105,7 @@ def between(edges: DataFrame, a: str, b: str) -> DataFrame:
 def internal(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """Edges with both ends in one community, and that community."""
     side = lambda name: membership.select(F.col("account_id").alias(name), F.col("community_id").alias(f"{name}_community"))
-    both = edges.join(side("src"), "src").join(side("dst"), "dst").filter("src_community = dst_community")
+    both = edges.join(side("src").hint("merge"), "src").join(side("dst").hint("merge"), "dst").filter("src_community = dst_community")
     return both.withColumnRenamed("src_community", "community_id").drop("dst_community")
 
 

@@ -40,7 +40,7 @@ def account_stats(transactions: DataFrame) -> DataFrame:
 def registry(accounts: DataFrame, membership: DataFrame, stats: DataFrame, inside: DataFrame) -> DataFrame:
     """All accounts with community, tier, counts, volume, decline rate and connections."""
     links = mirrored(inside.select("src", "dst")).groupBy("account_id").agg(F.count("*").alias("connections"))
-    rows = accounts.join(membership, "account_id", "left").join(stats, "account_id", "left").join(links, "account_id", "left")
+    rows = accounts.join(membership, "account_id", "left").join(stats.hint("merge"), "account_id", "left").join(links.hint("merge"), "account_id", "left")
     n = F.coalesce(F.col("sent_count") + F.col("received_count"), F.lit(0))
     volume = F.coalesce(F.col("sent_amount") + F.col("received_amount"), F.lit(0.0))
     return rows.select(
@@ -66,7 +66,7 @@ def peers(accounts: DataFrame, sample: int = PEERS) -> DataFrame:
     values = {"tx_count": 1, "tx_volume": 2, "decline_rate": 4, "connections": 1, "avg_amount": 2}
     medians = [F.bround(F.median(c), d).alias(f"peer_median_{c}") for c, d in values.items()]
     first = measured.filter(F.col("rank") <= sample + 1).select("community_id", F.col("account_id").alias("peer"), F.col("rank").alias("peer_rank"), *values)
-    early = rows.filter(F.col("rank") <= sample).select("account_id", "community_id", "rank").join(first, "community_id").filter("peer <> account_id").groupBy("account_id").agg(F.count("*").alias("peer_sample_size"), *medians)
+    early = rows.filter(F.col("rank") <= sample).select("account_id", "community_id", "rank").join(first.hint("merge"), "community_id").filter("peer <> account_id").groupBy("account_id").agg(F.count("*").alias("peer_sample_size"), *medians)
     shared = first.filter(F.col("peer_rank") <= sample).groupBy("community_id").agg(F.count("*").alias("peer_sample_size"), *medians)
     late = rows.filter(F.col("rank") > sample).select("account_id", "community_id").join(shared, "community_id").drop("community_id")
     return early.unionByName(late)
@@ -86,9 +86,9 @@ def pairs(transactions: DataFrame) -> DataFrame:
 def counterparties(transactions: DataFrame, membership: DataFrame) -> DataFrame:
     """For each transaction, what passed between its two accounts, and whether they are in one community."""
     side = lambda name: membership.select(F.col("account_id").alias(name), F.col("community_id").alias(f"{name}_c"))
-    mart = pairs(transactions).join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("same_community", F.coalesce(F.col("a_c") == F.col("b_c"), F.lit(False))).drop("a_c", "b_c")
+    mart = pairs(transactions).join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left").withColumn("same_community", F.coalesce(F.col("a_c") == F.col("b_c"), F.lit(False))).drop("a_c", "b_c")
     keys = transactions.select("transaction_id", F.least("src_account_id", "dst_account_id").alias("a"), F.greatest("src_account_id", "dst_account_id").alias("b"))
-    return keys.join(mart, ["a", "b"])
+    return keys.join(mart.hint("merge"), ["a", "b"])
 
 
 def recent_of_pairs(transactions: DataFrame, keep: int = KEEP) -> DataFrame:
@@ -106,7 +106,7 @@ def timeline(membership: DataFrame, transactions: DataFrame, limit: int = 1000,
     totals = rows.groupBy("community_id").agg(F.count("*").alias("total"))
     limit = min(1000, limit)
     shown = rows.withColumn("place", place).filter(F.col("place").between(offset + 1, offset + limit))
-    return shown.join(totals, "community_id").select("community_id", "place", "transaction_id", "timestamp", "amount", "src_account_id", "dst_account_id", "transaction_status", "total")
+    return shown.join(totals.hint("merge"), "community_id").select("community_id", "place", "transaction_id", "timestamp", "amount", "src_account_id", "dst_account_id", "transaction_status", "total")
 
 
 def details(transactions: DataFrame, merchants: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def behaviour(transactions: DataFrame) -> DataFrame:
     base = rows.groupBy("account_id").agg(n.alias("tx_count"), F.avg("amount").alias("avg_amount"), F.sum("amount").alias("volume"), (F.count_if(F.col("transaction_status") == "declined") / n).alias("decline_rate"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     days = F.greatest(F.lit(1), F.ceil((F.unix_micros("last") - F.unix_micros("first")) / F.lit(86400e6))).cast("long")
     methods = rows.groupBy("account_id", "payment_method").count().groupBy("account_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.coalesce("payment_method", F.lit("?")), F.col("count").cast("string")))), ",").alias("methods"))
-    return base.join(methods, "account_id").withColumn("active_days", days).withColumn("velocity", F.col("tx_count") / F.col("active_days")).drop("first", "last")
+    return base.join(methods.hint("merge"), "account_id").withColumn("active_days", days).withColumn("velocity", F.col("tx_count") / F.col("active_days")).drop("first", "last")
 
 
 def exposure(inside: DataFrame, keep: int = KEEP) -> DataFrame:
@@ -159,7 +159,7 @@ def exposure(inside: DataFrame, keep: int = KEEP) -> DataFrame:
     top = both.select("account_id", "peer", "weight").withColumn("k", k).filter(F.col("k") <= keep)
     top = top.groupBy("account_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "peer"))), lambda x: x["peer"]).alias("strongest"))
     zero = [F.coalesce(f"shared_{c}", F.lit(0)).alias(f"shared_{c}") for c in kinds]
-    return top.join(counts, "account_id", "left").select("account_id", *zero, "strongest")
+    return top.join(counts.hint("merge"), "account_id", "left").select("account_id", *zero, "strongest")
 
 
 def event_tags(transactions: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def event_tags(transactions: DataFrame) -> DataFrame:
     by = W.partitionBy("account_id").orderBy("timestamp", "transaction_id")
     back = W.partitionBy("account_id").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
     limits = rows.groupBy("account_id").agg(F.greatest(F.lit(1000.0), 2.5 * F.avg("amount")).alias("limit"))
-    rows = rows.withColumns({"k": F.row_number().over(by), "b": F.row_number().over(back)}).join(limits, "account_id")
+    rows = rows.withColumns({"k": F.row_number().over(by), "b": F.row_number().over(back)}).join(limits.hint("merge"), "account_id")
     tag = F.when(F.col("k") == 1, "first").when(F.lower("transaction_status") == "declined", "declined").when(F.col("amount") >= F.col("limit"), "large").when(F.col("b") == 1, "last")
     return rows.select("account_id", "transaction_id", tag.alias("tag")).filter("tag IS NOT NULL")
 
@@ -215,10 +215,10 @@ def related(transactions: DataFrame, keep: int = KEEP) -> DataFrame:
     rows = transactions.select("src_account_id", "transaction_id", "row_seq").withColumn("k", k)
     first = rows.filter(F.col("k") <= keep + 1).groupBy("src_account_id").agg(F.array_sort(F.collect_list(F.struct("k", "transaction_id"))).alias("first"))
     others = F.slice(F.filter(F.transform("first", lambda x: x["transaction_id"]), lambda x: x != F.col("transaction_id")), 1, keep)
-    return rows.join(first, "src_account_id").select("transaction_id", others.alias("related"))
+    return rows.join(first.hint("merge"), "src_account_id").select("transaction_id", others.alias("related"))
 
 
 def community_actions(degrees: DataFrame, features: DataFrame) -> DataFrame:
     """community_id, its hub, and what there is to trace and to validate."""
     hub = degrees.groupBy("community_id").agg(F.min(F.struct((-F.col("degree")).alias("d"), "account_id")).alias("hub"))
-    return features.join(hub, "community_id").select("community_id", F.col("hub.account_id").alias("hub_account"), (-F.col("hub.d")).alias("hub_degree"), "total_transaction_amount", "unique_shared_devices", "unique_shared_instruments")
+    return features.join(hub.hint("merge"), "community_id").select("community_id", F.col("hub.account_id").alias("hub_account"), (-F.col("hub.d")).alias("hub_degree"), "total_transaction_amount", "unique_shared_devices", "unique_shared_instruments")

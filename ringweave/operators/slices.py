@@ -103,7 +103,7 @@ def threads(inside: DataFrame, transactions: DataFrame) -> DataFrame:
     both = mirrored(inside)
     kinds = sum(((F.size(k) > 0).cast("int") for k in ("devices", "instruments", "ips")), F.lit(0)) + (F.col("temporal_overlap") > 0).cast("int")
     flow = mirrored(pairs(transactions).filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("forward_count") + F.col("reverse_count")).alias("n"), (F.col("forward_amount") + F.col("reverse_amount")).alias("amount")))
-    rows = both.join(flow, ["account_id", "peer"], "left").withColumn("kinds", kinds + (F.coalesce("n", F.lit(0)) > 0).cast("int"))
+    rows = both.join(flow.hint("merge"), ["account_id", "peer"], "left").withColumn("kinds", kinds + (F.coalesce("n", F.lit(0)) > 0).cast("int"))
     size = lambda k: F.sum(F.size(k)).alias(f"{k}_links")
     return rows.groupBy("account_id").agg(
         F.count("*").alias("peers"), size("devices"), size("instruments"), size("ips"), size("merchants"), F.sum("temporal_overlap").alias("overlap_days"), F.count_if(F.col("kinds") >= 2).alias("multi_layer"),
@@ -116,7 +116,7 @@ def roles(members: DataFrame, timeline: DataFrame, keep: int = 6) -> DataFrame:
     k = F.row_number().over(W.partitionBy("community_id").orderBy(F.desc("degree"), F.desc("balance"), "account_id"))
     top = members.withColumn("k", k).filter(F.col("k") <= keep)
     seen = lambda c, name: timeline.select("community_id", F.col(c).alias("account_id"), F.lit(True).alias(name)).distinct()
-    rows = top.join(seen("src_account_id", "sends"), ["community_id", "account_id"], "left").join(seen("dst_account_id", "receives"), ["community_id", "account_id"], "left")
+    rows = top.join(seen("src_account_id", "sends").hint("merge"), ["community_id", "account_id"], "left").join(seen("dst_account_id", "receives").hint("merge"), ["community_id", "account_id"], "left")
     role = F.when(F.col("degree") >= 4, "HUB").when(F.col("sends") & F.col("receives"), "INTERMEDIARY").when(F.col("sends"), "SOURCE").otherwise("MEMBER")
     return rows.select("community_id", "account_id", "degree", role.alias("role"))
 
@@ -155,7 +155,7 @@ def reach(edges: DataFrame, start: str, depth: int = 6, until: str | None = None
     seen = both.sparkSession.createDataFrame([(start, 0, None)], "account_id string, hops int, parent string")
     frontier = seen
     for hop in range(1, depth + 1):
-        step = both.join(F.broadcast(frontier.select("account_id")) if hop == 1 else frontier.select("account_id"), "account_id").groupBy("peer").agg(F.min("account_id").alias("parent"))
+        step = both.join(frontier.select("account_id").hint("merge"), "account_id").groupBy("peer").agg(F.min("account_id").alias("parent"))
         frontier = cut(step.withColumnRenamed("peer", "account_id").join(seen, "account_id", "left_anti").select("account_id", F.lit(hop).alias("hops"), "parent"), "reach-frontier")
         if not frontier.limit(1).count():
             break
