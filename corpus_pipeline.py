@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringweave.llm import common, decontaminate, mixing, quality, secrets, simhash
+from ringweave.llm import common, decontaminate, mixing, quality, secrets, simhash, simhash_texts
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    return simhash.deduplicated(docs, simhash.near_duplicates(docs))
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id."""
+    return simhash.deduplicated(docs, simhash_texts.similar_texts(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
