@@ -8,9 +8,12 @@ of ROWS minima of hashed shingles. Two texts at the threshold share none with a
 probability of 5e-6, and differ in more than RADIUS bits with one of about 1e-6.
 Whatever the shards propose is verified on whole texts.
 
-First every text is compared with the smallest text of its shards, in STARS
-rounds. That joins a group of near copies by one pair per text. Shards that hold
-several components after that get BK-trees of all members outside the largest
+First every text is compared with one leading text of its shards, in STARS
+rounds with other leaders each. That joins a group of near copies by one pair per
+text and round. After each round texts leave that can have no further link: at
+the threshold LEAST of a text's shingles occur in the other text too, so one with
+more shingles than that of its own, among all texts of shards that hold several
+components, is done. Shards that hold several components after that get BK-trees of all members outside the largest
 component; every member asks them for texts of other components. Trees of more
 than SHARD members are dealt in parts, all of which are asked.
 
@@ -33,7 +36,7 @@ from .simhash import BKTree, components
 from .words import U, Words, mix
 
 WIDTH, LEAST, RADIUS = 5, 0.8, 24
-BANDS, ROWS, STARS, SHARD = 40, 6, 2, 2048
+BANDS, ROWS, STARS, SHARD = 40, 6, 3, 2048
 #: Members that are verified against one copy of their centre's text, about.
 SPREAD = 256
 PIECE = 1 << 20
@@ -79,14 +82,15 @@ def _signatures(width: int):
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            whole, fp, bands = [], [], []
+            whole, size, fp, bands = [], [], [], []
             for a, b in pieces(offsets, PIECE):
                 for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width):
                     name = mix(np.array([mix(s ^ U(0xA24BAED4963EE407)).sum(dtype=U) + U(len(s))], U))
                     whole.append(int(name.view(np.int64)[0]))
+                    size.append(len(s))
                     fp.append(fingerprint(s))
                     bands.append(band_keys(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(whole, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "whole", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(whole, pa.int64()), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "whole", "size", "fp", "bands"])
 
     return run
 
@@ -153,13 +157,39 @@ def _ask(radius: int):
     return run
 
 
+def _exploded(width: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            whole = batch.column("whole").to_numpy()
+            for a, b in pieces(offsets, PIECE):
+                sets = list(shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(whole[a:b], [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["whole", "shingle"])
+
+    return run
+
+
+def _several(rows: DataFrame, name: str) -> DataFrame:
+    """Members of the shards that hold several components."""
+    bands = rows.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
+    return stored(rows.join(bands.hint("merge"), "band", "left_semi"), name)
+
+
+def _linkable(members: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, least: float, name: str) -> DataFrame:
+    """Members without those that have too many shingles of their own for any link among `members`."""
+    held = members.select("whole").distinct()
+    rows = texts.join(held.hint("merge"), "whole", "left_semi").select("whole", "text").mapInArrow(_exploded(width), "whole long, shingle long")
+    own = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("whole").alias("whole")).filter("n = 1").groupBy("whole").agg(F.count("*").alias("own"))
+    done = own.join(nodes.select("whole", "size").hint("merge"), "whole").filter(1000 * (F.col("size") - F.col("own")) < round(least * 1000) * F.col("size")).select("whole")
+    return _several(stored(members.join(done.hint("merge"), "whole", "left_anti"), f"{name}-left"), name)
+
+
 def _rooted(shared: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """Members (band, whole, fp, root) of the shards that hold several components."""
     reach = components(links)
     rows = shared.select("band", "whole", "fp").join(reach.hint("merge"), F.col("whole") == F.col("node"), "left").select("band", "whole", "fp", F.coalesce("root", "whole").alias("root"))
     rows = stored(rows, name)
-    several = rows.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
-    return stored(rows.join(several.hint("merge"), "band", "left_semi"), f"{name}-open")
+    return _several(rows, f"{name}-open")
 
 
 def _remaining(members: DataFrame, radius: int, shard: int) -> DataFrame:
@@ -181,11 +211,11 @@ def similar_texts(docs: DataFrame, *, id_col="doc_id", text_col="text", width=WI
     """id, key (xxhash64 of the text), fp, root (one per component), component_id (the smallest id reachable over links) for each row."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = stored(texts.mapInArrow(_signatures(width), f"id {kind}, key long, whole long, fp long, bands array<long>"), "similar-prints")
+    prints = stored(texts.mapInArrow(_signatures(width), f"id {kind}, key long, whole long, size long, fp long, bands array<long>"), "similar-prints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("s")
-    nodes = stored(prints.groupBy("whole").agg(first, F.min(F.struct("fp", "bands")).alias("t")).select("whole", "s.id", "s.key", "t.fp", "t.bands"), "similar-nodes")
+    nodes = stored(prints.groupBy("whole").agg(first, F.min(F.struct("size", "fp", "bands")).alias("t")).select("whole", "s.id", "s.key", "t.size", "t.fp", "t.bands"), "similar-nodes")
     members = nodes.select("whole", "fp", F.explode("bands").alias("band"))
-    shards = members.groupBy("band").agg(F.count("*").alias("n"), F.min("whole").alias("low")).filter("n > 1").select("band", "low")
+    shards = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     shared = stored(members.join(shards.hint("merge"), "band"), "similar-shards")
     # the text of each node that shares a shard, once
     wanted = nodes.join(shared.select("whole").distinct().hint("merge"), "whole", "left_semi").select("whole", F.col("id").alias("_id"), F.col("key").alias("_key"))
@@ -194,16 +224,16 @@ def similar_texts(docs: DataFrame, *, id_col="doc_id", text_col="text", width=WI
 
     links, tried, open_ = None, None, shared.select("band", "whole", "fp", F.col("whole").alias("root"))
     for k in range(stars):
-        low = open_.groupBy("band").agg(F.min(F.struct("whole", "fp", "root")).alias("low"))
+        low = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("whole", F.lit(k)).alias("place"), "whole", "fp", "root")).alias("low"))
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= radius
-        pairs = open_.join(low.hint("merge"), "band").filter((F.col("root") != F.col("low.root")) & near).select(F.col("low.whole").alias("a"), F.col("whole").alias("b"))
+        pairs = open_.join(low.hint("merge"), "band").filter((F.col("root") != F.col("low.root")) & near).select(F.col("low.whole").alias("a"), F.col("whole").alias("b"), F.col("low.place").alias("place"))
         if tried is not None:
             pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-        pairs = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), f"similar-stars-{k}")
+        pairs = stored(pairs.groupBy("b").agg(F.min(F.struct("place", "a")).alias("s")).select("s.a", "b"), f"similar-stars-{k}")
         found = stored(verified(pairs, named, width, least), f"similar-links-{k}")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        open_ = _rooted(shared, links, f"similar-rooted-{k}")
+        open_ = _linkable(_rooted(open_, links, f"similar-rooted-{k}"), named, nodes, width, least, f"similar-linkable-{k}")
     again = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = _remaining(open_, radius, shard).join(again.hint("merge"), ["a", "b"], "left_anti")
     # a pair that both sides' trees propose is one
