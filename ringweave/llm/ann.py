@@ -5,10 +5,17 @@ sample are split until all are of about equal size. Each distinct vector goes to
 the posting list of its nearest centroid and, if it lies near a boundary, to
 those of further centroids that are at most (1 + replicate) times as far.
 Centroids are searched through an in-memory neighbour graph: a best-first walk
-from a few entry points. A query reads the lists whose centroids are at most
-(1 + probe) times as far as its nearest one. Lists are dealt out by number;
-a list that outgrows PART vectors is dealt in several parts, all of which its
-queries visit.
+from a few entry points. A query first reads the lists whose centroids are at
+most (1 + probe) times as far as its nearest one, `probes` of them at most. Lists
+are dealt out by number; a list that outgrows PART vectors is dealt in several
+parts, all of which its queries visit.
+
+A second pass covers the rest, so results are exact: members of a list are at
+least as far from a query as its centroid is, less the list's radius. Each list
+not read yet for which this is at most the query's k-th distance so far is read
+too. For it, lists lie end to end in blocks of PART vectors, and a query goes to
+a block once, with the numbers of the lists it has to read there. Where distances
+hardly differ, as between random vectors of many dimensions, that is every list.
 
 Equal vectors are one entry with their smallest ids: as ties go to smaller ids,
 k + 1 of them always suffice.
@@ -31,6 +38,8 @@ from .common import stored
 SAMPLE, LIST, LISTS, PART = 50_000, 200, 16_384, 20_000
 REPLICATE, REPLICAS, PROBE, PROBES = 0.15, 6, 0.45, 48
 BEAM, DEGREE = 64, 24
+#: Queries that a task of the second pass holds, at most.
+QUERIES = 50_000
 
 
 def matrix(column) -> np.ndarray:
@@ -159,6 +168,71 @@ def _search(k: int):
     return run
 
 
+def _unread(plan):
+    """Rows (block, id, limit, lists, vec) from (id, limit, lists read, vec): what each block holds of lists that may have a member within the limit."""
+
+    def run(batches):
+        lists, at, radius, begin, end = plan.value
+        for batch in batches:
+            ids, limits, read = batch.column("id").to_pylist(), batch.column("limit").to_numpy(), batch.column("lists").to_pylist()
+            v = matrix(batch.column("vec"))
+            out: tuple[list, list, list] = ([], [], [])
+            for j, d in enumerate(np.sqrt(squared(v, at)) if len(lists) else []):
+                may = d - radius <= limits[j] * (1 + 1e-6) + 1e-6
+                may &= ~np.isin(lists, read[j])
+                may = np.flatnonzero(may)
+                for block in np.unique(np.concatenate([begin[may], end[may]] + [np.arange(begin[m], end[m] + 1) for m in may[end[may] > begin[may] + 1]])).tolist():
+                    out[0].append(block)
+                    out[1].append(j)
+                    out[2].append(lists[may[(begin[may] <= block) & (end[may] >= block)]].tolist())
+            rows = pa.array(out[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column("id").take(rows), batch.column("limit").take(rows), pa.array(out[2], pa.list_(pa.int64())), batch.column("vec").take(rows)], ["block", "id", "limit", "lists", "vec"])
+
+    return run
+
+
+def _within(k: int):
+    """The k nearest of each query among a block's members of the lists it has to read, within its limit."""
+
+    def run(key, left, right):
+        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not len(left) or not len(right):
+            return none
+        q, limit, qid = matrix(left.column("vec")), left.column("limit").to_numpy(), left.column("id").to_pylist()
+        right = right.sort_by("list")
+        c, ids, of = matrix(right.column("vec")), right.column("ids").to_pylist(), right.column("list").to_numpy()
+        numbers, begin = np.unique(of, return_index=True)
+        past = np.append(begin[1:], len(of))
+        wanted = left.column("lists").combine_chunks()
+        asks, listed = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
+        out: tuple[list, list, list] = ([], [], [])
+        for a in range(0, len(q), 256):
+            near = (asks >= a) & (asks < a + 256)
+            order = np.argsort(listed[near], kind="stable")
+            who, what = asks[near][order], listed[near][order]
+            hits = []
+            for m, x, y in zip(numbers, begin, past):
+                rows = who[np.searchsorted(what, m) : np.searchsorted(what, m, "right")]
+                if not len(rows):
+                    continue
+                # all that rounding could move across the limit stay in
+                i, j = np.nonzero(squared(q[rows], c[x:y]) <= (limit[rows] ** 2 * (1 + 1e-9) + 1e-9)[:, None])
+                hits.append((rows[i], j + x))
+            i, j = (np.concatenate([h[n] for h in hits]) for n in (0, 1)) if hits else (np.zeros(0, int),) * 2
+            d = np.sqrt(((c[j] - q[i]) ** 2).sum(1))
+            order = np.lexsort((d, i))
+            i, j, d = i[order], j[order], d[order]
+            edges = np.flatnonzero(np.diff(i, prepend=-1))
+            for x, y in zip(edges, np.append(edges[1:], len(i))):
+                own = sorted((e, z) for e, col in zip(d[x:y].tolist(), j[x:y].tolist()) for z in ids[col] if z != qid[i[x]])[:k]
+                out[0].extend([qid[i[x]]] * len(own))
+                out[1].extend(z for _, z in own)
+                out[2].extend(e for e, _ in own)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    return run
+
+
 def nearest(rows: DataFrame, is_query, *, k=10, id_col="vec_id", vec_col="embedding", probe=PROBE, probes=PROBES, per_list=LIST, part=PART) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for the rows with is_query (a condition on `id`)."""
     spark = rows.sparkSession
@@ -171,19 +245,43 @@ def nearest(rows: DataFrame, is_query, *, k=10, id_col="vec_id", vec_col="embedd
     sample = entries.select(cut.alias("place"), "vec").orderBy("place").limit(SAMPLE).toArrow() if n else None
     at = centroids(matrix(sample.column("vec")), min(LISTS, -(-n // per_list))) if n else np.zeros((1, 1))
     graph = spark.sparkContext.broadcast(Graph(at))  # LISTS centroids at most
-    posted = entries.mapInArrow(_lists(graph, REPLICAS, REPLICATE), "ids array<long>, vec array<double>, lists array<long>").select("ids", "vec", F.explode("lists").alias("list"))
+    posted = entries.mapInArrow(_lists(graph, REPLICAS, REPLICATE), "ids array<long>, vec array<double>, lists array<long>").select("ids", "vec", F.posexplode("lists").alias("copy", "list"))
     posted = stored(posted, "ann-lists")
     parts = posted.groupBy("list").count().select("list", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     parts = F.broadcast(parts)  # LISTS rows at most
     dealt = posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("parts")).cast("int")).select("list", "part", "ids", "vec")
-    asked = vectors.filter(is_query).distinct()
-    asked = asked.mapInArrow(_lists(graph, probes, probe), "id long, vec array<double>, lists array<long>").select("id", "vec", F.explode("lists").alias("list"))
+    queries = stored(vectors.filter(is_query).distinct().mapInArrow(_lists(graph, probes, probe), "id long, vec array<double>, lists array<long>"), "ann-queries")
+    asked = queries.select("id", "vec", F.explode("lists").alias("list"))
     asked = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "vec")
     found = asked.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+    near = stored(_best(found, k), "ann-near")
+    return _best(near.select("query_id", "vec_id", "score").unionByName(_rest(queries, near, posted.filter("copy = 0"), at, k, part)), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _rest(queries: DataFrame, near: DataFrame, entries: DataFrame, at: np.ndarray, k: int, part: int) -> DataFrame:
+    """query_id, vec_id, score: what lists not read yet hold within the k-th distance of `near`."""
+    spark = queries.sparkSession
+    centers = spark.createDataFrame(pa.table({"list": pa.array(range(len(at)), pa.int64()), "center": pa.array(at.tolist(), pa.list_(pa.float64()))}))
+    away = F.sqrt(F.aggregate(F.zip_with("vec", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    sizes = entries.join(F.broadcast(centers), "list").groupBy("list").agg(F.count("*").alias("n"), F.max(away).alias("radius")).orderBy("list").toArrow()  # LISTS rows at most
+    lists, count = sizes.column("list").to_numpy(), sizes.column("n").to_numpy()
+    start = np.cumsum(count) - count
+    plan = spark.sparkContext.broadcast((lists, at[lists] if len(lists) else at[:0], sizes.column("radius").to_numpy(), start // part, (start + count - 1) // part))
+    starts = F.broadcast(spark.createDataFrame(pa.table({"list": pa.array(lists, pa.int64()), "start": pa.array(start, pa.int64()), "n": pa.array(count, pa.int64())})))
+    limits = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
+    open_ = queries.join(limits.hint("merge"), "id").select("id", "limit", "lists", "vec")
+    slices = max(1, -(-queries.count() // QUERIES))
+    open_ = open_.mapInArrow(_unread(plan), "block long, id long, limit double, lists array<long>, vec array<double>").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    place = F.col("start") + F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("n"))
+    blocks = entries.join(starts, "list").select(F.floor(place / part).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "list", "ids", "vec")
+    return open_.groupBy("block", "slice").cogroup(blocks.groupBy("block", "slice")).applyInArrow(_within(k), "query_id long, vec_id long, score double")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0)
 

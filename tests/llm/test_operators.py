@@ -368,3 +368,17 @@ def test_nearest(spark):
     few = ann.nearest(df.filter("vec_id < 4"), F.col("id") == 0).collect()
     assert [r.rank for r in sorted(few)] == [1, 2, 3]
     assert ann.nearest(df.limit(0), F.col("id") == 0).count() == 0
+
+
+def test_nearest_with_hundreds_of_lists(spark):
+    v = np.random.default_rng(5).normal(size=(4000, 32))
+    v = (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)  # distances hardly differ
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 100 == 0, per_list=10, part=300).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    w = v.astype(float)
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((w - w[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert got[q] == np.argsort(d, kind="stable")[:10].tolist()
