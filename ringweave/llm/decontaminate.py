@@ -5,10 +5,10 @@ lower-cased; a word with a digit or a number word becomes NUM, a unit after it
 UNIT, and a capitalised word inside a sentence NAME. A template window is a run
 of WINDOW such tokens. Windows of documents and benchmark are hash-joined; a hit
 of an item in a document is a set of windows at one alignment that covers
-NEED windows, or half of the item's if those are fewer, and whose slots are
-consistent: equal values in the item stand for equal values in the document and
-the other way round. Hits with other values than the item's are re-parameterised
-ones.
+NEED windows, or half of the item's if those are fewer, and of which as many have
+the item's own values, whatever the others hold, or all have consistent slots:
+equal values in the item stand for equal values in the document and the other
+way round. Hits with other values than the item's are re-parameterised ones.
 
 Before the join, documents' windows pass a bitmap of the benchmark's, of fixed
 size, so only a few reach Spark's shuffle whatever the corpus holds.
@@ -131,6 +131,17 @@ def _windows(rows: DataFrame, id_col: str, text_col: str, sizes, bitmap=None, wh
     return rows.mapInArrow(_emit(sizes, bitmap, whole), "id long, key long, name long, at int, n_words int, slots array<long>")
 
 
+def _exact(slots):
+    return F.forall(slots, lambda x: x["item_slots"] == x["slots"])
+
+
+def _consistent(found):
+    """Whether the slots of some windows map one to one."""
+    pairs = F.array_distinct(F.flatten(F.transform(found, lambda x: x["slots"])))
+    both = [F.size(F.array_distinct(F.transform(pairs, lambda x: x[side]))) for side in ("item_slots", "slots")]
+    return (both[0] == F.size(pairs)) & (both[1] == F.size(pairs))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """id, key (xxhash64 of the text), item_id, matched, windows, exact: the best alignment of each item that a document holds."""
     spark = docs.sparkSession
@@ -146,12 +157,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text
     items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "name", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     pairs = found.join(items.hint("broadcast" if n_items <= BROADCAST else "merge"), "name").filter(F.size("slots") == F.size("item_slots"))
     same = F.arrays_zip("item_slots", "slots")
-    hits = pairs.groupBy("id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("matched"), F.array_distinct(F.flatten(F.collect_set(same))).alias("slots"))
-    left, right = F.size(F.array_distinct(F.col("slots.item_slots"))), F.size(F.array_distinct(F.col("slots.slots")))
-    hits = hits.filter((left == F.size("slots")) & (right == F.size("slots"))).withColumn("exact", F.forall("slots", lambda x: x["item_slots"].eqNullSafe(x["slots"])))
+    hits = pairs.groupBy("id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("matched"), F.collect_set(F.struct("item_at", same.alias("slots"))).alias("found"))
     per_item = per_item.hint("broadcast" if n_items <= BROADCAST else "merge")
     hits = hits.join(per_item, hits.item_id.eqNullSafe(per_item.item_id) & (hits.item_key == per_item.item_key)).select(hits["*"], "windows")
-    hits = hits.filter(F.col("matched") >= F.least(F.lit(NEED), F.ceil(F.col("windows") / 2)))
+    hits = hits.withColumn("need", F.least(F.lit(NEED), F.ceil(F.col("windows") / 2)).cast("int")).filter(F.col("matched") >= F.col("need"))
+    verbatim = F.size(F.filter("found", lambda x: _exact(x["slots"])))
+    hits = hits.filter((verbatim >= F.col("need")) | _consistent(F.col("found"))).withColumn("exact", verbatim == F.size("found"))
     best = F.max(F.struct("matched", "exact", "windows")).alias("best")
     return hits.groupBy("id", "key", "item_id").agg(best).select("id", "key", "item_id", F.col("best.matched").alias("matched"), F.col("best.windows").alias("windows"), F.col("best.exact").alias("exact"))
 

@@ -382,3 +382,14 @@ def test_nearest_with_hundreds_of_lists(spark):
         d = np.sqrt(((w - w[q]) ** 2).sum(1))
         d[q] = np.inf
         assert got[q] == np.argsort(d, kind="stable")[:10].tolist()
+
+
+def test_decontamination_despite_one_conflict(spark):
+    item = "the baker sells 5 loaves of dark bread every morning and keeps some of the rest for the evening when 5 friends come over to eat with the whole family"
+    two = "the baker sells 5 loaves of dark bread every morning and keeps some of the rest for the evening when 7 friends come over to eat with the whole family"
+    bench = spark.createDataFrame([(1, item), (2, two.replace("baker", "tailor").replace("bread", "cloth"))], "item_id long, text string")
+    copies = [(10, item.replace("when 5", "when 6")), (12, item.replace("baker", "tailor").replace("bread", "cloth")), (13, "nothing of it here at all"), (14, item)]
+    hits = decontaminate.contaminated(spark.createDataFrame(copies, "doc_id long, text string"), bench).collect()
+    exact = {(r.id, r.item_id): r.exact for r in hits}
+    assert {(10, 1), (12, 2), (14, 1)} <= set(exact) and 13 not in {i for i, _ in exact}
+    assert exact[14, 1] and not exact[10, 1] and not exact[12, 2]
