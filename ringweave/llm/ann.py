@@ -13,7 +13,8 @@ parts, all of which its queries visit.
 A second pass covers the rest, so results are exact: members of a list are at
 least as far from a query as its centroid is, less the list's radius. Each list
 not read yet for which this is at most the query's k-th distance so far is read
-too. For it, lists lie end to end in blocks of PART vectors, and a query goes to
+too. A query that has found fewer than k takes as its distance the farthest that
+the members of enough lists can be. For it, lists lie end to end in blocks of PART vectors, and a query goes to
 a block once, with the numbers of the lists it has to read there. Where distances
 hardly differ, as between random vectors of many dimensions, that is every list.
 
@@ -23,7 +24,7 @@ k + 1 of them always suffice.
 Defined results: vectors that are null, zero, of another length than most, or
 that hold null or non-finite components take no part, as query or candidate;
 repeated rows (same id and vector) count once; fewer than k candidates are
-all returned if the lists that are read hold them; an empty table gives no rows.
+all returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -168,16 +169,21 @@ def _search(k: int):
     return run
 
 
-def _unread(plan):
+def _unread(plan, k: int):
     """Rows (block, id, limit, lists, vec) from (id, limit, lists read, vec): what each block holds of lists that may have a member within the limit."""
 
     def run(batches):
-        lists, at, radius, begin, end = plan.value
+        lists, at, count, radius, begin, end = plan.value
         for batch in batches:
-            ids, limits, read = batch.column("id").to_pylist(), batch.column("limit").to_numpy(), batch.column("lists").to_pylist()
+            limits, read = batch.column("limit").to_numpy().copy(), batch.column("lists").to_pylist()
             v = matrix(batch.column("vec"))
             out: tuple[list, list, list] = ([], [], [])
             for j, d in enumerate(np.sqrt(squared(v, at)) if len(lists) else []):
+                if np.isinf(limits[j]):  # k + 1 distinct vectors, the query among them at most, lie within this
+                    order = np.argsort(d + radius)
+                    enough = np.searchsorted(np.cumsum(count[order]), k + 1)
+                    if enough < len(order):
+                        limits[j] = (d + radius)[order[enough]] * (1 + 1e-6) + 1e-6
                 may = d - radius <= limits[j] * (1 + 1e-6) + 1e-6
                 may &= ~np.isin(lists, read[j])
                 may = np.flatnonzero(may)
@@ -186,7 +192,7 @@ def _unread(plan):
                     out[1].append(j)
                     out[2].append(lists[may[(begin[may] <= block) & (end[may] >= block)]].tolist())
             rows = pa.array(out[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column("id").take(rows), batch.column("limit").take(rows), pa.array(out[2], pa.list_(pa.int64())), batch.column("vec").take(rows)], ["block", "id", "limit", "lists", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column("id").take(rows), pa.array(limits).take(rows), pa.array(out[2], pa.list_(pa.int64())), batch.column("vec").take(rows)], ["block", "id", "limit", "lists", "vec"])
 
     return run
 
@@ -206,8 +212,8 @@ def _within(k: int):
         wanted = left.column("lists").combine_chunks()
         asks, listed = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
         out: tuple[list, list, list] = ([], [], [])
-        for a in range(0, len(q), 256):
-            near = (asks >= a) & (asks < a + 256)
+        for a in range(0, len(q), 64):
+            near = (asks >= a) & (asks < a + 64)
             order = np.argsort(listed[near], kind="stable")
             who, what = asks[near][order], listed[near][order]
             hits = []
@@ -216,9 +222,18 @@ def _within(k: int):
                 if not len(rows):
                     continue
                 # all that rounding could move across the limit stay in
-                i, j = np.nonzero(squared(q[rows], c[x:y]) <= (limit[rows] ** 2 * (1 + 1e-9) + 1e-9)[:, None])
-                hits.append((rows[i], j + x))
-            i, j = (np.concatenate([h[n] for h in hits]) for n in (0, 1)) if hits else (np.zeros(0, int),) * 2
+                d2 = squared(q[rows], c[x:y])
+                i, j = np.nonzero(d2 <= (limit[rows] ** 2 * (1 + 1e-9) + 1e-9)[:, None])
+                hits.append((rows[i], j + x, d2[i, j]))
+            if not hits:
+                continue
+            i, j, d2 = (np.concatenate([h[n] for h in hits]) for n in range(3))
+            order = np.lexsort((d2, i))
+            i, j, d2 = i[order], j[order], d2[order]
+            begins = np.searchsorted(i, i)
+            last = d2[np.minimum(begins + k, np.searchsorted(i, i, "right") - 1)]
+            keep = d2 <= last * (1 + 1e-9) + 1e-12
+            i, j = i[keep], j[keep]
             d = np.sqrt(((c[j] - q[i]) ** 2).sum(1))
             order = np.lexsort((d, i))
             i, j, d = i[order], j[order], d[order]
@@ -271,12 +286,12 @@ def _rest(queries: DataFrame, near: DataFrame, entries: DataFrame, at: np.ndarra
     sizes = entries.join(F.broadcast(centers), "list").groupBy("list").agg(F.count("*").alias("n"), F.max(away).alias("radius")).orderBy("list").toArrow()  # LISTS rows at most
     lists, count = sizes.column("list").to_numpy(), sizes.column("n").to_numpy()
     start = np.cumsum(count) - count
-    plan = spark.sparkContext.broadcast((lists, at[lists] if len(lists) else at[:0], sizes.column("radius").to_numpy(), start // part, (start + count - 1) // part))
+    plan = spark.sparkContext.broadcast((lists, at[lists] if len(lists) else at[:0], count, sizes.column("radius").to_numpy(), start // part, (start + count - 1) // part))
     starts = F.broadcast(spark.createDataFrame(pa.table({"list": pa.array(lists, pa.int64()), "start": pa.array(start, pa.int64()), "n": pa.array(count, pa.int64())})))
     limits = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
-    open_ = queries.join(limits.hint("merge"), "id").select("id", "limit", "lists", "vec")
+    open_ = queries.join(limits.hint("merge"), "id", "left").select("id", F.coalesce("limit", F.lit(float("inf"))).alias("limit"), "lists", "vec")
     slices = max(1, -(-queries.count() // QUERIES))
-    open_ = open_.mapInArrow(_unread(plan), "block long, id long, limit double, lists array<long>, vec array<double>").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    open_ = open_.mapInArrow(_unread(plan, k), "block long, id long, limit double, lists array<long>, vec array<double>").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
     place = F.col("start") + F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("n"))
     blocks = entries.join(starts, "list").select(F.floor(place / part).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "list", "ids", "vec")
     return open_.groupBy("block", "slice").cogroup(blocks.groupBy("block", "slice")).applyInArrow(_within(k), "query_id long, vec_id long, score double")

@@ -384,6 +384,16 @@ def test_nearest_with_hundreds_of_lists(spark):
         assert got[q] == np.argsort(d, kind="stable")[:10].tolist()
 
 
+def test_nearest_on_centroids(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 10 == 0, per_list=1).orderBy("query_id", "rank").collect():  # each vector is a centroid
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 40, 10):
+        assert got[q] == sorted((i for i in range(40) if i != q), key=lambda i: (abs(i - q), i))[:10]
+
+
 def test_decontamination_despite_one_conflict(spark):
     item = "the baker sells 5 loaves of dark bread every morning and keeps some of the rest for the evening when 5 friends come over to eat with the whole family"
     two = "the baker sells 5 loaves of dark bread every morning and keeps some of the rest for the evening when 7 friends come over to eat with the whole family"
