@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import pieces, stored, utf8
-from .words import BASE_WORDS, U, Words, mix, prefix
+from .words import U, Words, mix, windows
 
 WINDOW, LEAST, WORDS, NEED = 8, 5, 3, 6
 BITS = 22
@@ -82,7 +82,6 @@ class Template:
         name = capital & ~opens & ~number
         self.tokens[name], self.tokens[unit], self.tokens[number] = NAME, UNIT, NUM
         self.slot = name | unit | number
-        w.sums = prefix(mix(self.tokens), BASE_WORDS)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(first words, names) of the windows of `size` tokens that lie in one text and have enough plain words."""
@@ -93,7 +92,7 @@ class Template:
         starts[self.words.of] = 1
         text, slots = np.cumsum(starts[:n]), np.concatenate([[0], np.cumsum(self.slot)])
         at = np.flatnonzero((text[: n - size + 1] == text[size - 1 :]) & (slots[size:] - slots[:-size] <= size - min(WORDS, size)))
-        return at, mix(self.words.windows(size)[at] + U(size))
+        return at, mix(windows(mix(self.tokens), size)[at] + U(size))
 
 
 def _emit(sizes, bitmap, whole: bool):
@@ -169,8 +168,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text
 
 def without(docs: DataFrame, hits: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """`docs` without the rows that have a hit."""
-    gone = hits.select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct().hint("shuffle_hash")
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_key")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("of"), F.xxhash64(F.col(text_col)).alias("named"))
+    gone = hits.select("id", "key").distinct().hint("shuffle_hash")
+    return rows.join(gone, F.col("of").eqNullSafe(F.col("id")) & (F.col("named") == F.col("key")), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

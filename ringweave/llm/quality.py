@@ -91,15 +91,28 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, f
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), share
 
 
+def _train(sample: int):
+    """Rows sorted by place: the model of the first `sample` of them."""
+
+    def run(batches):
+        found = []
+        for batch in batches:
+            for label, ids, weights in zip(*(batch.column(c).to_pylist() for c in ("label", "ids", "weights"))):
+                if len(found) < sample:
+                    found.append((label, np.frombuffer(ids, np.int32), np.frombuffer(weights, np.float32)))
+        odds, bias, share = train([x for x in found if len(x[1])])
+        yield pa.RecordBatch.from_arrays([pa.array([odds.tobytes()], pa.binary()), pa.array([bias]), pa.array([share])], ["odds", "bias", "share"])
+
+    return run
+
+
 def learn(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="label", sample=SAMPLE):
-    """The model, learned from `sample` of the labelled rows at most."""
+    """The model, learned from `sample` of the labelled rows at most, in one task."""
     rows = labelled.select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("place"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)")
     cut = rows.select("place").orderBy("place").limit(sample).agg(F.max("place")).first()[0]
-    chosen = rows.filter(F.col("place") <= F.lit(cut)).mapInArrow(_sample, "place string, label int, ids binary, weights binary")
-    # a partition at a time, so that the driver's JVM never holds the whole sample
-    found = [(r["place"], r["label"], r["ids"], r["weights"]) for r in stored(chosen, "quality-sample").toLocalIterator()]
-    found.sort()
-    return train([(label, np.frombuffer(ids, np.int32), np.frombuffer(weights, np.float32)) for _, label, ids, weights in found[:sample] if ids])
+    chosen = stored(rows.filter(F.col("place") <= F.lit(cut)).mapInArrow(_sample, "place string, label int, ids binary, weights binary"), "quality-sample")
+    got = chosen.repartition(1).sortWithinPartitions("place", "label", "ids", "weights").mapInArrow(_train(sample), "odds binary, bias double, share double").first()
+    return (np.frombuffer(got["odds"], np.float32), got["bias"], got["share"]) if got else train([])  # an empty table runs no task
 
 
 def scores(data: np.ndarray, offsets: np.ndarray, model) -> np.ndarray:

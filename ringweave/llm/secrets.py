@@ -126,10 +126,12 @@ def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", labelled: DataFra
 
 def redacted(docs: DataFrame, findings: DataFrame, id_col="doc_id", text_col="text", mark="[SECRET]") -> DataFrame:
     """`docs` with each finding's value replaced in its text."""
-    values = findings.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("_values"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_key"))
-    text = F.aggregate("_values", F.col(text_col), lambda t, x: F.replace(t, x["value"], F.lit(mark)))
-    return docs.join(values.hint("shuffle_hash"), same, "left").withColumn(text_col, F.when(F.col("_values").isNotNull(), text).otherwise(F.col(text_col))).drop("_id", "_key", "_values")
+    values = findings.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("found"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("of"), F.xxhash64(F.col(text_col)).alias("named"), F.col(text_col).alias("text"))
+    text = F.aggregate("found", F.col("text"), lambda t, x: F.replace(t, x["value"], F.lit(mark)))
+    rows = rows.join(values.hint("shuffle_hash"), F.col("of").eqNullSafe(F.col("id")) & (F.col("named") == F.col("key")), "left")
+    rows = rows.withColumn("text", F.when(F.col("found").isNotNull(), text).otherwise(F.col("text")))
+    return rows.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

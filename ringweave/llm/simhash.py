@@ -197,9 +197,10 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width=
 
 def deduplicated(docs: DataFrame, near: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """`docs` with one row of each component of near_duplicates(): the one with the smallest id, a row without an id only where none has one."""
-    stays = near.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
-    kept = docs.withColumn("_text_key", F.xxhash64(F.col(text_col))).join(stays.hint("merge"), (F.col("_text_key") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_text_key", id_col]).select(*docs.columns)
+    stays = near.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("s")).select(F.col("s.id").alias("stays"), F.col("s.key").alias("stays_key"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"))
+    kept = rows.join(stays.hint("merge"), (F.col("key") == F.col("stays_key")) & F.col("id").eqNullSafe(F.col("stays")))
+    return kept.dropDuplicates(["id", "key"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,14 +8,23 @@ of ROWS minima of hashed shingles. Two texts at the threshold share none with a
 probability of 5e-6, and differ in more than RADIUS bits with one of about 1e-6.
 Whatever the shards propose is verified on whole texts.
 
-First every text is compared with one leading text of its shards, in STARS
-rounds with other leaders each. That joins a group of near copies by one pair per
-text and round. After each round texts leave that can have no further link: at
-the threshold LEAST of a text's shingles occur in the other text too, so one with
-more shingles than that of its own, among all texts of shards that hold several
-components, is done. Shards that hold several components after that get BK-trees of all members outside the largest
-component; every member asks them for texts of other components. Trees of more
-than SHARD members are dealt in parts, all of which are asked.
+1. Texts that can have no link leave: LEAST of a text's shingles occur in the
+   other text too, so one with more shingles of its own, among all that share a
+   shard, is done.
+2. STARS rounds join groups: every text is compared with one leader, the text of
+   its shards that shares most shards with others. A group of near copies takes
+   a pair for each text, not for each two. Later rounds take leaders outside
+   the largest component of a shard.
+3. What is left are shards of several components: often one large group and texts
+   just too far from it, which are too many to compare in pairs. Every member is
+   compared with one centre of the shard again, which gives the shingles in which
+   it differs from the centre. If neither of two texts or only one is similar to the
+   centre, they can be similar only if they have a certain number of these
+   differences in common, so (as in prefix filtering) one of the first few of
+   each. Texts with a centre and a difference in common, and of several
+   components, are searched with BK-trees of fingerprints within RADIUS. Trees
+   hold the members outside the largest component; those of more than SHARD
+   members are dealt in parts, all of which are asked.
 
 Texts with the same set of shingles are one node, so copies cost one row. Sets
 are named by 64 bits.
@@ -27,6 +36,8 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -36,7 +47,7 @@ from .simhash import BKTree, components
 from .words import U, Words, mix
 
 WIDTH, LEAST, RADIUS = 5, 0.8, 24
-BANDS, ROWS, STARS, SHARD = 40, 6, 3, 2048
+BANDS, ROWS, STARS, SHARD = 40, 6, 2, 2048
 #: Members that are verified against one copy of their centre's text, about.
 SPREAD = 256
 PIECE = 1 << 20
@@ -51,7 +62,7 @@ _TIMES = (_RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))[
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH):
     """Each text's distinct shingles as sorted hashes."""
     words = Words(_LOWER[data], offsets)
-    windows, whole, n = words.windows(width), words.texts()[0], np.diff(words.of)
+    windows, whole, n = words.windows(width), words.texts(), np.diff(words.of)
     for k, first in enumerate(words.of[:-1]):
         if n[k] >= width:
             yield np.unique(windows[first : first + n[k] - width + 1])
@@ -100,30 +111,50 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
+def prefixes(d: int, n: int, centre: int, near: bool, least: float) -> tuple[int, int]:
+    """How many of a text's d differences from its centre have to be looked at: (where the other text has at least as many differences, where it has at most as many).
+
+    n, centre: shingles of the text and of the centre. Similar texts differ in `part` of their shingles together at most, so in n * reach.
+    """
+    part = (1 - least) / (1 + least)
+    reach = part * (1 + 1 / least)
+    small, large = ceil(d - n * reach / 2 - 1e-9), ceil(d - n * reach - 1e-9)
+    if near:  # the other one is not, so it has many differences
+        common = floor((d + part * (centre - n)) / 2 - 1e-9) + 1
+        small, large = max(small, common), max(large, common)
+    return tuple(min(d, max(0, d - max(1, x) + 1)) for x in (small, large))
+
+
 def _compare(width: int, least: float):
-    """Rows (a, b, text) sorted so that a centre (b null) comes before its members."""
+    """Rows (a, b, text) sorted so that a centre (b null) comes before its members: each member's likeness to it and first differences from it."""
     limit = round(least * 1000)
+    names = ["a", "b", "near", "d", "n", "head", "differences"]
 
     def run(batches):
         centre = np.zeros(0, U)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            a, b, out = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            out: list[tuple] = []
             for x, y in pieces(offsets, PIECE):
                 for k, s in enumerate(shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], width), x):
                     if b[k] is None:
                         centre = s
                         continue
-                    same = len(np.intersect1d(centre, s, assume_unique=True))
-                    if 1000 * same >= limit * (len(centre) + len(s) - same):
-                        out.append((a[k], b[k]))
-            yield _pairs(out)
+                    gained, lost = np.setdiff1d(s, centre, True), np.setdiff1d(centre, s, True)
+                    same, d = len(s) - len(gained), len(gained) + len(lost)
+                    near = 1000 * same >= limit * (len(centre) + len(s) - same)
+                    head, most = prefixes(d, len(s), len(centre), near, least)
+                    out.append((a[k], b[k], near, d, len(s), head, np.concatenate([gained, lost])[:most].view(np.int64)))
+            columns = list(zip(*out)) or [()] * len(names)
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. A centre `a` with many members goes to several tasks."""
+def compared(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """a, b, near (whether the texts are similar), d, n, head, differences of the pairs (a, b). A centre `a` with many members goes to several tasks."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
     heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")
@@ -131,27 +162,39 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     heads = heads.join(texts.hint("merge"), F.col("a") == F.col("whole")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     members = members.join(texts.hint("merge"), F.col("b") == F.col("whole")).select("a", "salt", "b", "text")
     rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "text").mapInArrow(_compare(width, least), "a long, b long")
+    return rows.select("a", "b", "text").mapInArrow(_compare(width, least), "a long, b long, near boolean, d long, n long, head int, differences array<long>")
 
 
-def _ask(radius: int):
-    """Rows (cell, tree, whole, fp, root) sorted by cell, a cell's tree first: pairs (tree member, other) within the radius and of different roots."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
+    return compared(pairs, texts, width, least).filter("near").select("a", "b")
+
+
+def _ask(radius: int, least: float):
+    """Rows (cell, tree, whole, fp, root, near, d, n, first) sorted by cell, a cell's tree first: pairs (tree member, other) within the radius, of different roots, that their counts allow."""
+    part = (1 - least) / (1 + least)
+
+    def may(x, y) -> bool:
+        (one, root, near, d, n, first), (two, other, close, e, m, early) = x, y
+        if root == other or near and close or least * max(n, m) > min(n, m) + 1e-9:
+            return False
+        return (first if (d, one) < (e, two) else early) and d + e - part * (n + m) <= 2 * min(d, e) + 1e-9
 
     def run(batches):
         cell, tree, named = None, BKTree(), {}
         for batch in batches:
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("cell", "tree", "whole", "fp", "root"))
-            for at, grows, whole, fp, root in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("cell", "tree", "fp", "whole", "root", "near", "d", "n", "first"))
+            for at, grows, fp, *row in zip(*columns):
                 fp &= (1 << 64) - 1
                 if at != cell:
                     cell, tree, named = at, BKTree(), {}
                 if grows:
                     if fp not in named:
                         tree.add(fp)
-                    named.setdefault(fp, []).append((whole, root))
+                    named.setdefault(fp, []).append(row)
                 else:
-                    out += [(a, whole) for near in tree.near(fp, radius) for a, other in named[near] if other != root]
+                    out += [(x[0], row[0]) for near in tree.near(fp, radius) for x in named[near] if may(x, row)]
             yield _pairs(out)
 
     return run
@@ -169,42 +212,69 @@ def _exploded(width: int):
     return run
 
 
-def _several(rows: DataFrame, name: str) -> DataFrame:
+def _several(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """Members of the shards that hold several components."""
-    bands = rows.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
-    return stored(rows.join(bands.hint("merge"), "band", "left_semi"), name)
+    shards = rows.groupBy(*by).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select(*by)
+    return stored(rows.join(shards.hint("merge"), by, "left_semi"), name)
 
 
-def _linkable(members: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, least: float, name: str) -> DataFrame:
+def _linkable(members: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Members without those that have too many shingles of their own for any link among `members`."""
-    held = members.select("whole").distinct()
-    rows = texts.join(held.hint("merge"), "whole", "left_semi").select("whole", "text").mapInArrow(_exploded(width), "whole long, shingle long")
+    rows = texts.mapInArrow(_exploded(width), "whole long, shingle long")
     own = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("whole").alias("whole")).filter("n = 1").groupBy("whole").agg(F.count("*").alias("own"))
-    done = own.join(nodes.select("whole", "size").hint("merge"), "whole").filter(1000 * (F.col("size") - F.col("own")) < round(least * 1000) * F.col("size")).select("whole")
-    return _several(stored(members.join(done.hint("merge"), "whole", "left_anti"), f"{name}-left"), name)
+    done = own.join(texts.select("whole", "size").hint("merge"), "whole").filter(1000 * (F.col("size") - F.col("own")) < round(least * 1000) * F.col("size")).select("whole")
+    return _several(members.join(done.hint("merge"), "whole", "left_anti"), ["band"], "similar-linkable")
 
 
-def _rooted(shared: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """Members (band, whole, fp, root) of the shards that hold several components."""
+def _rooted(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Members (band, whole, fp, root) of the shards that still hold several components."""
     reach = components(links)
-    rows = shared.select("band", "whole", "fp").join(reach.hint("merge"), F.col("whole") == F.col("node"), "left").select("band", "whole", "fp", F.coalesce("root", "whole").alias("root"))
-    rows = stored(rows, name)
-    return _several(rows, f"{name}-open")
-
-
-def _remaining(members: DataFrame, radius: int, shard: int) -> DataFrame:
-    """Candidate pairs between different components of one shard."""
-    counts = members.groupBy("band", "root").agg(F.count("*").alias("n"))
-    bands = counts.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("major"))
-    bands = bands.select("band", F.col("major.root").alias("major"), F.ceil((F.col("all") - F.col("major.n")) / shard).cast("int").alias("parts"), F.ceil(F.col("all") / (4 * shard)).cast("int").alias("salts"))
-    rows = members.join(bands.hint("merge"), "band")
+    rows = rows.select("band", "whole", "fp").join(reach.hint("merge"), F.col("whole") == F.col("node"), "left").select("band", "whole", "fp", F.coalesce("root", "whole").alias("root"))
+    return _several(rows, ["band"], name)
+
+
+def _leaders(rows: DataFrame) -> DataFrame:
+    """whole, root, best (fame, whole, root): for each text the one of its shards' texts that may lead (column `may`) and shares most shards with others."""
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"))
+    able = rows.filter("may")
+    fame = able.join(sizes.hint("merge"), "band").groupBy("whole").agg(F.sum("n").alias("fame"))
+    best = able.join(fame.hint("merge"), "whole").groupBy("band").agg(F.max(F.struct("fame", "whole", "root")).alias("best"))
+    return rows.join(best.hint("merge"), "band").groupBy("whole", "root").agg(F.max("best").alias("best"))
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """`rows` with may: whether a member is outside its shard's largest component."""
+    counts = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
+    major = counts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m")).select("band", F.col("m.root").alias("major"))
+    return rows.join(major.hint("merge"), "band").withColumn("may", F.col("root") != F.col("major")).drop("major")
+
+
+def _centred(rows: DataFrame) -> DataFrame:
+    """a, b: every member b with the centre a of each of its shards; shards of one group mostly have the same."""
+    best = _leaders(rows.withColumn("may", F.lit(True))).select("whole", "best")
+    centres = rows.join(best.hint("merge"), "whole").groupBy("band").agg(F.max("best").alias("best"))
+    return rows.join(centres.hint("merge"), "band").select(F.col("best.whole").alias("a"), F.col("whole").alias("b")).filter("a <> b").distinct()
+
+
+def _remaining(differing: DataFrame, roots: DataFrame, radius: int, shard: int, least: float) -> DataFrame:
+    """Candidate pairs of different components among texts that share a centre and a difference from it."""
+    rows = differing.join(roots.hint("merge"), F.col("b") == F.col("whole")).select("a", "whole", "fp", "root", "near", "d", "n", "head", F.posexplode("differences").alias("place", "difference"))
+    rows = rows.withColumn("first", F.col("place") < F.col("head")).drop("head", "place")
+    by = ["a", "difference"]
+    rows = _several(rows, by, "similar-differences")
+    counts = rows.groupBy(*by, "root").agg(F.count("*").alias("n"))
+    cells = counts.groupBy(*by).agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("major"))
+    cells = cells.select(*by, F.col("major.root").alias("major"), F.ceil((F.col("all") - F.col("major.n")) / shard).cast("int").alias("parts"), F.ceil(F.col("all") / (4 * shard)).cast("int").alias("salts"))
+    rows = rows.join(cells.hint("merge"), by)
     part, salt = F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("whole", F.lit(1)), F.col("salts")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     trees = rows.filter("root <> major").withColumn("part", part).withColumn("salt", F.explode(every("salts"))).withColumn("tree", F.lit(True))
     askers = rows.withColumn("part", F.explode(every("parts"))).withColumn("salt", salt).withColumn("tree", F.lit(False))
-    cells = trees.unionByName(askers).select(F.xxhash64("band", "part", "salt").alias("cell"), "tree", "whole", "fp", "root")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", F.desc("tree"), "whole")
-    return cells.mapInArrow(_ask(radius), "a long, b long").distinct()
+    both = trees.unionByName(askers).select(F.xxhash64(*by, "part", "salt").alias("cell"), "tree", "whole", "fp", "root", "near", "d", "n", "first")
+    both = both.repartition("cell").sortWithinPartitions("cell", F.desc("tree"), "whole")
+    found = both.mapInArrow(_ask(radius, least), "a long, b long").filter("a <> b")
+    # a pair that several trees propose is one
+    return found.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def similar_texts(docs: DataFrame, *, id_col="doc_id", text_col="text", width=WIDTH, least=LEAST, radius=RADIUS, stars=STARS, shard=SHARD) -> DataFrame:
@@ -218,27 +288,23 @@ def similar_texts(docs: DataFrame, *, id_col="doc_id", text_col="text", width=WI
     shards = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     shared = stored(members.join(shards.hint("merge"), "band"), "similar-shards")
     # the text of each node that shares a shard, once
-    wanted = nodes.join(shared.select("whole").distinct().hint("merge"), "whole", "left_semi").select("whole", F.col("id").alias("_id"), F.col("key").alias("_key"))
+    wanted = nodes.join(shared.select("whole").distinct().hint("merge"), "whole", "left_semi").select("whole", "size", F.col("id").alias("_id"), F.col("key").alias("_key"))
     own = (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
-    named = stored(texts.filter("text IS NOT NULL").join(wanted.hint("shuffle_hash"), own).groupBy("whole").agg(F.first("text").alias("text")), "similar-texts")
+    named = stored(texts.filter("text IS NOT NULL").join(wanted.hint("shuffle_hash"), own).groupBy("whole", "size").agg(F.first("text").alias("text")), "similar-texts")
 
-    links, tried, open_ = None, None, shared.select("band", "whole", "fp", F.col("whole").alias("root"))
+    open_ = _linkable(shared.withColumn("root", F.col("whole")), named, width, least)
+    links = None
     for k in range(stars):
-        low = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("whole", F.lit(k)).alias("place"), "whole", "fp", "root")).alias("low"))
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= radius
-        pairs = open_.join(low.hint("merge"), "band").filter((F.col("root") != F.col("low.root")) & near).select(F.col("low.whole").alias("a"), F.col("whole").alias("b"), F.col("low.place").alias("place"))
-        if tried is not None:
-            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-        pairs = stored(pairs.groupBy("b").agg(F.min(F.struct("place", "a")).alias("s")).select("s.a", "b"), f"similar-stars-{k}")
+        led = _leaders(open_.withColumn("may", F.lit(True)) if k == 0 else _outside(open_))
+        pairs = stored(led.filter(F.col("root") != F.col("best.root")).select(F.col("best.whole").alias("a"), F.col("whole").alias("b")), f"similar-stars-{k}")
         found = stored(verified(pairs, named, width, least), f"similar-links-{k}")
         links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        open_ = _linkable(_rooted(open_, links, f"similar-rooted-{k}"), named, nodes, width, least, f"similar-linkable-{k}")
-    again = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = _remaining(open_, radius, shard).join(again.hint("merge"), ["a", "b"], "left_anti")
-    # a pair that both sides' trees propose is one
-    rest = stored(rest.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).groupBy("x", "y").agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "similar-rest")
-    links = links.unionByName(stored(verified(rest, named, width, least), "similar-links"))
+        open_ = _rooted(open_, links, f"similar-open-{k}")
+    differing = stored(compared(stored(_centred(open_), "similar-centres"), named, width, least), "similar-compared")
+    roots = open_.select("whole", "fp", "root").distinct()
+    rest = stored(_remaining(differing, roots, radius, shard, least), "similar-rest")
+    found = stored(verified(rest, named, width, least).unionByName(differing.filter("near").select("a", "b")), "similar-links")
+    links = found if links is None else links.unionByName(found)
 
     reach = components(links)
     rooted = nodes.select("whole", "id").join(reach.withColumnRenamed("node", "whole").hint("merge"), "whole", "left").withColumn("root", F.coalesce("root", "whole"))

@@ -18,7 +18,8 @@ compared: two equal windows always have the same key.
 Defined results: a null text has no words; a document id that is null comes
 before all others; rows with the same id and words are the same document, rows
 with the same id and other words are compared by their start; copies of a whole
-text are settled at once. Window names have 64 bits.
+text are settled at once. Windows are verified by names of 128 bits, made of two
+independent hashes of each word.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, stored, utf8
-from .words import U, Words, mix
+from .common import forget, pieces, stored, utf8
+from .words import U, Words, joined, mix, windows
 
 WINDOW, AROUND = 20, 4
 MOST = np.iinfo(np.uint64).max
@@ -49,7 +50,7 @@ def boundaries(names: np.ndarray, begins: np.ndarray, rounds: int = 2) -> np.nda
         pair[1:] = right[1:] & ~right[:-1] & ~begins[at[1:]]
         named = names.copy()
         second = np.flatnonzero(pair)
-        named[second - 1] = mix(names[second - 1] * U(0x9FB21C651E98DF25) + names[second])
+        named[second - 1] = joined(names[second - 1], names[second])
         at, names = at[~pair], named[~pair]
     return at
 
@@ -118,7 +119,7 @@ def _texts(batches):
 
 def _whole(batches):
     for _, ids, data, at, words, _ in _texts(batches):
-        one, two = words.texts()
+        one, two = words.texts(), words.texts(1)
         sha = [hashlib.sha256(b" ".join(data[at[k] : at[k + 1]].tobytes().split())).hexdigest() for k in range(len(ids))]
         yield pa.RecordBatch.from_arrays([pa.array(ids), _signed(one), _signed(two), pa.array(np.diff(words.of)), pa.array(sha)], ["id", "one", "two", "n_words", "sha"])
 
@@ -128,12 +129,12 @@ def _anchors(batches):
         keys = Keys(words)
         at = keys.chosen()
         text = np.searchsorted(words.of, at, "right") - 1
-        yield pa.RecordBatch.from_arrays([_signed(keys.value[at]), pa.array(ids[text]), _signed(words.texts()[0][text]), pa.array((at - words.of[text]).astype(np.int32))], ["key", "id", "one", "at"])
+        yield pa.RecordBatch.from_arrays([_signed(keys.value[at]), pa.array(ids[text]), _signed(words.texts()[text]), pa.array((at - words.of[text]).astype(np.int32))], ["key", "id", "one", "at"])
 
 
 def _windows(batches):
     for batch, ids, _, _, words, rows in _texts(batches):
-        one, marked, twins = words.texts()[0].view(np.int64), np.zeros(len(words.hash), bool), np.full(len(ids), -1, np.int64)
+        one, marked, twins = words.texts().view(np.int64), np.zeros(len(words.hash), bool), np.full(len(ids), -1, np.int64)
         for k, row in enumerate(rows):
             firsts = {x["one"]: x["twin"] for x in batch.column("firsts")[row].as_py()}
             twins[k] = firsts.get(int(one[k]), -1)
@@ -143,15 +144,15 @@ def _windows(batches):
                 marked[words.of[k] + own] = True
         at = Keys(words).repeated(marked)
         text = np.searchsorted(words.of, at, "right") - 1
-        name = words.windows(WINDOW)[at]
         keep = twins[text] >= 0
-        at, text, name = at[keep], text[keep], name[keep]
-        yield pa.RecordBatch.from_arrays([_signed(name), pa.array(ids[text]), pa.array(twins[text].astype(np.int32)), pa.array((at - words.of[text]).astype(np.int32))], ["name", "id", "twin", "at"])
+        at, text = at[keep], text[keep]
+        name, proof = words.windows(WINDOW)[at], windows(words.hashed(1), WINDOW)[at]
+        yield pa.RecordBatch.from_arrays([_signed(name), _signed(proof), pa.array(ids[text]), pa.array(twins[text].astype(np.int32)), pa.array((at - words.of[text]).astype(np.int32))], ["name", "proof", "id", "twin", "at"])
 
 
 def _kept(batches):
     for batch, ids, data, at, words, rows in _texts(batches):
-        one = words.texts()[0].view(np.int64)
+        one = words.texts().view(np.int64)
         out = {"id": [], "one": [], "removed": [], "kept": []}
         for k, row in enumerate(rows):
             firsts = {x["one"]: x["twin"] for x in batch.column("firsts")[row].as_py()}
@@ -186,10 +187,10 @@ def repeats(docs: DataFrame, *, id_col="doc_id", text_col="text") -> tuple[DataF
     marks = anchors.join(again.hint("merge"), "key").groupBy("id").agg(F.collect_list("at").alias("marks"))
     marks = stored(marks.join(firsts.hint("shuffle_hash"), "id"), "repeats-marks")
     some = stored(texts.join(marks.hint("shuffle_hash"), "id"), "repeats-some")
-    windows = stored(some.mapInArrow(_windows, "name long, id long, twin int, at int"), "repeats-windows")
-    start = F.struct("id", "at", "twin")
-    earliest = windows.groupBy("name").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last")).filter("first < last").select("name", "first")
-    later = windows.join(earliest.hint("merge"), "name").filter(F.struct("id", "at") > F.col("first"))
+    forget(anchors)
+    named = stored(some.mapInArrow(_windows, "name long, proof long, id long, twin int, at int"), "repeats-windows")
+    earliest = named.groupBy("name", "proof").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last")).filter("first < last").select("name", "proof", "first")
+    later = named.join(earliest.hint("merge"), ["name", "proof"]).filter(F.struct("id", "at") > F.col("first"))
     starts = later.groupBy("id").agg(F.collect_list(F.shiftleft(F.col("twin").cast("long"), 32) + F.col("at")).alias("starts"))
     changed = some.select("id", "text", "firsts").join(starts.hint("shuffle_hash"), "id").mapInArrow(_kept, "id long, one long, removed long, kept string")
     return every, changed

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 U = np.uint64
-BASE, BASE_WORDS = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
+LONG = 256
+_ONES = U((1 << 64) - 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,33 +22,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x2545F4914F6CDD1D)) | U(1)
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A name for each pair of names."""
+    return mix(mix(left) * U(0x9E3779B97F4A7C15) + right)
 
 
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n at least."""
-    key = int(base)
-    if key not in _powers or len(_powers[key][0]) <= n:
-        size = max(1 << 20, 2 * n)
-        inverse = U(pow(key, -1, 1 << 64))
-        both = []
-        for b in (base, inverse):
-            a = np.full(size, b, U)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        _powers[key] = (both[0], both[1])
-    return _powers[key]
-
-
-def prefix(x: np.ndarray, base: np.uint64) -> np.ndarray:
-    out = np.zeros(len(x) + 1, U)
-    np.cumsum(x * powers(base, len(x))[0][: len(x)], out=out[1:])
-    return out
-
-
-def ranged(sums: np.ndarray, base: np.uint64, first: np.ndarray, past: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the ranges [first, past) behind prefix()'s sums."""
-    return (sums[past] - sums[first]) * powers(base, len(sums))[1][first]
+def windows(names: np.ndarray, n: int) -> np.ndarray:
+    """A name for each n consecutive names, by the first: pairs of pairs, as far as n goes. The steps aren't linear, so no arrangement of words makes them cancel."""
+    have, whole, out, done = 1, names, None, 0
+    while True:
+        if n & have:
+            out = whole if out is None else joined(out[: max(0, len(out) - have)], whole[done : done + max(0, len(out) - have)])
+            done += have
+        if have * 2 > n:
+            return out
+        whole, have = joined(whole[: max(0, len(whole) - have)], whole[have:]), have * 2
 
 
 class Words:
@@ -64,19 +53,39 @@ class Words:
         end[edges - 1] |= solid[edges - 1]
         self.first, self.past = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.of = np.searchsorted(self.first, offsets)
-        self.hash = mix(ranged(prefix(_BYTE[data], BASE), BASE, self.first, self.past)) if len(data) else np.zeros(0, U)
-        self.sums = prefix(self.hash, BASE_WORDS)
+        self._data = data
+        self.hash = self.hashed(0)
+
+    def hashed(self, seed: int) -> np.ndarray:
+        """A hash of each word: its bytes are mixed in eight at a time, and words over LONG bytes go to a library."""
+        if not len(self.first):
+            return np.zeros(0, U)
+        padded = np.concatenate([self._data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self._data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each position on
+        size = self.past - self.first
+        out = mix(size.astype(U) + U(seed) * U(0xD1342543DE82EF95))
+        some, k = np.arange(len(size)), 0
+        long = size > LONG
+        if long.any():
+            some = np.flatnonzero(~long)
+            out[long] = [xxh3_64_intdigest(self._data[a:b].tobytes(), seed) for a, b in zip(self.first[long], self.past[long])]
+        while len(some):
+            rest = np.minimum(size[some] - k, 8)
+            part = eight[self.first[some] + k] & (_ONES >> (U(64) - U(8) * rest.astype(U)))
+            out[some] = mix(out[some] * U(0x9E3779B97F4A7C15) + part)
+            k += 8
+            some = some[size[some] > k]
+        return out
 
     def windows(self, n: int) -> np.ndarray:
         """A hash of each n consecutive words, by first word; windows over the end of a text are among them."""
-        at = np.arange(max(0, len(self.hash) - n + 1))
-        return mix(ranged(self.sums, BASE_WORDS, at, at + n))
+        return windows(self.hash, n)
 
-    def texts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each text's whole word sequence, made in different ways."""
+    def texts(self, seed: int = 0) -> np.ndarray:
+        """A hash of each text's whole word sequence."""
         first, past = self.of[:-1], self.of[1:]
         place = np.arange(len(self.hash), dtype=U) - np.repeat(first, past - first).astype(U)
-        summed = np.zeros(len(self.hash) + 1, U)
-        np.cumsum(mix(self.hash + place * U(0xA24BAED4963EE407)), out=summed[1:])
-        n = (past - first).astype(U)
-        return mix(ranged(self.sums, BASE_WORDS, first, past) + n), mix((summed[past] - summed[first]) ^ n)
+        words = self.hashed(seed) if seed else self.hash
+        summed = np.zeros(len(words) + 1, U)
+        np.cumsum(mix(words + mix(place + U(seed + 1))), out=summed[1:])
+        return mix((summed[past] - summed[first]) ^ (past - first).astype(U))

@@ -82,3 +82,31 @@ def test_edges(spark):
     assert sorted(((r.id, r.component_id) for r in near.collect()), key=str) == sorted([(5, 4), (5, 4), (None, 4), (4, 4), (None, 6), (6, 6), (7, 7)], key=str)
     kept = simhash.deduplicated(docs, near)
     assert sorted(r.doc_id for r in kept.collect()) == [4, 6, 7] and kept.columns == docs.columns
+
+
+def test_differences_lose_no_pair():
+    """Similar texts that aren't both near their centre share one of the differences that are looked at."""
+
+    rng, found = random.Random(7), 0
+    for _ in range(300):
+        centre = set(rng.sample(range(400), rng.randrange(20, 90)))
+        texts = []
+        for _ in range(12):
+            s = {x for x in centre if rng.random() > rng.choice([0.02, 0.1, 0.2, 0.4])} | set(rng.sample(range(400), rng.randrange(25)))
+            texts += [s, {x for x in s if rng.random() > 0.05} | set(rng.sample(range(400), rng.randrange(4)))]
+        rows = []
+        for s in texts:
+            gained, lost = sorted(s - centre), sorted(centre - s)
+            near = 5 * len(s & centre) >= 4 * len(s | centre)
+            head, most = simhash_texts.prefixes(len(gained) + len(lost), len(s), len(centre), near, 0.8)
+            rows.append((s, near, gained + lost, head, most))
+        for i, x in enumerate(rows):
+            for y in rows[:i]:
+                if 5 * len(x[0] & y[0]) < 4 * len(x[0] | y[0]) or x[1] and y[1] or not x[0]:
+                    continue
+                small, large = (x, y) if len(x[2]) < len(y[2]) else (y, x)
+                assert {*small[2][: small[3]]} & {*large[2][: large[4]]}
+                if len(x[2]) == len(y[2]):  # either may be taken as the one with fewer
+                    assert {*large[2][: large[3]]} & {*small[2][: small[4]]}
+                found += 1
+    assert found > 1000
