@@ -13,11 +13,13 @@ HOUR = 3600.0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master has a temporary one where that is unset; a cluster has to name it."""
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ringweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,11 +32,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, by: list, name: str = "number") -> DataFrame:
+    """`rows` with their place in the order of `by`, from 1: ranges of rows are counted first and numbered on their own, so no task sees all rows."""
+    ranged = cut(rows.repartitionByRange(*by).withColumn("range_id", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("range_id").agg(F.count("*").alias("n"))
+    # a row for each range, of which there are as many as shuffle partitions
+    before = sizes.select("range_id", (F.sum("n").over(W.orderBy("range_id")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("range_id").orderBy(*by))
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), "range_id").withColumn(name, F.col("inside") + F.col("before")).drop("inside", "before", "range_id")
+
+
 def canonical(membership: DataFrame) -> DataFrame:
     """Communities numbered from 0 by their smallest member."""
     first = membership.groupBy("community_id").agg(F.min("account_id").alias("first"))
-    number = first.select("community_id", (F.row_number().over(W.orderBy("first")) - 1).cast("long").alias("number"))
-    return membership.join(number, "community_id").select("account_id", F.col("number").alias("community_id"))
+    number = numbered(first, ["first"]).select("community_id", (F.col("number") - 1).cast("long").alias("number"))
+    return membership.join(number.hint("merge"), "community_id").select("account_id", F.col("number").alias("community_id"))
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, median: exact, from counts of equal values, so that no task buffers a key's rows."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    total = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy(key).orderBy(value)))
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col(value)))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    return upto.join(total.hint("merge"), key).groupBy(key).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def structure(membership: DataFrame, inside: DataFrame) -> DataFrame:
@@ -66,9 +88,9 @@ def activity_stats(membership: DataFrame, transactions: DataFrame) -> DataFrame:
     """Per community over the distinct times of its members: count, active hours, median gap, span, compression, first and last."""
     times = activity(transactions).join(membership.hint("merge"), "account_id").select("community_id", "timestamp").distinct()
     basic = times.groupBy("community_id").agg(F.count("*").alias("tx_count"), F.countDistinct(F.date_trunc("hour", "timestamp")).alias("active_hours"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
-    medians = gaps(times, "community_id").groupBy("community_id").agg(F.median("gap").alias("median_gap_hours"))
+    typical = medians(gaps(times, "community_id"), "community_id", "gap").withColumnRenamed("median", "median_gap_hours")
     span = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / F.lit(1e6) / HOUR
-    return basic.join(medians, "community_id", "left").withColumn("span_hours", span).withColumn("compression", F.col("tx_count") / (F.col("tx_count") + F.col("span_hours")))
+    return basic.join(typical.hint("merge"), "community_id", "left").withColumn("span_hours", span).withColumn("compression", F.col("tx_count") / (F.col("tx_count") + F.col("span_hours")))
 
 
 def summary(structures: DataFrame, stats: DataFrame, top: int = 10) -> DataFrame:
@@ -142,8 +164,8 @@ def detect(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: in
             better = worth(half)
             if better <= quality + 1e-12:
                 touched = moves.withColumn("c", F.explode(F.array("comm", "target")))
-                first = F.row_number().over(W.partitionBy("c").orderBy(F.desc("gain"), "node"))
-                alone = touched.withColumn("n", first).groupBy("node", "target").agg(F.max("n").alias("n")).filter("n = 1")
+                first = touched.groupBy("c").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "node", "target")).alias("s"))
+                alone = first.groupBy("s.node", "s.target").agg(F.count("*").alias("n")).filter("n = 2")
                 half = applied(alone)
                 better = worth(half)
             moved_any |= better > quality

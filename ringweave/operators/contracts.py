@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 # Evaluation columns, and the order of the enriched ledger.
 EVALUATION = ("pattern_id", "is_ring_member", "link_type")
-LABEL_COLUMNS = ("is_positive", "max_ring_coverage", "primary_ring", "num_rings_intersected", "fraud_account_count", "fraud_purity", "label")
+LABEL_COLUMNS = ("is_positive", "max_ring_coverage", "primary_ring_id", "num_rings_intersected", "fraud_account_count", "fraud_purity", "label")
 OBSERVABLE = ("transaction_id", "timestamp", "amount", "src_account_id", "dst_account_id", "merchant_id", "device_id", "payment_instrument_id", "ip_address", "payment_method", "account_age_days", "transaction_status")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import evidence_id
 from ..functions.rules import AT_LEAST, ORDER, POINTS, by_severity, hub_severity, steps
-from .communities import gaps
+from .communities import gaps, medians
 from .features import member_transactions
 from .graph import mirrored
 
@@ -50,11 +50,20 @@ def _none() -> Column:
     return F.expr("array()").cast("array<string>")
 
 
+def first_of(rows: DataFrame, keys: list[str], column: str, name: str, keep: int = SUPPORT) -> DataFrame:
+    """keys, n (distinct values of `column`) and the first `keep` of these as an array: a hot key's values are counted, never gathered in a row."""
+    single = rows.select(*keys, column).distinct()
+    counts = single.groupBy(*keys).agg(F.count("*").alias("n"))
+    k = F.row_number().over(W.partitionBy(*keys).orderBy(column))
+    some = single.withColumn("k", k).filter(F.col("k") <= keep).groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias(name))
+    return counts.join(some.hint("merge"), keys)
+
+
 def sharing(inside: DataFrame, kind: str) -> DataFrame:
     """Entities of one kind on the internal edges of a community, by the number of accounts at their ends."""
     name, bounds = SHARING[kind]
     ends = inside.select("community_id", F.explode(kind).alias("entity"), F.array("src", "dst").alias("ends")).select("community_id", "entity", F.explode("ends").alias("account"))
-    found = ends.groupBy("community_id", "entity").agg(F.array_sort(F.collect_set("account")).alias("accounts")).withColumn("n", F.size("accounts"))
+    found = first_of(ends, ["community_id", "entity"], "account", "accounts")
     title = F.format_string("%s: %d accounts", "entity", "n")
     return item(found, "COMMUNITY", F.col("community_id"), name, steps(F.col("n"), bounds), F.col("entity"), title, F.col("accounts"), {"entity": F.col("entity"), "account_count": F.col("n"), "sample": F.array_join(F.slice("accounts", 1, SAMPLE), ",")})
 
@@ -93,7 +102,8 @@ def bursts(rows: DataFrame, key: str, entity_type: str) -> DataFrame:
 
 def rapid(rows: DataFrame, key: str, entity_type: str) -> DataFrame:
     """Evidence for a small median gap between consecutive rows; equal times count."""
-    found = gaps(rows.select(key, "timestamp"), key).groupBy(key).agg(F.median("gap").alias("median"), F.min("gap").alias("least"), F.max("gap").alias("most"), (F.count("*") + 1).alias("n"))
+    between = gaps(rows.select(key, "timestamp"), key)
+    found = between.groupBy(key).agg(F.min("gap").alias("least"), F.max("gap").alias("most"), (F.count("*") + 1).alias("n")).join(medians(between, key, "gap").hint("merge"), key)
     severity = steps(F.col("median"), (0.5, 2.0, 6.0), test="__lt__")
     metrics = {"median_gap_hours": F.bround("median", 4), "min_gap_hours": F.bround("least", 4), "max_gap_hours": F.bround("most", 4), "transaction_count": F.col("n")}
     return item(found, entity_type, F.col(key), "RAPID_INTERACTION", severity, F.lit("gap"), F.format_string("median gap %.2f h", "median"), _none(), metrics)
@@ -155,8 +165,7 @@ def account_evidence(membership: DataFrame, inside: DataFrame, transactions: Dat
     parts = []
     for kind in ("instruments", "devices", "ips"):
         name, bounds = SHARING[kind]
-        found = both.select("account_id", "peer", F.explode(kind).alias("entity")).groupBy("account_id", "entity").agg(F.array_sort(F.collect_set("peer")).alias("peers"))
-        found = found.withColumn("n", F.size("peers") + 1)
+        found = first_of(both.select("account_id", "peer", F.explode(kind).alias("entity")), ["account_id", "entity"], "peer", "peers").withColumn("n", F.col("n") + 1)
         parts.append(item(found, "ACCOUNT", F.col("account_id"), name, steps(F.col("n"), bounds), F.col("entity"), F.format_string("%s: %d accounts", "entity", "n"), F.col("peers"), {"entity": F.col("entity"), "account_count": F.col("n")}))
     n, names = layers()
     paired = both.withColumn("n", n).withColumn("names", names)
@@ -206,3 +215,22 @@ def matches(items: DataFrame, transactions: DataFrame) -> DataFrame:
     timed = items.filter("observed_at IS NOT NULL").select("entity_type", "entity_id", "evidence_id", F.col("observed_at").alias("from"), F.to_timestamp(F.element_at("metrics", F.lit("end"))).alias("to"))
     inside = timed.join(transactions.select("entity_id", "transaction_id", "timestamp").hint("merge"), "entity_id").filter(F.col("timestamp").between(F.col("from"), F.col("to")))
     return named.unionByName(inside.select(*named.columns)).distinct()
+
+
+def subjects(items: DataFrame) -> DataFrame:
+    """What an item is about: subject (transactions, accounts or community), transaction_count, window_minutes, account_count, first_accounts."""
+    measure = lambda name: F.try_element_at("metrics", F.lit(name))
+    accounts = F.filter("supporting_entities", lambda x: x.rlike("(?i)^acc"))
+    others = F.size("supporting_entities") - F.size(accounts)
+    counted = measure("transaction_count").cast("long")
+    span = F.unix_timestamp(measure("end"), "yyyy-MM-dd HH:mm:ss") - F.unix_timestamp(measure("start"), "yyyy-MM-dd HH:mm:ss")
+    window = F.coalesce(measure("window_minutes").cast("long"), F.when(span.isNotNull(), F.greatest(F.lit(1), F.bround(span / 60))).cast("long"))
+    n = F.coalesce(counted, F.when(window.isNotNull() | (others > 0), others).cast("long"))
+    subject = F.when(n.isNotNull(), "transactions").when(F.size(accounts) > 0, "accounts").otherwise("community")
+    return items.select("entity_type", "entity_id", "evidence_id", subject.alias("subject"), n.alias("transaction_count"), window.alias("window_minutes"), F.size(accounts).alias("account_count"), F.array_join(F.slice(accounts, 1, 3), ", ").alias("first_accounts"))
+
+
+def touching(items: DataFrame) -> DataFrame:
+    """account_id and the evidence items that name it among their supporting entities."""
+    rows = items.select(F.explode("supporting_entities").alias("account_id"), "entity_type", "entity_id", "evidence_id", "type", "severity")
+    return rows.filter(F.col("account_id").rlike("(?i)^acc")).distinct()

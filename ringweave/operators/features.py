@@ -81,7 +81,14 @@ def long_form(features: DataFrame) -> DataFrame:
 
 def quality_report(features: DataFrame, labels: DataFrame) -> DataFrame:
     """feature, missing, mean_positive, mean_negative, ratio."""
-    rows = long_form(features).join(labels.select("community_id", "is_positive"), "community_id")
+    rows = long_form(features).join(labels.select("community_id", "is_positive").hint("merge"), "community_id")
     mean = lambda v: F.avg(F.when(F.col("is_positive") == v, F.col("value")))
     out = rows.groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("missing"), mean(1).alias("mean_positive"), mean(0).alias("mean_negative"))
     return out.withColumn("ratio", F.col("mean_positive") / F.nullif(F.col("mean_negative"), F.lit(0.0)))
+
+
+def class_balance(labels: DataFrame) -> DataFrame:
+    """is_positive, n, share of all labels."""
+    n = labels.groupBy("is_positive").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))  # one row
+    return n.crossJoin(F.broadcast(total)).select("is_positive", "n", (F.col("n") / F.col("total")).alias("share"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.rules import tier
+from .communities import numbered
 from .features import member_transactions
 from .graph import mirrored
 
@@ -122,8 +123,8 @@ def network_summary(accounts: DataFrame, transactions: DataFrame, edges: DataFra
 
 def community_list(scores: DataFrame, features: DataFrame) -> DataFrame:
     """Communities by risk, the highest first, with their rank. scores: community_id, risk_score, probability."""
-    rank = F.row_number().over(W.orderBy(F.desc("risk_score"), F.desc("probability"), "community_id"))
-    return scores.join(features, "community_id", "left").withColumn("risk_rank", rank)
+    rows = scores.join(features, "community_id", "left")
+    return numbered(rows, [F.desc("risk_score"), F.desc("probability"), F.col("community_id")], "risk_rank").withColumn("risk_rank", F.col("risk_rank").cast("int"))
 
 
 def community_detail(features: DataFrame, stats: DataFrame) -> DataFrame:

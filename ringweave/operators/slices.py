@@ -43,9 +43,9 @@ def edges(chosen: DataFrame, inside: DataFrame, transactions: DataFrame, focal:
     rows = rows.join(flow, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), "left")
     count = lambda c: F.coalesce(c, F.lit(0))
     known = rows.select("community_id", "src", "dst", "weight", "is_focal", "temporal_overlap", *KINDS, count("forward_count").alias("forward"), count("reverse_count").alias("reverse"), (count("forward_amount") + count("reverse_amount")).alias("amount"))
-    lone = flow.filter("a <> b").join(focal, (F.col("a") == F.col("focal")) | (F.col("b") == F.col("focal")))
-    other = F.when(F.col("a") == F.col("focal"), F.col("b")).otherwise(F.col("a"))
-    lone = lone.withColumn("other", other).join(members.withColumnRenamed("account_id", "other"), ["community_id", "other"], "left_semi")
+    # two equi-joins, as the focal account may be either end
+    ends = lambda own, other: flow.filter("a <> b").join(focal.hint("merge"), F.col(own) == F.col("focal")).withColumn("other", F.col(other))
+    lone = ends("a", "b").unionByName(ends("b", "a")).join(members.withColumnRenamed("account_id", "other"), ["community_id", "other"], "left_semi")
     lone = lone.join(inside.select("community_id", F.col("src").alias("a"), F.col("dst").alias("b")), ["community_id", "a", "b"], "left_anti")
     ahead = F.col("forward_count") > 0  # along the forward flow, if there is one
     none = F.expr("array()").cast("array<string>")
@@ -149,29 +149,48 @@ def storyline(accounts: DataFrame, items: DataFrame, timeline: DataFrame) -> Dat
     return out
 
 
-def reach(edges: DataFrame, start: str, depth: int = 6, until: str | None = None) -> DataFrame:
-    """account_id, hops, parent (the smallest there is) for what can be reached over undirected edges in `depth` steps."""
+def _frontiers(edges: DataFrame, start: str, depth: int | None, until: str | None) -> list[DataFrame]:
+    """By hop from 0: account_id, hops, parent (the smallest there is) of the accounts that are reached first in so many steps."""
     both = cut(mirrored(edges.select("src", "dst")), "reach-edges")
-    seen = both.sparkSession.createDataFrame([(start, 0, None)], "account_id string, hops int, parent string")
-    frontier = seen
-    for hop in range(1, depth + 1):
-        step = both.join(frontier.select("account_id").hint("merge"), "account_id").groupBy("peer").agg(F.min("account_id").alias("parent"))
-        frontier = cut(step.withColumnRenamed("peer", "account_id").join(seen, "account_id", "left_anti").select("account_id", F.lit(hop).alias("hops"), "parent"), "reach-frontier")
+    found = [both.sparkSession.createDataFrame([(start, 0, None)], "account_id string, hops int, parent string")]
+    seen = found[0].select("account_id")
+    while depth is None or len(found) <= depth:
+        step = both.join(found[-1].select("account_id").hint("merge"), "account_id").groupBy("peer").agg(F.min("account_id").alias("parent"))
+        new = step.withColumnRenamed("peer", "account_id").join(seen.hint("merge"), "account_id", "left_anti")
+        frontier = cut(new.select("account_id", F.lit(len(found)).alias("hops"), "parent"), "reach-frontier")
         if not frontier.limit(1).count():
             break
-        seen = seen.unionByName(frontier)
+        found.append(frontier)
+        seen = cut(seen.unionByName(frontier.select("account_id")), "reach-seen")
         if until is not None and frontier.filter(F.col("account_id") == until).limit(1).count():
             break
-    return seen
+    return found
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 6) -> DataFrame:
-    """hop, src, dst of a path with the fewest edges, none if there isn't any. Walks back one parent per hop."""
-    seen = reach(edges, start, depth, end)
+def reach(edges: DataFrame, start: str, depth: int | None = 6, until: str | None = None) -> DataFrame:
+    """account_id, hops, parent for what can be reached over undirected edges in `depth` steps, in any number for None."""
+    found = _frontiers(edges, start, depth, until)
+    out = found[0]
+    for frontier in found[1:]:
+        out = out.unionByName(frontier)
+    return out
+
+
+def shortest_path(edges: DataFrame, start: str, end: str, transactions: DataFrame | None = None) -> DataFrame:
+    """hop, src, dst and, where edges tell kinds, the relation of each hop of a path with the fewest edges, however long; none if there isn't any."""
+    found = _frontiers(edges, start, None, end)
     hops, at = [], end
-    row = seen.filter(F.col("account_id") == at).first()
-    while row is not None and row["parent"] is not None:
-        hops.append((row["hops"], row["parent"], at))
-        at = row["parent"]
-        row = seen.filter(F.col("account_id") == at).first()
-    return edges.sparkSession.createDataFrame(hops[::-1], "hop int, src string, dst string")
+    for frontier in found[:0:-1]:  # one parent per hop, each from its own frontier
+        row = frontier.filter(F.col("account_id") == at).first()
+        if row is not None:
+            hops.append((row["hops"], row["parent"], at, min(at, row["parent"]), max(at, row["parent"])))
+            at = row["parent"]
+    path = edges.sparkSession.createDataFrame(hops[::-1], "hop int, src string, dst string, a string, b string")
+    if "devices" not in edges.columns:
+        return path.select("hop", "src", "dst")
+    known = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), *KINDS, "temporal_overlap")
+    rows = path.hint("broadcast").join(known, ["a", "b"])  # a row for each hop
+    if transactions is None:
+        return rows.select("hop", "src", "dst", relation(F.lit(0)).alias("relation"))
+    flow = pairs(transactions).select("a", "b", (F.col("forward_count") + F.col("reverse_count")).alias("n"))
+    return rows.join(flow.hint("merge"), ["a", "b"], "left").select("hop", "src", "dst", relation(F.coalesce("n", F.lit(0))).alias("relation"))

@@ -233,9 +233,9 @@ def community_features(net: Network) -> DataFrame:
 
 _LABELS = """sized AS (SELECT pattern_id, min(ring_order) AS ring_order, count(*) AS n FROM ring_members GROUP BY 1),
 cov AS (SELECT community_id, r.pattern_id, ring_order, count(*) / any_value(n)::DOUBLE AS coverage FROM ring_members r JOIN membership USING (account_id) JOIN sized s USING (pattern_id, ring_order) GROUP BY ALL),
-labels_ AS (SELECT m.community_id, coalesce(max(coverage), 0)::DOUBLE AS max_ring_coverage, arg_min(pattern_id, (-coverage, ring_order)) AS primary_ring, count(pattern_id)::BIGINT AS num_rings_intersected FROM (SELECT DISTINCT community_id FROM membership) m LEFT JOIN cov USING (community_id) GROUP BY 1),
+labels_ AS (SELECT m.community_id, coalesce(max(coverage), 0)::DOUBLE AS max_ring_coverage, arg_min(pattern_id, (-coverage, ring_order)) AS primary_ring_id, count(pattern_id)::BIGINT AS num_rings_intersected FROM (SELECT DISTINCT community_id FROM membership) m LEFT JOIN cov USING (community_id) GROUP BY 1),
 frauds AS (SELECT community_id, count(*) AS members, count(*) FILTER (account_id IN (SELECT account_id FROM ring_members))::BIGINT AS fraud FROM membership GROUP BY 1),
-ring_labels AS (SELECT community_id, max_ring_coverage, primary_ring, num_rings_intersected, fraud AS fraud_account_count, round_even(fraud / members::DOUBLE, 6) AS fraud_purity, (max_ring_coverage >= {t})::INTEGER AS is_positive FROM labels_ JOIN frauds USING (community_id))"""
+ring_labels AS (SELECT community_id, max_ring_coverage, primary_ring_id, num_rings_intersected, fraud AS fraud_account_count, round_even(fraud / members::DOUBLE, 6) AS fraud_purity, (max_ring_coverage >= {t})::INTEGER AS is_positive FROM labels_ JOIN frauds USING (community_id))"""
 
 
 @register("ring_labels", "SELECT * FROM ring_labels", _LABELS.format(t="0.5"))
@@ -296,6 +296,8 @@ _MEASURES = {"burst": ["transaction_count", "start", "end"], "gap": ["median_gap
 
 def shown(items: DataFrame, keys: list[str]) -> DataFrame:
     measure = F.concat_ws(" ", *(F.element_at("metrics", F.lit(k)) for k in keys))
+    if keys == _MEASURES["gap"]:
+        measure = measure.cast("double")
     return items.select("evidence_id", "entity_id", "type", "severity", "points", measure.alias("measure"), F.array_join("supporting_entities", ",").alias("supporting"))
 
 
@@ -314,9 +316,8 @@ def _detectors() -> None:
     for name, make in made.items():
         keys = _MEASURES.get(name, ["account_count"])
         body = f"SELECT evidence_id, entity_id, type, severity, {_POINTS}, measure, supporting FROM ({_EV[name]}) WHERE severity IS NOT NULL"
-        if name == "gap":  # a double's text differs between engines
-            body = body.replace("measure, supporting FROM", "'' AS measure, supporting FROM", 1)
-            keys = []
+        if name == "gap":  # a double's text differs between engines, so its value is compared
+            body = body.replace("measure, supporting FROM", "measure::DOUBLE AS measure, supporting FROM", 1)
         register(f"ev_{name.removesuffix('s') if name in evidence.SHARING else name}", body, _FEATURES + "," + _WINDOWS)(lambda net, make=make, keys=keys: shown(make(net), keys))
 
 

@@ -88,11 +88,9 @@ def account_ledger(net: Network) -> DataFrame:
     return marts.ledger(net.transactions).select("account_id", "transaction_id", "position")
 
 
-@register("received_ledger", "SELECT dst_account_id AS account_id, count(*)::BIGINT AS n, round(sum(amount), 2) AS amount FROM tx WHERE dst_account_id = 'acc_1' OR dst_account_id = 'acc_2' GROUP BY 1")
+@register("received_ledger", "SELECT dst_account_id AS account_id, count(*)::BIGINT AS n, round(sum(amount), 2) AS amount FROM tx GROUP BY 1")
 def received_ledger(net: Network) -> DataFrame:
-    watched = F.broadcast(net.accounts.filter(F.col("account_id").isin("acc_1", "acc_2")).select("account_id"))  # two rows
-    rows = watched.join(net.transactions, F.col("dst_account_id") == F.col("account_id"))
-    rows = filters.direction(rows, F.col("account_id"), "received")
+    rows = filters.direction(marts.ledger(net.transactions), F.col("account_id"), "received")
     return rows.groupBy("account_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
@@ -252,7 +250,7 @@ def lens_evidence(net: Network) -> DataFrame:
 
 # --- slices ------------------------------------------------------------------
 
-NODES, EDGES = 12, 40
+NODES, EDGES = 200, 500
 _SLICE = _PAIR + "," + base._WINDOWS + f"""
 , focal AS (SELECT community_id, min(account_id) AS focal FROM membership GROUP BY 1),
 chosen AS (SELECT community_id, account_id FROM deg QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY degree DESC, account_id) <= {NODES} UNION SELECT community_id, focal FROM focal
@@ -364,7 +362,7 @@ def reach_hops(net: Network) -> DataFrame:
 
 @register("shortest_path")
 def shortest_path(net: Network) -> DataFrame:
-    return slices.shortest_path(edges_of(net), "acc_0", "acc_7", 6)
+    return slices.shortest_path(once(net, "edges", lambda: edges_of(net)), "acc_0", "acc_7", net.transactions)
 
 
 # --- cases: one for each community, from its evidence --------------------------
@@ -455,12 +453,12 @@ def risk_tiers(net: Network) -> DataFrame:
 
 @register("feature_importance")
 def feature_importance(net: Network) -> DataFrame:
-    return scoring.importance(features_of(net), positives_of(net), 50)
+    return scoring.importance(features_of(net), positives_of(net))
 
 
 @register("cv_metrics")
 def cv_metrics(net: Network) -> DataFrame:
-    return scoring.cross_validate(features_of(net), positives_of(net), 3, 1, 50)
+    return scoring.cross_validate(features_of(net), positives_of(net), repeats=1)
 
 
 ORACLES["stream_enrich"] = base.ORACLES["enrich_tx"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_graph, queries_marts
+from . import queries_directory, queries_graph, queries_marts
 
-MODULES = [queries_graph, queries_marts]
+MODULES = [queries_graph, queries_marts, queries_directory]
 
 
 def queries() -> dict:

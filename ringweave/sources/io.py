@@ -57,7 +57,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_observable(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     rows = spark.read.parquet(path)
     rows = require(rows.drop(*EVALUATION), ["transaction_id"]).select(*(c for c in OBSERVABLE if c in rows.columns))
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy("transaction_id").limit(limit)
 
 
 def write_ledger(ledger: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -146,12 +146,12 @@ def test_ring_labels(spark):
     sets = {0: ["f1", "c1", "c2"], 1: ["f2", "f3", "c3"], 2: ["g1", "g2", "g3", "g4", "c4"], 3: ["c5", "c6", "c7"]}
     m = spark.createDataFrame([(a, c) for c, own in sets.items() for a in own], "account_id string, community_id long")
     got = {r.community_id: r for r in labels.community_labels(m, labels.ring_members(rings)).collect()}
-    assert [(got[c].max_ring_coverage, got[c].primary_ring, got[c].is_positive, got[c].fraud_account_count, got[c].fraud_purity) for c in range(4)] == [
+    assert [(got[c].max_ring_coverage, got[c].primary_ring_id, got[c].is_positive, got[c].fraud_account_count, got[c].fraud_purity) for c in range(4)] == [
         (0.25, "ring_1", 0, 1, 0.333333), (0.5, "ring_1", 1, 2, 0.666667), (0.8, "ring_2", 1, 4, 0.8), (0.0, None, 0, 0, 0.0),
     ]
     both = spark.createDataFrame([(a, 0) for a in ("f1", "g1", "g2", "g3", "c")], "account_id string, community_id long")
     r = labels.community_labels(both, labels.ring_members(rings)).first()
-    assert (r.max_ring_coverage, r.primary_ring, r.num_rings_intersected, r.is_positive) == (0.6, "ring_2", 2, 1)
+    assert (r.max_ring_coverage, r.primary_ring_id, r.num_rings_intersected, r.is_positive) == (0.6, "ring_2", 2, 1)
     with pytest.raises(ValueError):
         labels.community_labels(m, labels.ring_members(rings), 0)
 
