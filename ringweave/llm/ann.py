@@ -39,6 +39,8 @@ from .common import stored
 SAMPLE, LIST, LISTS, PART = 50_000, 200, 16_384, 20_000
 REPLICATE, REPLICAS, PROBE, PROBES = 0.15, 6, 0.45, 48
 BEAM, DEGREE = 64, 24
+#: Distances that the driver holds at once.
+BLOCK = 1 << 21
 #: Queries that a task of the second pass holds, at most.
 QUERIES = 50_000
 
@@ -52,6 +54,9 @@ def matrix(column) -> np.ndarray:
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, measured from the middle of `b`: a common offset would cancel all digits."""
+    middle = b.mean(0) if len(b) else 0.0
+    a, b = a - middle, b - middle
     return np.maximum(0, (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1))
 
 
@@ -62,9 +67,11 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> n
     at = sample[np.sort(rng.choice(len(sample), k, replace=False))]
     limit = 2 * max(1, len(sample) // k)
     for r in range(rounds):
-        own = np.concatenate([squared(sample[i : i + 4096], at).argmin(1) for i in range(0, len(sample), 4096)])
+        step = max(1, BLOCK // len(at))
+        own = np.concatenate([squared(sample[i : i + step], at).argmin(1) for i in range(0, len(sample), step)])
         size = np.bincount(own, minlength=len(at))
-        at = np.stack([sample[own == c].mean(0) if size[c] else at[c] for c in range(len(at))])
+        order, past = np.argsort(own, kind="stable"), np.cumsum(size)
+        at = np.stack([sample[order[b - n : b]].mean(0) if n else at[c] for c, (n, b) in enumerate(zip(size.tolist(), past.tolist()))])
         if r % 3 == 2:  # the least used centroids move into the largest clusters
             full, few = np.argsort(-size, kind="stable"), np.argsort(size, kind="stable")
             for big, small in zip(full[: len(at) // 4], few):
@@ -80,7 +87,8 @@ class Graph:
 
     def __init__(self, at: np.ndarray):
         self.at = at
-        near = [np.argsort(squared(at[i : i + 512], at), axis=1, kind="stable")[:, 1 : DEGREE + 1] for i in range(0, len(at), 512)]
+        step = max(1, BLOCK // len(at))
+        near = [np.argsort(squared(at[i : i + step], at), axis=1, kind="stable")[:, 1 : DEGREE + 1] for i in range(0, len(at), step)]
         near = np.concatenate(near).tolist()
         links = [set(x) for x in near]
         for a, b in enumerate(near):

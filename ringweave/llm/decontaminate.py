@@ -10,14 +10,18 @@ the item's own values, whatever the others hold, or all have consistent slots:
 equal values in the item stand for equal values in the document and the other
 way round. Hits with other values than the item's are re-parameterised ones.
 
+A template with fewer than WORDS plain words would match by chance, and capitals
+decide what counts as a name. So each window is joined by its lower-cased words as
+they stand, too: that finds verbatim copies of items full of numbers, and copies in
+other capitals.
+
 Before the join, documents' windows pass a bitmap of the benchmark's, of fixed
 size, so only a few reach Spark's shuffle whatever the corpus holds.
 
 Defined results: null and empty texts and items have no windows; an item with
 fewer tokens than WINDOW is one window of its own, below LEAST tokens it isn't
-searched; a window with fewer than WORDS plain words says nothing and is left
-out; rows with the same id are told apart by their text; an empty benchmark
-gives no hits.
+searched, as such few words occur by chance; rows with the same id are told apart
+by their text; an empty benchmark gives no hits.
 """
 
 from __future__ import annotations
@@ -83,11 +87,15 @@ class Template:
         self.tokens[name], self.tokens[unit], self.tokens[number] = NAME, UNIT, NUM
         self.slot = name | unit | number
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first words, names) of the windows of `size` tokens that lie in one text and have enough plain words."""
+    def windows(self, size: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, names) of the windows of `size` tokens that lie in one text: of all by their words, or of those with enough plain words by their template."""
         n = len(self.tokens)
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, U)
+        if exact:
+            own = np.repeat(np.arange(len(self.words.of) - 1), np.diff(self.words.of))
+            at = np.flatnonzero(own[: n - size + 1] == own[size - 1 :])
+            return at, mix(windows(mix(self.value), size)[at] ^ U(size))
         starts = np.zeros(n + 1, np.int64)
         starts[self.words.of] = 1
         text, slots = np.cumsum(starts[:n]), np.concatenate([[0], np.cumsum(self.slot)])
@@ -105,8 +113,8 @@ def _emit(sizes, bitmap, whole: bool):
             for a, b in pieces(offsets, PIECE):
                 t = Template(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(t.words.of)
-                for size in sizes:
-                    at, name = t.windows(size)
+                for size, exact in [(s, e) for s in sizes for e in (False, True)]:
+                    at, name = t.windows(size, exact)
                     text = np.searchsorted(t.words.of, at, "right") - 1
                     if whole:
                         keep = (n[text] == size) if size < WINDOW else np.ones(len(at), bool)
@@ -115,7 +123,7 @@ def _emit(sizes, bitmap, whole: bool):
                     at, name, text = at[keep], name[keep], text[keep]
                     if not len(at):
                         continue
-                    slots = [t.value[x : x + size][t.slot[x : x + size]].view(np.int64).tolist() for x in at]
+                    slots = [[] if exact else t.value[x : x + size][t.slot[x : x + size]].view(np.int64).tolist() for x in at]
                     rows = pa.array(text + a)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("id").take(rows), batch.column("key").take(rows), pa.array(name.view(np.int64)), pa.array((at - t.words.of[text]).astype(np.int32)), pa.array(n[text].astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))],
@@ -160,8 +168,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text
     per_item = per_item.hint("broadcast" if n_items <= BROADCAST else "merge")
     hits = hits.join(per_item, hits.item_id.eqNullSafe(per_item.item_id) & (hits.item_key == per_item.item_key)).select(hits["*"], "windows")
     hits = hits.withColumn("need", F.least(F.lit(NEED), F.ceil(F.col("windows") / 2)).cast("int")).filter(F.col("matched") >= F.col("need"))
-    verbatim = F.size(F.filter("found", lambda x: _exact(x["slots"])))
-    hits = hits.filter((verbatim >= F.col("need")) | _consistent(F.col("found"))).withColumn("exact", verbatim == F.size("found"))
+    verbatim = F.size(F.array_distinct(F.transform(F.filter("found", lambda x: _exact(x["slots"])), lambda x: x["item_at"])))
+    hits = hits.filter((verbatim >= F.col("need")) | _consistent(F.col("found"))).withColumn("exact", verbatim == F.col("matched"))
     best = F.max(F.struct("matched", "exact", "windows")).alias("best")
     return hits.groupBy("id", "key", "item_id").agg(best).select("id", "key", "item_id", F.col("best.matched").alias("matched"), F.col("best.windows").alias("windows"), F.col("best.exact").alias("exact"))
 

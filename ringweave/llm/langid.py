@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import fold, pieces, stored, utf8
 
 PROFILE, OWN = 400, 300
-#: Profiles go to every task, so there is a bound on how many there may be.
-LANGUAGES = 2000
 PIECE = 1 << 20
 
 
@@ -82,21 +80,18 @@ def _count(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([langs[k]] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, *, text_col="text", lang_col="lang", size=PROFILE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, n-grams, ranks): ranks by n-gram and language, `size` where the profile lacks the n-gram."""
+def learn(docs: DataFrame, *, text_col="text", lang_col="lang", size=PROFILE) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(languages, n-grams, begins, owners, ranks): which languages' profiles hold an n-gram, and at which rank; `size` entries for each language."""
     texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = stored(counts.withColumn("rank", rank).filter(F.col("rank") <= size), "langid-profiles")
-    languages = sorted(r[0] for r in top.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
-    rows = top.select("lang", "gram", "rank").collect()
-    grams = np.array(sorted({r["gram"] for r in rows}), np.int64)
-    ranks = np.full((len(grams), len(languages)), size, np.int32)
-    if rows:
-        ranks[np.searchsorted(grams, [r["gram"] for r in rows]), [languages.index(r["lang"]) for r in rows]] = [r["rank"] - 1 for r in rows]
-    return languages, grams, ranks
+    rows = top.select("gram", "lang", (F.col("rank") - 1).alias("rank")).orderBy("gram", "lang").toArrow()
+    languages = sorted(set(rows.column("lang").to_pylist()))
+    number = {x: k for k, x in enumerate(languages)}
+    grams, begins = np.unique(rows.column("gram").to_numpy().astype(np.int64), return_index=True)
+    owners = np.array([number[x] for x in rows.column("lang").to_pylist()], np.int32)
+    return languages, grams, np.append(begins, len(owners)), owners, rows.column("rank").to_numpy().astype(np.int32)
 
 
 def own_profile(keys: np.ndarray, size: int = OWN) -> np.ndarray:
@@ -107,17 +102,21 @@ def own_profile(keys: np.ndarray, size: int = OWN) -> np.ndarray:
     return keys[new][np.argsort(-counts, kind="stable")[:size]]
 
 
-def distances(own: np.ndarray, grams: np.ndarray, ranks: np.ndarray, size: int) -> np.ndarray:
+def distances(own: np.ndarray, model, size: int) -> np.ndarray:
     """Out-of-place distance of one text's profile to each language's."""
+    languages, grams, begins, owners, ranks = model
     at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-    there = np.where((grams[at] == own)[:, None], ranks[at], size)
-    return np.where(there == size, size, np.abs(there - np.arange(len(own))[:, None])).sum(axis=0)
+    place = np.flatnonzero(grams[at] == own)
+    first, n = begins[at[place]], begins[at[place] + 1] - begins[at[place]]
+    entry = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    nearer = size - np.abs(ranks[entry] - np.repeat(place, n))
+    return size * len(own) - np.bincount(owners[entry], nearer, len(languages))
 
 
 def _predict(model, size):
-    languages, grams, ranks = model.value if hasattr(model, "value") else model
-
     def run(batches):
+        found_model = model.value
+        languages = found_model[0]
         for batch in batches:
             data, offsets = _lowered(batch.column("text"))
             lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
@@ -126,7 +125,7 @@ def _predict(model, size):
                 for k in range(b - a):
                     own = own_profile(np.concatenate([g[f[k] : f[k + 1]] for g, f in zip(found, firsts)]))
                     if len(own) and languages:
-                        d = distances(own, grams, ranks, size)
+                        d = distances(own, found_model, size)
                         best = int(d.argmin())
                         lang[a + k], score[a + k] = languages[best], 1 - d[best] / (size * len(own))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(lang), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
@@ -137,7 +136,8 @@ def _predict(model, size):
 def predict(rows: DataFrame, model, *, size=PROFILE) -> DataFrame:
     """The columns of `rows` but the last, which is the text, with lang_pred and score."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predict(model, size), f"{fields}, lang_pred string, score double")
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # PROFILE entries for each language
+    return rows.mapInArrow(_predict(sent, size), f"{fields}, lang_pred string, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ their id; scoring covers every text.
 
 Defined results: a text without features, null or empty, gets the share of label
 1 among the learned rows; without labelled rows of both classes every score is
-that share, or 1 where there are none; labels of ids that repeat are joined as
-they are.
+that share, or 1 where there are none; of labels with the same id the largest
+counts; repeated documents are learned from as often as they occur.
 """
 
 from __future__ import annotations
@@ -150,6 +150,7 @@ def score(rows: DataFrame, model, *, text_col="text", out="score") -> DataFrame:
 def learned(spark, docs: DataFrame, sf_dir: str):
     """The model from labels.quality of the documents outside fold 0 of 5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).filter(fold("doc_id", 5) != 0)
+    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     return learn(docs.select("doc_id", "text").join(labels.hint("merge"), "doc_id"))
 
 

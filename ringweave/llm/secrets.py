@@ -1,7 +1,8 @@
 """Secret scans with a random forest, in DataFrame and SQL functions and Spark's own forest.
 
-Candidates are long words, or the values in them, that a digit or many capitals
-set apart from prose. Each is described by its length, its characters and their
+Candidates are the values in words, apart from quotes, brackets and separators, that
+a digit or many capitals set apart from prose: of LONG characters, or of SHORT if
+they are assigned to a telling name. A word may hold several. Each is described by its length, its characters and their
 transitions, the share of its letters that corpus words cover, path-like marks,
 and the words before it. The forest learns from labelled findings and removes
 false positives from the rest. Findings are labelled by the caller or, failing
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import stored
 
 SAMPLE, TREES, DEPTH, SEED, COMMON = 20_000, 40, 6, 5, 3
-LONG = 16
+LONG, SHORT = 16, 8
 NAMES = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|private_?key|auth|credential|bearer)"
 KNOWN = r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{30,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_.-]{10,})$"
-VALUE = r"^[^0-9A-Za-z]*(?:([0-9A-Za-z_.-]{2,40})[=:][\"'`]*)?([0-9A-Za-z_+/.@~=-]{16,}?)[^0-9A-Za-z]*$"
+VALUE = r"(?:([0-9A-Za-z_.-]{2,40})[\"'`]?[=:][\"'`]*)?([0-9A-Za-z_+/.@~=!$%^*#-]{8,})"
 FEATURES = ["chars", "distinct", "digits", "uppers", "vowels", "hexes", "turns", "run", "covered", "dots", "slashes", "at_sign", "named", "assigned", "quoted", "spaced"]
 
 
@@ -42,16 +43,23 @@ def share(text: Column, pattern: str) -> Column:
 def candidates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """id, key (xxhash64 of the text), at (word number from 0), value, name (what it is assigned to, or the words before), quoted, assigned."""
     words = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.split(F.col(text_col), r"[\x20\x09-\x0D]+").alias("words"))
-    odd = lambda w: (F.length(w) >= LONG) & (w.rlike("[0-9]") | w.rlike("[A-Z]{20}"))
+    may = lambda w: (F.length(w) >= SHORT) & (w.rlike("[0-9]") | w.rlike("[A-Z]{20}"))
     near = lambda i: F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1))
-    told = F.filter(F.transform("words", lambda w, i: F.when(odd(w), F.struct(i.alias("at"), w.alias("word"), near(i).alias("before")))), lambda x: x.isNotNull())
+    told = F.filter(F.transform("words", lambda w, i: F.when(may(w), F.struct(i.alias("at"), w.alias("word"), near(i).alias("before")))), lambda x: x.isNotNull())
     rows = words.select("id", "key", F.explode(told).alias("c")).select("id", "key", "c.*")
-    rows = rows.withColumn("value", F.regexp_extract("word", VALUE, 2)).withColumn("inner", F.regexp_extract("word", VALUE, 1)).filter("value <> ''")
-    return rows.select(
+    part = lambda group: F.regexp_extract_all("word", F.lit(VALUE), F.lit(group))
+    rows = rows.withColumn("x", F.explode(F.zip_with(part(1), part(2), lambda inner, value: F.struct(inner.alias("inner"), value.alias("value")))))
+    # what is assigned ends where a host begins; closing marks belong to the sentence
+    value = F.regexp_replace(F.when(F.col("x.inner") != "", F.regexp_replace("x.value", "@.*", "")).otherwise(F.col("x.value")), "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "")
+    rows = rows.select("id", "key", "at", "word", "before", F.col("x.inner").alias("inner"), value.alias("value"))
+    assigned = (F.col("inner") != "") | F.col("before").rlike("[=:][\"'`]*$")
+    named = F.concat_ws(" ", "before", "inner").rlike(NAMES)
+    odd = F.col("value").rlike("[0-9]") | F.col("value").rlike("[A-Z]{20}")
+    return rows.filter(odd & ((F.length("value") >= LONG) | (assigned & named & (F.length("value") >= SHORT)))).select(
         "id", "key", "at", "value",
         F.concat_ws(" ", "before", "inner").alias("name"),
         F.col("word").rlike("[\"'`]").alias("quoted"),
-        ((F.col("inner") != "") | F.col("before").rlike("[=:]$")).alias("assigned"),
+        assigned.alias("assigned"),
     )
 
 

@@ -16,7 +16,8 @@ to BUCKETS rows for each order, so their size doesn't grow with the corpus.
 Defined results: a null or empty text has the ratio 0 everywhere and gets the
 curve's value there; without labelled rows of both classes in both parts every
 score is the share of toxic rows among the labelled, or 0 where there are none;
-repeated rows count as often as they occur.
+repeated rows count as often as they occur; of labels with the same id the largest
+counts.
 """
 
 from __future__ import annotations
@@ -216,7 +217,7 @@ class Scorer:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter("toxic IN (0, 1)")
-    labels = labels.withColumn("fold", fold("doc_id", 5)).filter("fold <> 0")
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold("doc_id", 5)).filter("fold <> 0")
     known = docs.select("doc_id", "text").join(labels.hint("merge"), "doc_id").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("place"), "text", (F.col("toxic") == 1).alias("toxic"), (F.col("fold") != 1).alias("counted"))
     out = Scorer(stored(known, "kn-labelled")).score(docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -164,6 +164,47 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(docs.select("doc_id", "text"), langid.learn(empty)).collect()} == {"und"}
 
 
+def test_language_distances(spark):
+    rng = random.Random(12)
+    rows = [(" ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(60)), lang) for lang, letters in (("aa", "abcde"), ("bb", "abcfg"), ("cc", "hij")) for _ in range(4)]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"), size=40)
+    languages, grams, begins, owners, ranks = model
+    profiles = {name: {} for name in languages}
+    for k, g in enumerate(grams.tolist()):
+        for e in range(begins[k], begins[k + 1]):
+            profiles[languages[owners[e]]][g] = int(ranks[e])
+    assert languages == ["aa", "bb", "cc"] and all(sorted(p.values()) == list(range(40)) for p in profiles.values())
+    for text, lang in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        found, _ = langid.ngrams(data, np.array([0, len(data)]))
+        own = langid.own_profile(np.concatenate(found))
+        want = [sum(abs(p[g] - k) if g in p else 40 for k, g in enumerate(own.tolist())) for p in (profiles[x] for x in languages)]
+        assert langid.distances(own, model, 40).tolist() == want and languages[int(np.argmin(want))] == lang
+
+
+def test_quality_scores_against_brute_force():
+    rng = np.random.default_rng(4)
+    odds = rng.normal(size=quality.BUCKETS).astype(np.float32)
+    texts = ["one two", "", "été  x", "a", "long " * 200]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    got = quality.scores(data, offsets, (odds, 0.25, 0.4))
+    for k, t in enumerate(texts):
+        own = np.frombuffer(t.encode(), np.uint8)
+        found = np.concatenate([f for f, _ in quality.features(own, np.array([0, len(own)]))]) if t else []
+        want = 1 / (1 + np.exp(-(np.mean(odds[found].astype(float)) + 0.25))) if len(found) else 0.4
+        assert abs(got[k] - want) < 1e-6
+
+
+def test_toxicity_with_repeated_labels_and_no_rows(spark, tmp_path):
+    for name, docs, labels in (("some", [(i, f"text {i % 7} grob" if i % 3 else "plain words") for i in range(60)], [(i % 60, i % 2, i % 3 % 2) for i in range(120)]), ("none", [], [])):
+        spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for op in (toxicity, quality):
+            rows = op.query(spark, f"{tmp_path}/{name}").collect()
+            assert len(rows) == len(docs) and all(0 <= r.score <= 1 for r in rows)
+
+
 # 3 -----------------------------------------------------------------------------
 
 
@@ -309,6 +350,20 @@ def test_substrings_short_alphabet(spark, tmp_path):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_by_force(texts)
 
 
+def test_substrings_with_words_that_fool_polynomials(spark, tmp_path):
+    """Thue-Morse words and their complements have equal polynomial hashes for any odd base."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, two = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
+    around = " ".join(f"w{k}" for k in range(10))
+    alike = [f"{around} {w} {around}" for w in (one, two)]
+    words = [" ".join(letters[b] for b in bits) for letters in ("ab", "ba")]  # the same as sequences of words
+    texts = list(enumerate([*alike, *words]))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = substrings.query(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_by_force(texts)
+    assert {r.doc_id: r.n_removed for r in got}[1] == 0
+
+
 def test_substrings_empty(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert substrings.query(spark, str(tmp_path)).count() == 0
@@ -317,6 +372,25 @@ def test_substrings_empty(spark, empty, tmp_path):
 # 9 -----------------------------------------------------------------------------
 
 
+def test_secret_candidates(spark):
+    rows = [
+        (1, '{"api_key":"sk-abcdefghij0123456789","x":1}', {"sk-abcdefghij0123456789"}),
+        (2, "see postgres://user:S3cretPassw0rd99x@db.host/x", {"S3cretPassw0rd99x"}),
+        (3, "https://h.io/x?api_key=abcd1234abcd1234abcd&y=2", {"abcd1234abcd1234abcd"}),
+        (4, "key1=aaaabbbb11112222;key2=ccccdddd33334444", {"aaaabbbb11112222", "ccccdddd33334444"}),
+        (5, "password=Ab1!cdEf2$ghIj3klmnop.", {"Ab1!cdEf2$ghIj3klmnop"}),
+        (6, "password: hunter22x and more", {"hunter22x"}),
+        (7, "the year 2024 and room12345 of it", set()),
+        (8, None, set()),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = defaultdict(set)
+    for r in secrets.candidates(df).collect():
+        found[r.id].add(r.value)
+    for i, _, want in rows:
+        assert want <= found[i] and (want or not found[i]), (i, found[i])
+
+
 def test_secrets(spark, docs, empty):
     rng = random.Random(6)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
@@ -384,6 +458,14 @@ def test_nearest_with_hundreds_of_lists(spark):
         assert got[q] == np.argsort(d, kind="stable")[:10].tolist()
 
 
+def test_nearest_far_from_the_origin(spark):
+    v = 1e7 + np.random.default_rng(8).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("id", "vec", "list", "score", "rank")})
+    for r in ann.nearest(df, F.col("id") % 100 == 0).filter("rank = 10").collect():
+        d = np.sqrt(((v - v[r.query_id]) ** 2).sum(1))
+        assert r.vec_id == np.argsort(d, kind="stable")[10] and r.score == pytest.approx(np.sort(d)[10])
+
+
 def test_nearest_on_centroids(spark):
     rows = [(i, [float(i), 1.0]) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -394,6 +476,21 @@ def test_nearest_on_centroids(spark):
         assert got[q] == sorted((i for i in range(40) if i != q), key=lambda i: (abs(i - q), i))[:10]
 
 
+def test_decontamination_verbatim_against_brute_force(spark):
+    """Every item that a text holds word for word is found, in any capitals, whatever the item is made of."""
+    rng = random.Random(11)
+    word = lambda: rng.choice(["the", "of", "Ann", "Bob", "12", "7", "km", "market", "seven", "Paris", "runs"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([5, 6, 8, 12, 25])))) for i in range(30)] + [(90, "12 + 7 = 19 ; 3 * 4 = 12 ; 5 - 1 = 4 ; 8 / 2 = 4")]
+    rows = []
+    for k, (i, text) in enumerate(items):
+        text = [text, text.lower(), text.upper()][k % 3]
+        rows.append((100 + i, " ".join(f"w{rng.randrange(999)}x" for _ in range(9)) + " " + text + " " + " ".join(f"w{rng.randrange(999)}x" for _ in range(9))))
+    hits = {(r.id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    tokens = lambda t: " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " "
+    held = {(d, i) for d, t in rows for i, x in items if tokens(x) in tokens(t)}
+    assert held <= hits and len(held) >= 31
+
+
 def test_decontamination_despite_one_conflict(spark):
     item = "the baker sells 5 loaves of dark bread every morning and keeps some of the rest for the evening when 5 friends come over to eat with the whole family"
     two = "the baker sells 5 loaves of dark bread every morning and keeps some of the rest for the evening when 7 friends come over to eat with the whole family"

@@ -62,7 +62,7 @@ def test_run_and_empty(spark, corpus, tmp_path):
 
 
 def test_stages_with_clashing_columns(spark, corpus):
-    docs = common.table(spark, corpus, "documents").withColumns({c: F.lit("x") for c in ("id", "key", "score", "label", "size", "value", "name", "at", "fp", "words", "item_id", "root")})
+    docs = common.table(spark, corpus, "documents").withColumns({c: F.lit("x") for c in ("id", "key", "score", "label", "size", "value", "name", "at", "fp", "words", "item_id", "root", "_id", "_key", "_values", "_text_key", "row", "stays", "of", "named", "found")})
     assert decontaminate.without(docs, decontaminate.contaminated(docs, common.table(spark, corpus, "benchmark"))).columns == docs.columns
     assert secrets.redacted(docs, secrets.scan(docs)).columns == docs.columns
     for _, stage in corpus_pipeline.STAGES:
