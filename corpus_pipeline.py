@@ -8,24 +8,24 @@ from ringweave.llm import common, decontaminate, mixing, quality, secrets, simha
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject. Null and empty texts score as the share of good labels; repeated rows all stay or all go."""
     model = quality.learned(spark, docs, sf_dir)
-    scored = quality.score(docs, model, out="_quality")
-    return scored.filter(F.col("_quality") >= quality.LEAST).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return quality.score(rows, model).filter(F.col("score") >= quality.LEAST).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id, a row without an id only where none has one. Texts without words are one group."""
     return simhash.deduplicated(docs, simhash_texts.similar_texts(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, as it stands or with other numbers, names or units."""
+    """Documents that hold no benchmark item, as it stands or with other numbers, names or units. Null and empty texts stay."""
     return decontaminate.without(docs, decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    """All documents, with a mark in place of each secret; n_chars follows the text (null for a null text)."""
     out = secrets.redacted(docs, secrets.scan(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -47,11 +47,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage returns is written and read again as the next one's documents."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs, f"pipeline-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            common.forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The classifier of the first stage is learned, which SQL can't express.
