@@ -18,7 +18,7 @@ compared: two equal windows always have the same key.
 Defined results: a null text has no words; a document id that is null comes
 before all others; rows with the same id and words are the same document, rows
 with the same id and other words are compared by their start; copies of a whole
-text are settled at once. Windows are verified by names of 128 bits, made of two
+text are settled at once. Windows are verified by names of 96 bits, made of two
 independent hashes of each word.
 """
 
@@ -147,7 +147,7 @@ def _windows(batches):
         keep = twins[text] >= 0
         at, text = at[keep], text[keep]
         name, proof = words.windows(WINDOW)[at], windows(words.hashed(1), WINDOW)[at]
-        yield pa.RecordBatch.from_arrays([_signed(name), _signed(proof), pa.array(ids[text]), pa.array(twins[text].astype(np.int32)), pa.array((at - words.of[text]).astype(np.int32))], ["name", "proof", "id", "twin", "at"])
+        yield pa.RecordBatch.from_arrays([_signed(name), pa.array((proof >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[text]), pa.array(twins[text].astype(np.int32)), pa.array((at - words.of[text]).astype(np.int32))], ["name", "proof", "id", "twin", "at"])
 
 
 def _kept(batches):
@@ -187,8 +187,8 @@ def repeats(docs: DataFrame, *, id_col="doc_id", text_col="text") -> tuple[DataF
     marks = anchors.join(again.hint("merge"), "key").groupBy("id").agg(F.collect_list("at").alias("marks"))
     marks = stored(marks.join(firsts.hint("shuffle_hash"), "id"), "repeats-marks")
     some = stored(texts.join(marks.hint("shuffle_hash"), "id"), "repeats-some")
-    forget(anchors)
-    named = stored(some.mapInArrow(_windows, "name long, proof long, id long, twin int, at int"), "repeats-windows")
+    forget(anchors, marks)
+    named = stored(some.mapInArrow(_windows, "name long, proof int, id long, twin int, at int"), "repeats-windows")
     earliest = named.groupBy("name", "proof").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last")).filter("first < last").select("name", "proof", "first")
     later = named.join(earliest.hint("merge"), ["name", "proof"]).filter(F.struct("id", "at") > F.col("first"))
     starts = later.groupBy("id").agg(F.collect_list(F.shiftleft(F.col("twin").cast("long"), 32) + F.col("at")).alias("starts"))
