@@ -5,7 +5,8 @@ lower-cased; a word with a digit or a number word becomes NUM, a unit after it
 UNIT, and a capitalised word inside a sentence NAME. A template window is a run
 of WINDOW such tokens. Windows of documents and benchmark are hash-joined; a hit
 of an item in a document is a set of windows at one alignment that covers
-NEED windows, or half of the item's if those are fewer, and of which as many have
+NEED windows, or half of the item's (of its templates, if it has any) if those are
+fewer, and of which as many have
 the item's own values, whatever the others hold, or all have consistent slots:
 equal values in the item stand for equal values in the document and the other
 way round. Hits with other values than the item's are re-parameterised ones.
@@ -126,8 +127,8 @@ def _emit(sizes, bitmap, whole: bool):
                     slots = [[] if exact else t.value[x : x + size][t.slot[x : x + size]].view(np.int64).tolist() for x in at]
                     rows = pa.array(text + a)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(rows), batch.column("key").take(rows), pa.array(name.view(np.int64)), pa.array((at - t.words.of[text]).astype(np.int32)), pa.array(n[text].astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))],
-                        ["id", "key", "name", "at", "n_words", "slots"],
+                        [batch.column("id").take(rows), batch.column("key").take(rows), pa.array(name.view(np.int64)), pa.array((at - t.words.of[text]).astype(np.int32)), pa.array(n[text].astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array([exact] * len(at))],
+                        ["id", "key", "name", "at", "n_words", "slots", "worded"],
                     )
 
     return run
@@ -135,7 +136,7 @@ def _emit(sizes, bitmap, whole: bool):
 
 def _windows(rows: DataFrame, id_col: str, text_col: str, sizes, bitmap=None, whole=False) -> DataFrame:
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_emit(sizes, bitmap, whole), "id long, key long, name long, at int, n_words int, slots array<long>")
+    return rows.mapInArrow(_emit(sizes, bitmap, whole), "id long, key long, name long, at int, n_words int, slots array<long>, worded boolean")
 
 
 def _exact(slots):
@@ -160,14 +161,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text
     n_items = items.count()
     found = _windows(docs, id_col, text_col, sizes, spark.sparkContext.broadcast(bitmap))
     found = stored(found.select("id", "key", "name", "at", "slots"), "bench-found")
-    per_item = items.groupBy(F.col("id").alias("item_id"), F.col("key").alias("item_key")).agg(F.countDistinct("at").alias("windows"))
+    per_item = items.groupBy(F.col("id").alias("item_id"), F.col("key").alias("item_key")).agg(F.countDistinct("at").alias("windows"), F.countDistinct(F.when(~F.col("worded"), F.col("at"))).alias("templates"))
     items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "name", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     pairs = found.join(items.hint("broadcast" if n_items <= BROADCAST else "merge"), "name").filter(F.size("slots") == F.size("item_slots"))
     same = F.arrays_zip("item_slots", "slots")
     hits = pairs.groupBy("id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("matched"), F.collect_set(F.struct("item_at", same.alias("slots"))).alias("found"))
     per_item = per_item.hint("broadcast" if n_items <= BROADCAST else "merge")
-    hits = hits.join(per_item, hits.item_id.eqNullSafe(per_item.item_id) & (hits.item_key == per_item.item_key)).select(hits["*"], "windows")
-    hits = hits.withColumn("need", F.least(F.lit(NEED), F.ceil(F.col("windows") / 2)).cast("int")).filter(F.col("matched") >= F.col("need"))
+    hits = hits.join(per_item, hits.item_id.eqNullSafe(per_item.item_id) & (hits.item_key == per_item.item_key)).select(hits["*"], "windows", "templates")
+    hits = hits.withColumn("need", F.least(F.lit(NEED), F.ceil(F.coalesce(F.nullif("templates", F.lit(0)), "windows") / 2)).cast("int")).filter(F.col("matched") >= F.col("need"))
     verbatim = F.size(F.array_distinct(F.transform(F.filter("found", lambda x: _exact(x["slots"])), lambda x: x["item_at"])))
     hits = hits.filter((verbatim >= F.col("need")) | _consistent(F.col("found"))).withColumn("exact", verbatim == F.col("matched"))
     best = F.max(F.struct("matched", "exact", "windows")).alias("best")
