@@ -120,20 +120,24 @@ def test_toxicity(spark, docs):
     assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd)
     one = toxicity.Scorer(data.filter("NOT toxic")).score(docs.select("doc_id", "text")).collect()
     assert {r.score for r in one} == {0.0}
+    # a model too large to be sent is joined, with the same scores
+    far = toxicity.Scorer(data.filter("place < '0500'"), known=0)
+    assert scorer.sent is not None and far.sent is None
+    score = lambda by, rows: sorted((repr(r[:-1]), r.score) for r in by.score(rows).collect())
+    for rows in (data.filter("place >= '0500'").select("place", "toxic", F.lit(1).alias("mean"), "text"), docs.select("doc_id", "text"), docs.filter("text IS NULL").select("doc_id", "text")):
+        near, joined = score(scorer, rows), score(far, rows)
+        assert [r[0] for r in near] == [r[0] for r in joined] and np.allclose([r[1] for r in near], [r[1] for r in joined], atol=1e-5)
 
 
 def test_toxicity_model_is_a_distribution(spark):
     rows = [("ab abc abd", True), ("abc ac b", False), ("bca", False), ("cab a", True)]
-    model = toxicity.tables(spark.createDataFrame(rows, "text string, toxic boolean"))
+    model, shared = toxicity.tables(spark.createDataFrame(rows, "text string, toxic boolean"))
     total = np.zeros(2)
     for last in range(256):
         data = np.array([97, 98, 32, 97, last], np.uint8)
         key = sum(int(b) << 8 * (4 - k) for k, b in enumerate(data))
         key = np.array([key], np.uint64)
-        p = np.repeat(model["shared"][(key & np.uint64(0xFFFF)).astype(int)][:, None], 2, axis=1)
-        for n in range(3, 6):
-            p = p * model["gamma"][n][toxicity.bucket(key >> np.uint64(8), n - 1).astype(int)] + model["alpha"][n][toxicity.bucket(key, n).astype(int)]
-        total += p[0]
+        total += toxicity.chances(key, shared, toxicity.looked_up(key, *toxicity.gathered(model)))[0]
     assert np.allclose(total, 1, atol=1e-3)
 
 
