@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import evidence_id
 from ..functions.rules import AT_LEAST, ORDER, POINTS, by_severity, hub_severity, steps
-from .communities import gaps, medians
+from .communities import cut, gaps, medians
 from .features import member_transactions
 from .graph import mirrored
 
@@ -154,7 +154,8 @@ def multi_layer(inside: DataFrame) -> DataFrame:
 
 
 def community_evidence(membership: DataFrame, inside: DataFrame, transactions: DataFrame, features: DataFrame) -> DataFrame:
-    rows = member_transactions(membership, transactions).select("community_id", "timestamp", "transaction_id")
+    # windows, their support and gaps all read these rows
+    rows = cut(member_transactions(membership, transactions).select("community_id", "timestamp", "transaction_id"), "member-rows")
     parts = [*(sharing(inside, k) for k in SHARING), bursts(rows, "community_id", "COMMUNITY"), rapid(rows, "community_id", "COMMUNITY"), density(features), hubs(membership, inside), multi_layer(inside)]
     return distinct_items(_union(parts))
 

@@ -58,35 +58,44 @@ def parties(transactions: DataFrame) -> DataFrame:
     return transactions.select("transaction_id", "timestamp", "merchant_id", F.explode(F.array("src_account_id", "dst_account_id")).alias("account_id"))
 
 
-def shared_pairs(links: DataFrame, transactions: DataFrame) -> DataFrame:
-    """src < dst, kind, entity_id: accounts that share an entity, or a merchant on the same day."""
+def shared_pairs(links: DataFrame, transactions: DataFrame, membership: DataFrame | None = None) -> DataFrame:
+    """src < dst, kind, entity_id: accounts that share an entity, or a merchant on the same day; with `membership`, those of one community, and community_id."""
     mine = links.select("kind", "entity_id", F.lit(None).cast("date").alias("day"), "account_id")
     daily = parties(transactions).filter("merchant_id IS NOT NULL").select(F.lit("merchants").alias("kind"), F.col("merchant_id").alias("entity_id"), F.to_date("timestamp").alias("day"), "account_id")
     uses = mine.unionByName(daily).distinct()
+    own = []
+    if membership is not None:
+        uses, own = uses.join(membership.select("account_id", "community_id").hint("merge"), "account_id"), ["community_id"]
     # a hot entity makes a large join partition, which adaptive execution splits
-    a, b = uses.withColumnRenamed("account_id", "src"), uses.withColumnRenamed("account_id", "dst").withColumnsRenamed({"kind": "k", "entity_id": "e", "day": "d"})
+    a, b = uses.withColumnRenamed("account_id", "src"), uses.withColumnsRenamed({"account_id": "dst", "kind": "k", "entity_id": "e", "day": "d", "community_id": "c"})
     on = (F.col("kind") == F.col("k")) & (F.col("entity_id") == F.col("e")) & F.col("day").eqNullSafe(F.col("d")) & (F.col("src") < F.col("dst"))
-    return a.join(b.hint("merge"), on).select("src", "dst", "kind", "entity_id")
+    if own:
+        on = on & (F.col("community_id") == F.col("c"))
+    return a.join(b.hint("merge"), on).select("src", "dst", "kind", "entity_id", *own)
 
 
 def active_days(transactions: DataFrame) -> DataFrame:
     return parties(transactions).groupBy("account_id").agg(F.collect_set(F.to_date("timestamp")).alias("days"))
 
 
-def project(accounts: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Account edges: src, dst, four sorted arrays of shared ids, temporal_overlap, weight."""
+def project(accounts: DataFrame, links: DataFrame, transactions: DataFrame, membership: DataFrame | None = None) -> DataFrame:
+    """Account edges: src, dst, four sorted arrays of shared ids, temporal_overlap, weight.
+
+    With `membership`, only the edges inside communities, and their community_id: the same rows as `internal` of all edges,
+    but a hot entity's accounts are paired within each community instead of all with all."""
     require(transactions, ["transaction_id", "timestamp", "src_account_id", "dst_account_id", "merchant_id"])
     known = accounts.select("account_id")
-    pairs = shared_pairs(links.join(known.hint("merge"), "account_id", "left_semi"), transactions)
+    pairs = shared_pairs(links.join(known.hint("merge"), "account_id", "left_semi"), transactions, membership)
+    own = [] if membership is None else ["community_id"]
     arrays = [F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("entity_id")))).alias(k) for k in KINDS]
-    edges = pairs.groupBy("src", "dst").agg(*arrays)
+    edges = pairs.groupBy("src", "dst", *own).agg(*arrays)
     days = active_days(transactions)
     side = lambda name: days.select(F.col("account_id").alias(name), F.col("days").alias(f"{name}_days"))
     overlap = F.coalesce(F.size(F.array_intersect("src_days", "dst_days")), F.lit(0))
     edges = edges.join(side("src").hint("merge"), "src", "left").join(side("dst").hint("merge"), "dst", "left")
     edges = edges.withColumn("temporal_overlap", F.when(F.col("src_days").isNull() | F.col("dst_days").isNull(), 0).otherwise(overlap))
     edges = edges.join(known.withColumnRenamed("account_id", "src").hint("merge"), "src", "left_semi").join(known.withColumnRenamed("account_id", "dst").hint("merge"), "dst", "left_semi")
-    return edges.select("src", "dst", *KINDS, "temporal_overlap", evidence_weight({k: F.size(k) for k in KINDS}, F.col("temporal_overlap")).alias("weight"))
+    return edges.select("src", "dst", *KINDS, "temporal_overlap", evidence_weight({k: F.size(k) for k in KINDS}, F.col("temporal_overlap")).alias("weight"), *own)
 
 
 def exported(edges: DataFrame) -> DataFrame:

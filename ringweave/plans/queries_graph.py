@@ -29,7 +29,7 @@ def r(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def edges_of(net: Network) -> DataFrame:
-    return graph.project(net.accounts, net.links, net.transactions)
+    return graph.project(net.accounts, net.links, ledger_of(net))
 
 
 def once(net: Network, name: str, make) -> DataFrame:
@@ -40,12 +40,17 @@ def once(net: Network, name: str, make) -> DataFrame:
     return kept[name]
 
 
+def ledger_of(net: Network) -> DataFrame:
+    """The ledger, joined once for queries that read it several times."""
+    return once(net, "ledger", lambda: net.transactions)
+
+
 def inside_of(net: Network) -> DataFrame:
-    return once(net, "inside", lambda: graph.internal(edges_of(net), net.membership))
+    return once(net, "inside", lambda: graph.project(net.accounts, net.links, ledger_of(net), net.membership))
 
 
 def features_of(net: Network) -> DataFrame:
-    return once(net, "features", lambda: features.community_features(net.membership, inside_of(net), net.transactions, net.merchants))
+    return once(net, "features", lambda: features.community_features(net.membership, inside_of(net), ledger_of(net), net.merchants))
 
 
 def labels_of(net: Network) -> DataFrame:
@@ -53,7 +58,7 @@ def labels_of(net: Network) -> DataFrame:
 
 
 def evidence_of(net: Network) -> DataFrame:
-    return once(net, "evidence", lambda: evidence.community_evidence(net.membership, inside_of(net), net.transactions, features_of(net)))
+    return once(net, "evidence", lambda: evidence.community_evidence(net.membership, inside_of(net), ledger_of(net), features_of(net)))
 
 
 # --- hashes and enrichment -------------------------------------------------
@@ -374,7 +379,7 @@ _ACCOUNT_EV = " UNION ALL ".join(
 
 @register("account_evidence", f"SELECT DISTINCT evidence_id, entity_id, type, severity, {_POINTS} FROM ({_ACCOUNT_EV}) WHERE severity IS NOT NULL", _ACCOUNT_CTES)
 def account_evidence(net: Network) -> DataFrame:
-    return evidence.account_evidence(net.membership, inside_of(net), net.transactions).select("evidence_id", "entity_id", "type", "severity", "points")
+    return evidence.account_evidence(net.membership, inside_of(net), ledger_of(net)).select("evidence_id", "entity_id", "type", "severity", "points")
 
 
 @register("louvain_membership")

@@ -12,7 +12,7 @@ from ..operators.communities import activity_stats, shared_dir
 from ..streaming.ledger import append, enrich_stream
 from . import queries_graph as base
 from .network import Network, sql
-from .queries_graph import edges_of, evidence_of, features_of, inside_of, once, r
+from .queries_graph import edges_of, evidence_of, features_of, inside_of, ledger_of, once, r
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +39,7 @@ reg AS (SELECT a.account_id, customer_name, balance, risk_score, creation_date,
 
 
 def registry_of(net: Network) -> DataFrame:
-    return marts.registry(net.accounts, net.membership, marts.account_stats(net.transactions), inside_of(net))
+    return marts.registry(net.accounts, net.membership, marts.account_stats(ledger_of(net)), inside_of(net))
 
 
 @register("account_stats", "SELECT account_id, sent_count, received_count, round(sent_amount, 2) AS sent_amount, round(received_amount, 2) AS received_amount, d AS declined_count, first_activity, last_activity FROM acc", _REG)
@@ -76,7 +76,7 @@ def account_peers(net: Network) -> DataFrame:
 
 
 def peers_of(net: Network) -> DataFrame:
-    stats = marts.account_stats(net.transactions)
+    stats = marts.account_stats(ledger_of(net))
     n = graph.mirrored(inside_of(net).select("src", "dst")).groupBy("account_id").agg(F.count("*").alias("connections"))
     rows = net.membership.join(stats, "account_id", "left").join(n, "account_id", "left")
     count, volume = F.coalesce(F.col("sent_count") + F.col("received_count"), F.lit(0)), F.coalesce(F.col("sent_amount") + F.col("received_amount"), F.lit(0.0))
