@@ -58,11 +58,11 @@ def in_open_case(ids: DataFrame, cases: DataFrame) -> DataFrame:
 def totals(cases: DataFrame, transactions: DataFrame, features: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per case: targets by type, volume of its transactions and communities, evidence by severity."""
     rows = targets(cases)
-    tx = rows.filter("type = 'TRANSACTION'").join(transactions.select(F.col("transaction_id").alias("id"), "amount"), "id")
-    com = rows.filter("type = 'COMMUNITY'").join(features.select(F.col("community_id").cast("string").alias("id"), F.col("total_transaction_amount").alias("amount")), "id")
+    tx = rows.filter("type = 'TRANSACTION'").join(transactions.select(F.col("transaction_id").alias("id"), "amount").hint("merge"), "id")
+    com = rows.filter("type = 'COMMUNITY'").join(features.select(F.col("community_id").cast("string").alias("id"), F.col("total_transaction_amount").alias("amount")).hint("merge"), "id")
     volume = tx.select("case_id", "amount").unionByName(com.select("case_id", "amount")).groupBy("case_id").agg(F.sum("amount").alias("volume"))
     kinds = rows.groupBy("case_id").agg(*(F.count_if(F.col("type") == k).alias(k.lower() + "_targets") for k in ENTITIES))
-    found = rows.join(evidence.select(F.col("entity_type").alias("type"), F.col("entity_id").alias("id"), "severity"), ["type", "id"]).groupBy("case_id").agg(*(F.count_if(F.col("severity") == s).alias(s.lower() + "_evidence") for s in ("HIGH", "MEDIUM", "LOW")))
+    found = rows.join(evidence.select(F.col("entity_type").alias("type"), F.col("entity_id").alias("id"), "severity").hint("merge"), ["type", "id"]).groupBy("case_id").agg(*(F.count_if(F.col("severity") == s).alias(s.lower() + "_evidence") for s in ("HIGH", "MEDIUM", "LOW")))
     return cases.select("case_id").join(kinds.hint("merge"), "case_id", "left").join(volume.hint("merge"), "case_id", "left").join(found.hint("merge"), "case_id", "left").na.fill(0)
 
 

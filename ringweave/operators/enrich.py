@@ -77,7 +77,7 @@ def enrich(raw: DataFrame, accounts: DataFrame, assigned: DataFrame, n_accounts:
     """Raw transactions (tx_id, src_id, dst_id, amount, timestamp) with the observable columns of the ledger. Stateless: works on streams too."""
     n, r = pools(n_accounts), F.col("r")
     ringed = assigned.join(accounts.select("account_id", "creation_date"), "account_id").join(patterns.join(profiles.hint("merge"), "pattern_id").hint("merge"), "account_id", "left").withColumnRenamed("account_id", "src_id")
-    rows = raw.join(ringed, "src_id", "left").withColumn("r", halves(F.coalesce("tx_id", F.lit("")), "tx"))
+    rows = raw.join(ringed.hint("merge"), "src_id", "left").withColumn("r", halves(F.coalesce("tx_id", F.lit("")), "tx"))
     hashed = stable_int(F.coalesce("tx_id", F.lit("")), "tx")
     spare = lambda prefix, size: F.concat(F.lit(prefix), F.lpad(modulo(hashed, size).cast("string"), 4, "0"))
     uses = lambda name, shift: slice_ratio(r, shift, 8) < F.col(f"p_{name}") * 0.6 + REUSE[name]

@@ -69,7 +69,7 @@ def peers(accounts: DataFrame, sample: int = PEERS) -> DataFrame:
     first = measured.filter(F.col("rank") <= sample + 1).select("community_id", F.col("account_id").alias("peer"), F.col("rank").alias("peer_rank"), *values)
     early = rows.filter(F.col("rank") <= sample).select("account_id", "community_id", "rank").join(first.hint("merge"), "community_id").filter("peer <> account_id").groupBy("account_id").agg(F.count("*").alias("peer_sample_size"), *medians)
     shared = first.filter(F.col("peer_rank") <= sample).groupBy("community_id").agg(F.count("*").alias("peer_sample_size"), *medians)
-    late = rows.filter(F.col("rank") > sample).select("account_id", "community_id").join(shared, "community_id").drop("community_id")
+    late = rows.filter(F.col("rank") > sample).select("account_id", "community_id").join(shared.hint("merge"), "community_id").drop("community_id")
     return early.unionByName(late)
 
 

@@ -78,7 +78,7 @@ def account_peers(net: Network) -> DataFrame:
 def peers_of(net: Network) -> DataFrame:
     stats = marts.account_stats(ledger_of(net))
     n = graph.mirrored(inside_of(net).select("src", "dst")).groupBy("account_id").agg(F.count("*").alias("connections"))
-    rows = net.membership.join(stats, "account_id", "left").join(n, "account_id", "left")
+    rows = net.membership.join(stats.hint("merge"), "account_id", "left").join(n.hint("merge"), "account_id", "left")
     count, volume = F.coalesce(F.col("sent_count") + F.col("received_count"), F.lit(0)), F.coalesce(F.col("sent_amount") + F.col("received_amount"), F.lit(0.0))
     return marts.peers(rows.select("account_id", "community_id", count.alias("tx_count"), volume.alias("tx_volume"), F.coalesce("declined_count", F.lit(0)).alias("declined_count"), F.coalesce("connections", F.lit(0)).alias("connections")))
 
@@ -198,8 +198,9 @@ profile AS (SELECT a.account_id, community_id, decline_rate, volume, md, mv, coa
 
 def profile_of(net: Network) -> DataFrame:
     inside = inside_of(net)
-    counts = evidence.scores(evidence.account_evidence(net.membership, inside, net.transactions)).select(F.col("entity_id").alias("account_id"), "high_count", "medium_count")
-    return net.membership.join(marts.behaviour(net.transactions), "account_id").join(peers_of(net), "account_id", "left").join(marts.exposure(inside), "account_id", "left").join(counts, "account_id", "left")
+    counts = evidence.scores(evidence.account_evidence(net.membership, inside, ledger_of(net))).select(F.col("entity_id").alias("account_id"), "high_count", "medium_count")
+    rows = net.membership.join(marts.behaviour(ledger_of(net)).hint("merge"), "account_id").join(peers_of(net).hint("merge"), "account_id", "left")
+    return rows.join(marts.exposure(inside).hint("merge"), "account_id", "left").join(counts.hint("merge"), "account_id", "left")
 
 
 @register("explanations", "SELECT account_id, array_to_string(list_filter([CASE WHEN decline_rate <= md THEN 'decline_like_peers' END, CASE WHEN sd = 0 AND si = 0 THEN 'no_shared_hardware' END, CASE WHEN volume < mv THEN 'volume_below_peers' END, CASE WHEN hi = 0 AND me = 0 THEN 'only_low_evidence' END], lambda x: x IS NOT NULL), ',') AS reasons FROM profile", base._ACCOUNT_CTES + "," + _PROFILE)
@@ -210,7 +211,7 @@ def explanations(net: Network) -> DataFrame:
 @register("next_actions", "SELECT a.account_id, array_to_string(list_filter([CASE WHEN shared_devices > 0 THEN 'inspect_devices' END, CASE WHEN shared_instruments > 0 THEN 'inspect_instruments' END, CASE WHEN risk_score >= 60 THEN 'triage_community' END, CASE WHEN len(strongest) > 0 THEN 'inspect_strongest' END], lambda x: x IS NOT NULL), ',') AS actions FROM membership a LEFT JOIN expo USING (account_id) LEFT JOIN sc USING (community_id)", base._ALL_EV + "," + _SCORES + "," + _REG + "," + _BEHAVE)
 def next_actions(net: Network) -> DataFrame:
     risk = scores_of(net).select("community_id", F.col("risk_score").alias("community_risk_score"))
-    rows = net.membership.join(marts.exposure(inside_of(net)), "account_id", "left").join(risk, "community_id", "left")
+    rows = net.membership.join(marts.exposure(inside_of(net)).hint("merge"), "account_id", "left").join(risk.hint("merge"), "community_id", "left")
     return marts.next_actions(rows).withColumn("actions", F.array_join("actions", ","))
 
 
@@ -307,7 +308,7 @@ def lens_views(net: Network) -> DataFrame:
     out = None
     for name in _LENS:
         shown = slices.lens(own, name)
-        one = shown.groupBy("community_id").agg(F.count("*").alias("edges")).join(slices.lens_nodes(shown).groupBy("community_id").agg(F.count("*").alias("nodes")), "community_id").select(F.lit(name).alias("lens"), "community_id", "edges", "nodes")
+        one = shown.groupBy("community_id").agg(F.count("*").alias("edges")).join(slices.lens_nodes(shown).groupBy("community_id").agg(F.count("*").alias("nodes")).hint("merge"), "community_id").select(F.lit(name).alias("lens"), "community_id", "edges", "nodes")
         out = one if out is None else out.unionByName(one)
     return out
 
