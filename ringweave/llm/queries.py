@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, mixing, quality, secrets, simhash, substrings, toxicity
+from . import ann, chat, decontaminate, langid, mixing, periodic, quality, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": mixing.query, "op2_toxicity": toxicity.query, "op3_format_chats": chat.query, "op4_simhash_dedup": simhash.query, "op5_language_id": langid.query, "op6_quality": quality.query, "op7_decontaminate": decontaminate.query, "op8_substring_dedup": substrings.query, "op9_secrets": secrets.query, "op10_nearest": ann.query}
+    return {
+        "op1_mix_sources": mixing.query,
+        "op2_toxicity": toxicity.query,
+        "op3_format_chats": chat.query,
+        "op4_simhash_dedup": simhash.query,
+        "op5_language_id": langid.query,
+        "op6_quality": quality.query,
+        "op7_decontaminate": decontaminate.query,
+        "op8_substring_dedup": substrings.query,
+        "op9_secrets": secrets.query,
+        "op10_nearest": ann.query,
+        "op13_periodic_runs": periodic.query,
+    }
 
 
 def oracle_sql() -> dict:
