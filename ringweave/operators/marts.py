@@ -115,8 +115,8 @@ def details(transactions: DataFrame, merchants: DataFrame) -> DataFrame:
 
 
 def network_summary(accounts: DataFrame, transactions: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row of totals; scores (risk_tier) has a row for each community."""
-    one = accounts.agg(F.count("*").alias("accounts")).crossJoin(transactions.agg(F.count("*").alias("transactions"))).crossJoin(edges.agg(F.count("*").alias("edges")))
+    """One row of totals; edges: their number, as one row; scores (risk_tier) has a row for each community."""
+    one = accounts.agg(F.count("*").alias("accounts")).crossJoin(transactions.agg(F.count("*").alias("transactions"))).crossJoin(edges.select("edges"))
     tiers = scores.agg(F.count("*").alias("communities"), *(F.count_if(F.col("risk_tier") == t).alias(t.lower() + "_communities") for t in ("HIGH", "MEDIUM", "LOW")))
     return one.crossJoin(tiers)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import hashing
-from ..operators import communities, enrich, evidence, features, graph, labels
+from ..operators import communities, enrich, evidence, features, graph, incidence, labels
 from .network import Network, h, sql
 
 QUERIES: dict = {}
@@ -49,6 +49,11 @@ def inside_of(net: Network) -> DataFrame:
     return once(net, "inside", lambda: graph.project(net.accounts, net.links, ledger_of(net), net.membership))
 
 
+def incidence_of(net: Network, inside: bool = False) -> DataFrame:
+    """Accounts by what they share, of the whole network or of each community."""
+    return incidence.memberships(net.accounts, net.links, ledger_of(net), net.membership if inside else None)
+
+
 def features_of(net: Network) -> DataFrame:
     return once(net, "features", lambda: features.community_features(net.membership, inside_of(net), ledger_of(net), net.merchants))
 
@@ -166,7 +171,27 @@ def account_edges(net: Network) -> DataFrame:
 
 @register("top_edges", f"SELECT {_EXPORT} FROM edges ORDER BY weight DESC, src, dst LIMIT 50")
 def top_edges(net: Network) -> DataFrame:
-    return graph.exported(graph.top_edges(edges_of(net), 50))
+    return graph.exported(incidence.strongest(net.accounts, net.links, ledger_of(net), 50))
+
+
+_CLASSES = """daily AS (SELECT DISTINCT merchant_id, timestamp::DATE AS day, account_id FROM parties WHERE merchant_id IS NOT NULL),
+classes AS (SELECT kind, entity_id, NULL::DATE AS day, count(DISTINCT account_id)::BIGINT AS members FROM links GROUP BY ALL HAVING members > 1
+  UNION ALL SELECT 'merchants', merchant_id, day, count(*)::BIGINT AS members FROM daily GROUP BY ALL HAVING members > 1)"""
+
+
+@register("class_sizes", "SELECT kind, entity_id, day, members, members * (members - 1) // 2 AS pairs FROM classes", _CLASSES)
+def class_sizes(net: Network) -> DataFrame:
+    return incidence.classes(incidence_of(net)).drop("class_id")
+
+
+@register("account_degrees", "SELECT account_id, count(*)::BIGINT AS degree FROM (SELECT src AS account_id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY account_id")
+def account_degrees(net: Network) -> DataFrame:
+    return incidence.degrees(incidence_of(net))
+
+
+@register("community_edge_counts", "SELECT community_id, count(*)::BIGINT AS edges FROM inside GROUP BY community_id")
+def community_edge_counts(net: Network) -> DataFrame:
+    return incidence.edge_counts(incidence_of(net, inside=True))
 
 
 @register("account_connections", "SELECT account_id, peer, weight, temporal_overlap, len(instruments)::INTEGER AS instruments, len(devices)::INTEGER AS devices, len(ips)::INTEGER AS ips, len(merchants)::INTEGER AS merchants FROM mirrored")

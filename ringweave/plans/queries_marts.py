@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rules import tier
-from ..operators import cases, enrich, evidence, features, filters, graph, labels, marts, scoring, slices
+from ..operators import cases, enrich, evidence, features, filters, graph, incidence, labels, marts, scoring, slices
 from ..operators.communities import activity_stats, shared_dir
 from ..streaming.ledger import append, enrich_stream
 from . import queries_graph as base
 from .network import Network, sql
-from .queries_graph import edges_of, evidence_of, features_of, inside_of, ledger_of, once, r
+from .queries_graph import edges_of, evidence_of, features_of, incidence_of, inside_of, ledger_of, once, r
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -153,7 +153,7 @@ def scores_of(net: Network) -> DataFrame:
 @register("network_summary", "SELECT (SELECT count(*) FROM accounts)::BIGINT AS accounts, (SELECT count(*) FROM tx)::BIGINT AS transactions, (SELECT count(*) FROM edges)::BIGINT AS edges, count(*)::BIGINT AS communities, count(*) FILTER (risk_score >= 60)::BIGINT AS high_communities, count(*) FILTER (risk_score >= 35 AND risk_score < 60)::BIGINT AS medium_communities, count(*) FILTER (risk_score < 35)::BIGINT AS low_communities FROM sc", base._ALL_EV + "," + _SCORES)
 def network_summary(net: Network) -> DataFrame:
     s = scores_of(net).select(tier(F.col("risk_score") / 100).alias("risk_tier"))
-    return marts.network_summary(net.accounts, net.transactions, edges_of(net), s)
+    return marts.network_summary(net.accounts, net.transactions, incidence.edge_counts(incidence_of(net)), s)
 
 
 @register("community_list", "SELECT community_id, risk_score, raw AS probability, round(density, 4) AS density, row_number() OVER (ORDER BY risk_score DESC, raw DESC, community_id)::INTEGER AS risk_rank FROM sc LEFT JOIN features USING (community_id)", base._ALL_EV + "," + _SCORES)
