@@ -1,10 +1,10 @@
-"""Communities: structure, activity over time, modularity, and detection by greedy modularity moves."""
+"""Communities: structure, activity over time, modularity, and detection by moves, refinement and contraction."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from ..functions.hashing import modulo, stable_int
 from .graph import mirrored
@@ -107,76 +107,131 @@ def summary(structures: DataFrame, stats: DataFrame, top: int = 10) -> DataFrame
 def modularity(membership: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: modularity of a partition; edges (src, dst, weight) may hold loops."""
     side = lambda name: membership.select(F.col("account_id").alias(name), F.col("community_id").alias(f"{name}_c"))
-    both = edges.join(side("src"), "src").join(side("dst"), "dst")
+    both = edges.join(side("src").hint("merge"), "src").join(side("dst").hint("merge"), "dst")
     ends = both.select(F.explode(F.array(F.struct(F.col("src_c").alias("c"), F.when(F.col("src_c") == F.col("dst_c"), F.col("weight")).otherwise(0.0).alias("in")), F.struct(F.col("dst_c").alias("c"), F.lit(0.0).alias("in")))).alias("x"), "weight")
     parts = ends.groupBy("x.c").agg(F.sum("x.in").alias("inside"), F.sum("weight").alias("k"))
     total = F.sum("k")  # twice the weight of all edges
     return parts.agg((2 * F.sum("inside") / total - resolution * F.sum(F.col("k") * F.col("k")) / (total * total)).alias("modularity"))
 
 
-def _moves(state: DataFrame, both: DataFrame, m2: float, resolution: float) -> DataFrame:
-    """node, comm, target, gain: the best strictly improving move of each node."""
-    totals = state.groupBy("comm").agg(F.sum("k").alias("total"))
-    where = state.select(F.col("node").alias("peer"), F.col("comm").alias("target"))
-    near = both.join(where, "peer").groupBy("node", "target").agg(F.sum("weight").alias("w"))
-    near = near.join(state, "node").join(totals.withColumnRenamed("comm", "target"), "target")
-    stay = F.col("target") == F.col("comm")
-    value = F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(stay, F.col("k")).otherwise(0.0)) / m2
-    own = state.join(totals, "comm").select("node", (-resolution * F.col("k") * (F.col("total") - F.col("k")) / m2).alias("alone"))
-    scored = near.withColumn("value", value).groupBy("node", "comm").agg(
-        F.max(F.when(stay, F.col("value"))).alias("here"), F.min(F.when(~stay, F.struct((-F.col("value")).alias("v"), F.col("target").alias("t")))).alias("best")
-    )
-    gain = -F.col("best.v") - F.coalesce("here", "alone")
-    return scored.join(own, "node").filter("best IS NOT NULL").select("node", "comm", F.col("best.t").alias("target"), gain.alias("gain")).filter(F.col("gain") > 1e-9)
-
-
-def detect(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42, rounds: int = 20, least: float = 1e-4) -> DataFrame:
-    """account_id, community_id of a partition with high modularity; nodes (account_id) without edges are alone.
-
-    Levels of moves, then contraction, until nothing changes. A round first tries
-    the hash-chosen half of all improving moves and keeps it if modularity rises;
-    if not, it takes moves that are the best ones at both communities they touch,
-    which always raises it. The result doesn't depend on partitions.
-    """
-    # the nodes of a level are named by their smallest account
-    graph = cut(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "louvain-edges")
-    of = cut(nodes.select("account_id", F.col("account_id").alias("node")), "louvain-nodes")
-    m2 = 2 * (graph.agg(F.sum("weight")).first()[0] or 0.0)
-    if m2 <= 0:
-        return canonical(of.select("account_id", F.col("node").alias("community_id")))
-    while True:
-        both = cut(mirrored(graph.filter("src <> dst")).select(F.col("account_id").alias("node"), "peer", "weight"), "louvain-both")
-        loops = graph.filter("src = dst").select(F.col("src").alias("node"), (2 * F.col("weight")).alias("weight"))
-        degree = both.select("node", "weight").unionByName(loops).groupBy("node").agg(F.sum("weight").alias("k"))
-        start = of.select("node").distinct().join(degree, "node", "left").select("node", F.col("node").alias("comm"), F.coalesce("k", F.lit(0.0)).alias("k"))
-        state, moved_any = cut(start, "louvain-state"), False
-        worth = lambda s: modularity(s.select(F.col("node").alias("account_id"), F.col("comm").alias("community_id")), graph, resolution).first()[0]
-        quality = worth(state)
-        for r in range(rounds):
-            moves = cut(_moves(state, both, m2, resolution), "louvain-moves")
-            if not moves.limit(1).count():
+def _weighed_moves(state: DataFrame, both: DataFrame, m2: float, resolution: float, fresh: str | None = None) -> DataFrame:
+    """A row for each node of `state` (node, comm, k, loop): that, its community's total, here (its weight to it), and the best move: target, gain (null without one). With `fresh`, a mark that no name ends with yet, a node may also leave for a community of its own."""
+    totals = state.groupBy("comm").agg(F.sum("k").alias("total"), F.count("*").alias("size"))
+    own = state.join(totals, "comm")
+    near = both.join(state.select(F.col("node").alias("peer"), F.col("comm").alias("target")), "peer").groupBy("node", "target").agg(F.sum("weight").alias("w"))
+    near = near.join(own.select("node", "comm", "k"), "node").join(totals.select(F.col("comm").alias("target"), F.col("total").alias("of_target")), "target")
+    value = F.col("w") - resolution * F.col("k") * F.col("of_target") / m2
+    away = F.col("target") != F.col("comm")
+    best = near.groupBy("node").agg(F.max(F.when(~away, F.col("w"))).alias("here"), F.min(F.when(away, F.struct((-value).alias("loss"), F.col("target").alias("to")))).alias("best"))
+    rows = own.join(best, "node", "left").withColumn("here", F.coalesce("here", F.lit(0.0)))
+    stay = F.col("here") - resolution * F.col("k") * (F.col("total") - F.col("k")) / m2
+    rows = rows.withColumn("target", F.col("best.to")).withColumn("gain", -F.col("best.loss") - stay).drop("best")
+    if fresh is None:
+        return rows
+    leaves = (F.col("size") > 1) & (-stay > F.coalesce("gain", F.lit(0.0)))
+    return rows.withColumn("target", F.when(leaves, F.concat("node", F.lit(fresh))).otherwise(F.col("target"))).withColumn("gain", F.when(leaves, -stay).otherwise(F.col("gain")))
+
+
+def _step(state: DataFrame, both: DataFrame, m2: float, resolution: float, taken: Column, name: str, fresh: str | None = None) -> tuple[DataFrame, float, int]:
+    """(the state after the moves of `taken`, modularity of the state before, how many nodes had a move that improves): one job, whose last tasks also count."""
+    rows = _weighed_moves(state, both, m2, resolution, fresh)
+    improves = F.coalesce(F.col("gain") > 1e-9, F.lit(False))
+    seen = Observation()
+    quality = F.sum((F.col("here") + F.col("loop")) / m2 - resolution * F.col("k") * F.col("total") / (m2 * m2))
+    rows = rows.withColumn("improves", improves).observe(seen, quality.alias("quality"), F.count_if("improves").alias("movers"))
+    after = cut(rows.select("node", F.when(F.col("improves") & taken, F.col("target")).otherwise(F.col("comm")).alias("comm"), "k", "loop"), name)
+    return after, seen.get["quality"] or 0.0, seen.get["movers"]
+
+
+def _apart(state: DataFrame, both: DataFrame, m2: float, resolution: float, fresh: str) -> DataFrame:
+    """`state` after moves that are the best ones at both communities they touch: modularity rises by the sum of their gains."""
+    moves = _weighed_moves(state, both, m2, resolution, fresh).filter("gain > 1e-9").select("node", "comm", "target", "gain")
+    touched = moves.withColumn("c", F.explode(F.array("comm", "target")))
+    first = touched.groupBy("c").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "node", "target")).alias("s"))
+    alone = first.groupBy("s.node", "s.target").agg(F.count("*").alias("n")).filter("n = 2").select("node", F.col("target").alias("to"))
+    return cut(state.join(alone.hint("merge"), "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "k", "loop"), "louvain-state")
+
+
+def _moved(state: DataFrame, both: DataFrame, m2: float, resolution: float, seed: str, rounds: int, least: float) -> tuple[DataFrame, float, float]:
+    """(state, modularity before, modularity after) of moves in rounds.
+
+    A round takes the hash-chosen half of all moves that improve, and its job also
+    tells how good the state was that it started from. A round that made things
+    worse is known by the next one's job, and taken back: moves that can't disturb
+    each other are made in its place."""
+    kept, best, start = None, float("-inf"), 0.0
+    careful = False
+    for r in range(rounds):
+        half = modulo(stable_int(F.col("node"), f"{seed}-{r}"), 2) == 0
+        fresh = f"~{seed}-{r}"
+        after, quality, movers = _step(state, both, m2, resolution, half, "louvain-state", fresh)
+        if kept is None:
+            start = quality
+        elif quality <= best + 1e-12:
+            if careful:
                 break
+            state, careful = _apart(kept, both, m2, resolution, fresh), True
+            continue
+        careful = False
+        rise, kept, best = quality - best, state, quality
+        if not movers or rise < least:
+            break
+        state = after
+    return kept, start, best
+
+
+def _refined(state: DataFrame, both: DataFrame, m2: float, resolution: float, seed: str, rounds: int = 4) -> DataFrame:
+    """`state` with parts of its communities as comm, and the communities as outer: parts are connected, as nodes only join, alone, a part with which they share an edge and which stays.
+
+    A community that hangs together badly is left in several parts, which later moves can take apart."""
+    outer = state.select("node", F.col("comm").alias("outer"))
+    inside = both.join(outer, "node").join(outer.withColumnsRenamed({"node": "peer", "outer": "peers"}), "peer").filter("outer = peers").select("node", "peer", "weight")
+    inside = cut(inside, "louvain-inside")
+    parts = cut(state.select("node", F.col("node").alias("comm"), "k", "loop"), "louvain-parts")
+    for r in range(rounds):
+        # a part with the other half's name stays, so what joins it is connected to it
+        goes = lambda c, r=r: modulo(stable_int(F.col(c), f"{seed}-part-{r}"), 2) == 0
+        stays = inside.join(parts.select(F.col("node").alias("peer"), F.col("comm").alias("part")), "peer").filter(~goes("part")).select("node", "peer", "weight")
+        alone = (F.col("size") == 1) & goes("comm")
+        parts, _, movers = _step(parts, stays, m2, resolution, alone, "louvain-parts")
+        if not movers and r:
+            break
+    return parts.join(outer, "node")
+
+
+def _contracted(parts: DataFrame, both: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(level, both, state): node and the part's name, its smallest node; edges between parts; the parts as nodes, in their communities."""
+    names = parts.groupBy("comm").agg(F.min("node").alias("name"))
+    level = cut(parts.join(names, "comm").select("node", "name", "outer", "k", "loop"), "louvain-level")
+    side = lambda c, to: level.select(F.col("node").alias(c), F.col("name").alias(to))
+    edges = cut(both.join(side("node", "a"), "node").join(side("peer", "b"), "peer").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "louvain-edges")
+    inner = edges.filter("a = b").select(F.col("a").alias("name"), F.col("weight").alias("inner"))
+    outer = level.groupBy("outer").agg(F.min("name").alias("comm"))
+    nodes = level.groupBy("name", "outer").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).join(outer, "outer").join(inner, "name", "left")
+    state = cut(nodes.select(F.col("name").alias("node"), "comm", "k", (F.col("loop") + F.coalesce("inner", F.lit(0.0))).alias("loop")), "louvain-state")
+    return level, edges.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("peer"), "weight"), state
+
+
+def detect(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42, rounds: int = 30, least: float = 1e-5, levels: int = 12) -> DataFrame:
+    """account_id, community_id of a partition with high modularity; nodes (account_id) without edges are alone.
 
-            def applied(chosen: DataFrame, state=state) -> DataFrame:
-                return cut(state.join(chosen.select("node", F.col("target").alias("to")), "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "k"), "louvain-state")
-
-            half = applied(moves.filter(modulo(stable_int(F.col("node"), f"{seed}-round-{r}"), 2) == 0))
-            better = worth(half)
-            if better <= quality + 1e-12:
-                touched = moves.withColumn("c", F.explode(F.array("comm", "target")))
-                first = touched.groupBy("c").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "node", "target")).alias("s"))
-                alone = first.groupBy("s.node", "s.target").agg(F.count("*").alias("n")).filter("n = 2")
-                half = applied(alone)
-                better = worth(half)
-            moved_any |= better > quality
-            rise, state, quality = better - quality, half, max(better, quality)
-            if rise < least:
-                break
-        name = state.groupBy("comm").agg(F.min("node").alias("name"))
-        level = cut(state.join(name, "comm").select("node", "name"), "louvain-level")
-        of = cut(of.join(level, "node").select("account_id", F.col("name").alias("node")), "louvain-nodes")
-        if not moved_any:
-            return canonical(of.select("account_id", F.col("node").alias("community_id")))
-        side = lambda c: level.select(F.col("node").alias(c), F.col("name").alias(f"{c}_name"))
-        joined = graph.join(side("src"), "src").join(side("dst"), "dst")
-        graph = cut(joined.groupBy(F.least("src_name", "dst_name").alias("src"), F.greatest("src_name", "dst_name").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain-edges")
+    Each level moves nodes between communities in rounds, one job each, then
+    splits communities into connected parts (refinement), which are the nodes of
+    the next level. It ends with a level that improves nothing. The result doesn't
+    depend on partitions."""
+    weighed = cut(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "louvain-edges")
+    both = cut(mirrored(weighed.filter("src <> dst")).select(F.col("account_id").alias("node"), "peer", "weight"), "louvain-both")
+    loops = weighed.filter("src = dst").groupBy(F.col("src").alias("node")).agg(F.sum(2 * F.col("weight")).alias("loop"))
+    degree = both.groupBy("node").agg(F.sum("weight").alias("d"))
+    zero = F.lit(0.0)
+    every = nodes.select(F.col("account_id").alias("node")).distinct().join(degree, "node", "left").join(loops, "node", "left")
+    state = cut(every.select("node", F.col("node").alias("comm"), (F.coalesce("d", zero) + F.coalesce("loop", zero)).alias("k"), F.coalesce("loop", zero).alias("loop")), "louvain-state")
+    of = state.select(F.col("node").alias("account_id"), "node")
+    m2 = state.agg(F.sum("k")).first()[0] or 0.0
+    for level in range(levels if m2 > 0 else 0):
+        state, before, after = _moved(state, both, m2, resolution, f"{seed}-{level}", rounds, least)
+        if after <= before + 1e-12:
+            break
+        names, both, state = _contracted(_refined(state, both, m2, resolution, f"{seed}-{level}"), both)
+        of = cut(of.join(names.select("node", "name"), "node").select("account_id", F.col("name").alias("node")), "louvain-nodes")
+    return canonical(of.join(state.select("node", "comm"), "node").select("account_id", F.col("comm").alias("community_id")))
