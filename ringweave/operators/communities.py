@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from ..functions.hashing import modulo, stable_int
 from .graph import mirrored
+from .selection import medians
+from .stored import cut
 
 HOUR = 3600.0
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A local master has a temporary one where that is unset; a cluster has to name it."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="ringweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def numbered(rows: DataFrame, by: list, name: str = "number") -> DataFrame:
     """`rows` with their place in the order of `by`, from 1: ranges of rows are counted first and numbered on their own, so no task sees all rows."""
     ranged = cut(rows.repartitionByRange(*by).withColumn("range_id", F.spark_partition_id()), "ranges")
@@ -49,16 +29,6 @@ def canonical(membership: DataFrame) -> DataFrame:
     return membership.join(number.hint("merge"), "community_id").select("account_id", F.col("number").alias("community_id"))
 
 
-def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key, median: exact, from counts of equal values, so that no task buffers a key's rows."""
-    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"))
-    total = counts.groupBy(key).agg(F.sum("n").alias("total"))
-    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy(key).orderBy(value)))
-    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col(value)))
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    return upto.join(total.hint("merge"), key).groupBy(key).agg(((at(low) + at(high)) / 2).alias("median"))
-
-
 def structure(membership: DataFrame, inside: DataFrame) -> DataFrame:
     """community_id, member_count, internal_edges, total_weight, density; communities without edges stay."""
     members = membership.groupBy("community_id").agg(F.count("*").alias("member_count"))

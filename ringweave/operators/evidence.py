@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import evidence_id
 from ..functions.rules import AT_LEAST, ORDER, POINTS, by_severity, hub_severity, steps
-from .communities import cut, gaps, medians
+from .communities import gaps
 from .features import member_transactions
 from .graph import mirrored
+from .intervals import within
+from .selection import medians
+from .stored import cut
 
 # Names of the evidence types by kind of entity, and the families of signals.
 SHARING = {
@@ -172,6 +175,7 @@ def account_evidence(membership: DataFrame, inside: DataFrame, transactions: Dat
     paired = both.withColumn("n", n).withColumn("names", names)
     parts.append(item(paired, "ACCOUNT", F.col("account_id"), "MULTI_LAYER_EVIDENCE", steps(F.col("n"), (3, 2), ("HIGH", "MEDIUM")), F.concat_ws(":", F.least("account_id", "peer"), F.greatest("account_id", "peer")), F.format_string("%s: %d kinds", "peer", "n"), F.array("peer"), {"peer": F.col("peer"), "layer_count": F.col("n"), "layers": F.array_join("names", ",")}))
     own = transactions.select(F.explode(F.array_distinct(F.array("src_account_id", "dst_account_id"))).alias("account_id"), "timestamp", "transaction_id")
+    own = cut(own, "account-transactions")
     parts += [bursts(own, "account_id", "ACCOUNT"), rapid(own, "account_id", "ACCOUNT"), hubs(membership, inside, "ACCOUNT")]
     return distinct_items(_union(parts))
 
@@ -214,7 +218,7 @@ def matches(items: DataFrame, transactions: DataFrame) -> DataFrame:
     """evidence_id, transaction_id: transactions that an item names, or that fall into its window on the same entity."""
     named = items.select("entity_type", "entity_id", "evidence_id", F.explode("supporting_entities").alias("transaction_id")).filter(F.col("transaction_id").startswith("tx_"))
     timed = items.filter("observed_at IS NOT NULL").select("entity_type", "entity_id", "evidence_id", F.col("observed_at").alias("from"), F.to_timestamp(F.element_at("metrics", F.lit("end"))).alias("to"))
-    inside = timed.join(transactions.select("entity_id", "transaction_id", "timestamp").hint("merge"), "entity_id").filter(F.col("timestamp").between(F.col("from"), F.col("to")))
+    inside = within(timed, transactions.select("entity_id", "transaction_id", "timestamp"), "entity_id", ("from", "to"), "timestamp")
     return named.unionByName(inside.select(*named.columns)).distinct()
 
 

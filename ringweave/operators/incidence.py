@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import WEIGHTS, evidence_weight, temporal_multiplier
-from .communities import cut
 from .contracts import require
 from .graph import KINDS, active_days, parties
+from .stored import cut
 
 #: Classes of more accounts than this count as wholes in `degrees`; pairs of smaller ones are made, HOT / 2 for a row at the most.
 HOT = 128

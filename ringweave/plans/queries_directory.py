@@ -119,9 +119,8 @@ focus AS (SELECT DISTINCT mt.community_id, mt.transaction_id FROM burst b JOIN m
     base._WINDOWS + "," + _FOCUS,
 )
 def timeline_filtered(net: Network) -> DataFrame:
-    rows = features.member_transactions(net.membership, net.transactions)
-    items = evidence.bursts(rows.select("community_id", "timestamp", "transaction_id"), "community_id", "COMMUNITY")
-    named = evidence.matches(items, rows.withColumn("entity_id", F.col("community_id").cast("string")))
+    rows = base.member_rows_of(net)
+    named = evidence.matches(base.bursts_of(net), rows.withColumn("entity_id", F.col("community_id").cast("string")))
     named = named.select(F.col("entity_id").cast("long").alias("community_id"), "transaction_id")
     return directory.events(rows, "7", "SETTLED", named).select("community_id", "transaction_id", "timestamp")
 

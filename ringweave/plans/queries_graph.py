@@ -58,6 +58,16 @@ def features_of(net: Network) -> DataFrame:
     return once(net, "features", lambda: features.community_features(net.membership, inside_of(net), ledger_of(net), net.merchants))
 
 
+def member_rows_of(net: Network) -> DataFrame:
+    """The transactions of each community's members, once for each community."""
+    return once(net, "member-rows", lambda: features.member_transactions(net.membership, ledger_of(net)))
+
+
+def bursts_of(net: Network) -> DataFrame:
+    rows = member_rows_of(net).select("community_id", "timestamp", "transaction_id")
+    return once(net, "bursts", lambda: evidence.bursts(rows, "community_id", "COMMUNITY"))
+
+
 def labels_of(net: Network) -> DataFrame:
     return labels.community_labels(net.membership, labels.ring_members(net.rings))
 

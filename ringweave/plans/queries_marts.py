@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rules import tier
 from ..operators import cases, enrich, evidence, features, filters, graph, incidence, labels, marts, scoring, slices
-from ..operators.communities import activity_stats, shared_dir
+from ..operators.communities import activity_stats
+from ..operators.stored import shared_dir
 from ..streaming.ledger import append, enrich_stream
 from . import queries_graph as base
 from .network import Network, sql
@@ -237,9 +238,8 @@ def account_sharing_summary(net: Network) -> DataFrame:
 
 @register("evidence_matches", "SELECT evidence_id, mt.transaction_id FROM (SELECT 'ev_' || substr(sha1('COMMUNITY:' || community_id || ':TEMPORAL_BURST:60min'), 1, 12) AS evidence_id, community_id, s, e FROM hour1 WHERE n >= 8 UNION ALL SELECT 'ev_' || substr(sha1('COMMUNITY:' || community_id || ':TEMPORAL_BURST:24h'), 1, 12), community_id, s, e FROM day1 WHERE n >= 4) b JOIN mt ON mt.community_id = b.community_id AND mt.timestamp BETWEEN s AND e", base._WINDOWS)
 def evidence_matches(net: Network) -> DataFrame:
-    rows = features.member_transactions(net.membership, net.transactions)
-    items = evidence.bursts(rows.select("community_id", "timestamp", "transaction_id"), "community_id", "COMMUNITY")
-    return evidence.matches(items, rows.withColumn("entity_id", F.col("community_id").cast("string"))).select("evidence_id", "transaction_id")
+    rows = base.member_rows_of(net)
+    return evidence.matches(base.bursts_of(net), rows.withColumn("entity_id", F.col("community_id").cast("string"))).select("evidence_id", "transaction_id")
 
 
 @register("lens_evidence", "SELECT lens, count(*)::BIGINT AS n FROM ev JOIN (VALUES " + ", ".join(f"('{name}', '{k}')" for name, ks in filters.LENSES.items() for k in (ks or evidence.FAMILIES)) + ") AS l(lens, kind) ON type = kind GROUP BY 1", base._ALL_EV)
