@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.contracts import EVALUATION, LABEL_COLUMNS, OBSERVABLE, ordered, require
 from ..operators.features import FEATURES
@@ -18,17 +18,30 @@ def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ACCOUNTS).csv(path, header=True).withColumn("creation_date", F.to_date("creation_date"))
 
 
-def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """The columns that analysis needs; the wide embedding is never parsed."""
-    rows = spark.read.schema(TRANSACTIONS).csv(path, header=True)
-    return rows.select("tx_id", "src_id", "dst_id", "amount", F.to_timestamp("timestamp").alias("timestamp"))
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows of what a reader gave, in file order: by path, then by place in the file.
+
+    Splits are counted first, in the order of their blocks; a row's place is that of
+    its split's first row and its own within the split, which the order of row
+    numbers in a partition tells. Nothing is sorted, and no task sees all rows."""
+    split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    placed = rows.withColumns({"__split": split, "__row": F.monotonically_increasing_id()})
+    sizes = placed.groupBy("__split").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    # a row for each split; only those before the n-th row are joined
+    before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__split")) - F.col("__n")).filter(F.col("__before") < n)
+    kept = placed.join(before.hint("merge"), "__split").filter(F.col("__before") + F.col("__row") - F.col("__first") < n)
+    return kept.select(*rows.columns)
+
+
+def read_transactions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """The columns that analysis needs; the wide embedding is never parsed. A limit takes the first rows of the file."""
+    rows = spark.read.schema(TRANSACTIONS).csv(path, header=True).select("tx_id", "src_id", "dst_id", "amount", F.to_timestamp("timestamp").alias("timestamp"))
+    return rows if limit is None else first_rows(rows, limit)
 
 
 def read_ledger(spark: SparkSession, main: str, fraud: str | None = None, decoy: str | None = None, limit: int | None = None) -> DataFrame:
-    """Main, fraud and decoy transactions in one table; a limit holds for the main file only, by its smallest ids."""
-    rows = read_transactions(spark, main)
-    if limit is not None:
-        rows = rows.orderBy("timestamp", "tx_id").limit(limit)
+    """Main, fraud and decoy transactions in one table; a limit holds for the main file only, and takes its first rows."""
+    rows = read_transactions(spark, main, limit)
     for path in (fraud, decoy):
         if path is not None:
             rows = rows.unionByName(read_transactions(spark, path))
@@ -57,7 +70,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_observable(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     rows = spark.read.parquet(path)
     rows = require(rows.drop(*EVALUATION), ["transaction_id"]).select(*(c for c in OBSERVABLE if c in rows.columns))
-    return rows if limit is None else rows.orderBy("transaction_id").limit(limit)
+    return rows if limit is None else first_rows(rows, limit)
 
 
 def write_ledger(ledger: DataFrame, path: str, kind: str = "parquet") -> None:
