@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_directory, queries_graph, queries_marts
+from . import queries_directory, queries_graph, queries_marts, queries_records
 
-MODULES = [queries_graph, queries_marts, queries_directory]
+MODULES = [queries_graph, queries_marts, queries_directory, queries_records]
 
 
 def queries() -> dict:
