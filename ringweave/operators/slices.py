@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .communities import cut
 from .evidence import degrees
 from .graph import mirrored
 from .marts import pairs
+from .stored import cut
 
 KINDS = ("devices", "instruments", "ips", "merchants")
 
@@ -149,43 +149,77 @@ def storyline(accounts: DataFrame, items: DataFrame, timeline: DataFrame) -> Dat
     return out
 
 
-def _frontiers(edges: DataFrame, start: str, depth: int | None, until: str | None) -> list[DataFrame]:
-    """By hop from 0: account_id, hops, parent (the smallest there is) of the accounts that are reached first in so many steps."""
-    both = cut(mirrored(edges.select("src", "dst")), "reach-edges")
-    found = [both.sparkSession.createDataFrame([(start, 0, None)], "account_id string, hops int, parent string")]
-    seen = found[0].select("account_id")
-    while depth is None or len(found) <= depth:
-        step = both.join(found[-1].select("account_id").hint("merge"), "account_id").groupBy("peer").agg(F.min("account_id").alias("parent"))
-        new = step.withColumnRenamed("peer", "account_id").join(seen.hint("merge"), "account_id", "left_anti")
-        frontier = cut(new.select("account_id", F.lit(len(found)).alias("hops"), "parent"), "reach-frontier")
-        if not frontier.limit(1).count():
-            break
-        found.append(frontier)
-        seen = cut(seen.unionByName(frontier.select("account_id")), "reach-seen")
-        if until is not None and frontier.filter(F.col("account_id") == until).limit(1).count():
-            break
-    return found
+def _ways(edges: DataFrame) -> DataFrame:
+    """Each edge from either end, stored: account_id, peer."""
+    return cut(mirrored(edges.select("src", "dst")).select("account_id", "peer"), "reach-edges")
+
+
+def _next(both: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The accounts one step beyond the last of `levels`, with the smallest account that they are reached from. Neighbours of a level lie in it, before it or beyond it, so only two levels are looked up."""
+    step = both.join(levels[-1].select("account_id").hint("merge"), "account_id").groupBy("peer").agg(F.min("account_id").alias("parent")).withColumnRenamed("peer", "account_id")
+    for known in levels[-2:]:
+        step = step.join(known.select("account_id").hint("merge"), "account_id", "left_anti")
+    return cut(step.select("account_id", F.lit(len(levels)).alias("hops"), "parent"), "reach-frontier")
+
 
+def _start(both: DataFrame, account: str) -> DataFrame:
+    return both.sparkSession.createDataFrame([(account, 0, None)], "account_id string, hops int, parent string")
 
-def reach(edges: DataFrame, start: str, depth: int | None = 6, until: str | None = None) -> DataFrame:
+
+def reach(edges: DataFrame, start: str, depth: int | None = 6) -> DataFrame:
     """account_id, hops, parent for what can be reached over undirected edges in `depth` steps, in any number for None."""
-    found = _frontiers(edges, start, depth, until)
-    out = found[0]
-    for frontier in found[1:]:
-        out = out.unionByName(frontier)
+    both = _ways(edges)
+    levels = [_start(both, start)]
+    while depth is None or len(levels) <= depth:
+        beyond = _next(both, levels)
+        if beyond.isEmpty():
+            break
+        levels.append(beyond)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
     return out
 
 
+def _hops(both: DataFrame, start: str, end: str) -> list[tuple[str, str]]:
+    """(from, to) of each hop of a path with the fewest hops; of several the one that takes, from the end backwards, the smallest account each time.
+
+    Levels grow from both ends, the smaller outermost one first, until they meet.
+    From where they meet, the accounts of the end's levels that lie on a shortest
+    path are marked back to the end."""
+    sides, sizes = ([_start(both, start)], [_start(both, end)]), [1, 1]
+    if start == end:
+        return []
+    while True:
+        k = 0 if sizes[0] <= sizes[1] else 1
+        beyond = _next(both, sides[k])
+        sizes[k] = beyond.count()
+        if not sizes[k]:
+            return []
+        sides[k].append(beyond)
+        met = sides[0][-1].join(sides[1][-1].select("account_id").hint("merge"), "account_id", "left_semi")
+        if not met.isEmpty():
+            break
+    alive = [cut(met.select("account_id"), "reach-met")]
+    for level in sides[1][-2::-1]:
+        near = both.join(alive[-1].hint("merge"), "account_id", "left_semi").select(F.col("peer").alias("account_id")).distinct()
+        alive.append(cut(near.join(level.select("account_id").hint("merge"), "account_id", "left_semi"), "reach-met"))
+    path, at = [], end
+    for on_path in alive[-2::-1]:
+        last = both.filter(F.col("account_id") == at).join(on_path.select(F.col("account_id").alias("peer")).hint("merge"), "peer", "left_semi").agg(F.min("peer")).first()[0]
+        path.append((last, at))
+        at = last
+    for level in sides[0][:0:-1]:
+        last = level.filter(F.col("account_id") == at).first()["parent"]
+        path.append((last, at))
+        at = last
+    return path[::-1]
+
+
 def shortest_path(edges: DataFrame, start: str, end: str, transactions: DataFrame | None = None) -> DataFrame:
     """hop, src, dst and, where edges tell kinds, the relation of each hop of a path with the fewest edges, however long; none if there isn't any."""
-    found = _frontiers(edges, start, None, end)
-    hops, at = [], end
-    for frontier in found[:0:-1]:  # one parent per hop, each from its own frontier
-        row = frontier.filter(F.col("account_id") == at).first()
-        if row is not None:
-            hops.append((row["hops"], row["parent"], at, min(at, row["parent"]), max(at, row["parent"])))
-            at = row["parent"]
-    path = edges.sparkSession.createDataFrame(hops[::-1], "hop int, src string, dst string, a string, b string")
+    hops = [(k + 1, a, b, min(a, b), max(a, b)) for k, (a, b) in enumerate(_hops(_ways(edges), start, end))]
+    path = edges.sparkSession.createDataFrame(hops, "hop int, src string, dst string, a string, b string")
     if "devices" not in edges.columns:
         return path.select("hop", "src", "dst")
     known = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), *KINDS, "temporal_overlap")

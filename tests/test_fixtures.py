@@ -297,6 +297,63 @@ def test_paths(spark):
     assert slices.shortest_path(edges, "a", "y").count() == 0
 
 
+def test_paths_from_both_ends(spark):
+    """Hops, ties and reach against a search in Python."""
+    import random
+
+    rng = random.Random(12)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(46)} | {(50 + k, 51 + k) for k in range(8)}
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(f"n{a}", set()).add(f"n{b}")
+        near.setdefault(f"n{b}", set()).add(f"n{a}")
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 1.0) for a, b in pairs], "src string, dst string, weight double").cache()
+
+    def levels(start):
+        out, seen = [{start}], {start}
+        while out[-1]:
+            out.append({y for x in out[-1] for y in near.get(x, ())} - seen)
+            seen |= out[-1]
+        return out[:-1]
+
+    starts = sorted(near)
+    for start, end in [(rng.choice(starts), rng.choice(starts)) for _ in range(4)] + [("n50", "n58"), ("n50", "n1"), ("n3", "n3")]:
+        by = levels(start)
+        at, want = end, []
+        if any(end in x for x in by):
+            for level in by[: next(k for k, x in enumerate(by) if end in x)][::-1]:
+                before = min(level & near[at])
+                want.append((before, at))
+                at = before
+        got = [(r.src, r.dst) for r in slices.shortest_path(edges, start, end).orderBy("hop").collect()]
+        assert got == want[::-1]
+    found = {(r.account_id, r.hops) for r in slices.reach(edges, "n50", 5).collect()}
+    assert found == {(x, k) for k, level in enumerate(levels("n50")[:6]) for x in level}
+    edges.unpersist()
+
+
+def test_stream_restarts(spark, tmp_path):
+    """A second run from the same checkpoint takes only new files, and joins the static tables as they are then."""
+    from ringweave.streaming.ledger import append
+
+    def raw(ids):
+        return spark.createDataFrame([(i, i % 3, float(i)) for i in ids], "tx_id long, account long, amount double")
+
+    def run(names):
+        static = spark.createDataFrame(list(names.items()), "account long, name string")
+        stream = spark.readStream.schema("tx_id long, account long, amount double").parquet(f"file://{tmp_path}/raw").join(static, "account", "left")
+        append(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/log").awaitTermination()
+        return {(r.tx_id, r.name) for r in spark.read.schema("account long, tx_id long, amount double, name string").parquet(f"file://{tmp_path}/out").collect()}
+
+    first, then = {0: "a", 1: "b"}, {0: "A", 1: "b", 2: "c"}
+    raw(range(10)).repartition(3).write.parquet(f"file://{tmp_path}/raw")
+    one = run(first)
+    assert one == {(i, first.get(i % 3)) for i in range(10)}
+    raw(range(10, 17)).write.mode("append").parquet(f"file://{tmp_path}/raw")
+    want = one | {(i, then[i % 3]) for i in range(10, 17)}
+    assert run(then) == want and run(then) == want
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("tx_1", 5.0, 0.7), ("TX_2", 10.0, None), ("acc_1", 15.0, 0.4)], "id string, amount double, risk_score double")
     assert filters.between(df, "amount", 5, 10).count() == 2 and filters.prefix(df, " Tx_", ["id"]).count() == 2
