@@ -459,7 +459,7 @@ def feature_importance(net: Network) -> DataFrame:
 
 @register("cv_metrics")
 def cv_metrics(net: Network) -> DataFrame:
-    return scoring.cross_validate(features_of(net), positives_of(net), repeats=1)
+    return scoring.cross_validate(features_of(net), positives_of(net), forest_repeats=1)
 
 
 ORACLES["stream_enrich"] = base.ORACLES["enrich_tx"]

@@ -258,6 +258,32 @@ def test_scoring(spark):
         scoring.imputed(m.withColumn("fraud_purity", F.lit(0.0)))
 
 
+def test_folds_are_fitted_together(spark):
+    """Every model of 3 x 3 folds is the one that a fit of its own gives; folds hold each row once a repeat, classes evenly."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 5)) * [1, 3, 0.1, 1, 1] + [0, 5, 0, 0, 2]
+    x[:, 3] = 1.5  # constant
+    rows = spark.createDataFrame([(i, float(v[0] + v[1] / 3 - 1.5 + rng.normal() > 0), v.tolist()) for i, v in enumerate(x)], "community_id long, label double, x array<double>").cache()
+    dealt = scoring.dealt_repeats(rows, 3, 3, 7).cache()
+    models, held_out = scoring.logistic_folds(dealt, 3)
+    assert len(models) == 9 and held_out.count() == 270
+    sizes = dealt.groupBy("repeat", "label", "fold").count().groupBy("repeat", "label").agg((F.max("count") - F.min("count")).alias("spread")).collect()
+    assert len(sizes) == 6 and all(r.spread <= 1 for r in sizes)
+    data = {(r.repeat, r.community_id): (r.fold, r.label, r.x) for r in dealt.collect()}
+    assert len(data) == 270
+    for (repeat, fold), (mean, scale, weight, w) in models.items():
+        own = [(y, v) for (q, _), (f, y, v) in data.items() if q == repeat and f != fold]
+        y, v = np.array([a for a, _ in own]), np.array([b for _, b in own])
+        assert np.allclose(mean, v.mean(axis=0)) and np.allclose(scale[[0, 1, 2, 4]], v.std(axis=0)[[0, 1, 2, 4]]) and np.isinf(scale[3])
+        z = np.c_[(v - mean) / scale, np.ones(len(v))]
+        sw = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        p = 1 / (1 + np.exp(-(z @ w)))
+        assert np.abs(z.T @ (sw * (p - y)) + np.r_[w[:-1], 0]).max() < 1e-7  # where the gradient is zero is the fit
+    rows.unpersist()
+
+
 def test_ranking_metrics(spark):
     rows = [(1.0, 0.9), (0.0, 0.9), (1.0, 0.7), (0.0, 0.4), (1.0, 0.4), (0.0, 0.1)]
     r = scoring.ranking_metrics(spark.createDataFrame([("m", *x) for x in rows], "model string, label double, p double"), ["model"]).first()
