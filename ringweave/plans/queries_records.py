@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import attributes, audit
+from ..operators import attributes, audit, catalogs, enrich
 from ..operators.stored import shared_dir
 from ..sources.io import first_rows
-from .network import Network, sql
-from .queries_graph import ledger_of, once
+from .network import Network, h, sql
+from .queries_graph import TWO_64, ledger_of, once
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,55 @@ def edge_attributes(net: Network) -> DataFrame:
     return as_text(attributes.edges(net.links, ledger_of(net)))
 
 
+# --- catalogs -------------------------------------------------------------------
+
+
+def _sql_pick(values: list[str], key: str, salt: str) -> str:
+    return f"({values})[({h(key, salt)} % {len(values)}::UBIGINT)::INTEGER + 1]"
+
+
+def _sql_digits(salt: str, n: int, add: int, width: int) -> str:
+    return f"lpad((({h('key', salt)} % {n}::UBIGINT)::BIGINT + {add})::VARCHAR, {width}, '0')"
+
+
+_MOBILE = "CASE WHEN os LIKE 'android%' OR os LIKE 'ios%' THEN 'mobile' ELSE 'desktop' END"
+_CATALOGS = f"""pats AS (SELECT DISTINCT pattern_id FROM ring_members),
+personal AS (SELECT unnest(range(n))::VARCHAR AS i FROM sizes),
+dev AS (SELECT 'dev_' || lpad(i, 6, '0') AS id, {_sql_pick(catalogs.OS, "i", "42|dev-os")} AS os, NULL AS kind, '2023-01-01' AS seen FROM personal
+  UNION ALL SELECT 'dev_s' || lpad(i, 4, '0'), {_sql_pick(catalogs.OS, "i", "42|sdev-os")}, NULL, '2023-01-01' FROM (SELECT unnest(range(greatest(4, n // 30)))::VARCHAR AS i FROM sizes)
+  UNION ALL SELECT 'dev_ring_' || pattern_id, {_sql_pick(catalogs.OS, "pattern_id", "42|rdev-os")}, 'mobile', '2023-06-01' FROM pats),
+keyed AS (SELECT 'ins_' || lpad(i, 6, '0') AS id, 'personal|' || i AS key FROM personal
+  UNION ALL SELECT 'ins_s' || lpad(i, 4, '0'), 'shared|' || i FROM (SELECT unnest(range(greatest(4, n // 22)))::VARCHAR AS i FROM sizes)
+  UNION ALL SELECT 'ins_ring_' || pattern_id, 'ring|' || pattern_id FROM pats WHERE {h("pattern_id", "42-has-ins")}::DOUBLE / {TWO_64} < 0.5),
+ins AS (SELECT id, key, {_sql_pick(catalogs.TYPES, "key", "42-itype")} AS t FROM keyed),
+pool AS (SELECT 'ip_' || unnest(range(greatest(8, n // 2))) AS id FROM sizes),
+mch AS (SELECT unnest(range(greatest(50, n // 25)))::VARCHAR AS i FROM sizes)"""
+
+
+@register(
+    "catalog_attributes",
+    f"""SELECT 'device' AS catalog, id, concat_ws(';', 'device_type=' || coalesce(kind, {_MOBILE}), 'first_seen=' || seen, 'os=' || os) AS attrs FROM dev
+    UNION ALL SELECT 'instrument', id, concat_ws(';', 'expiry=' || {_sql_digits("42-expm", 12, 1, 2)} || '/' || {_sql_digits("42-expy", 4, 2027, 4)}, 'instrument_type=' || t, 'last4=' || {_sql_digits("42-last4", 10_000, 0, 4)},
+      'network=' || CASE t WHEN 'card' THEN {_sql_pick(catalogs.NETWORKS, "key", "42-net")} WHEN 'upi' THEN 'upi' WHEN 'wallet' THEN 'wallet-provider' ELSE 'bank-transfer' END) FROM ins
+    UNION ALL SELECT 'ip', id, concat_ws(';', 'country=IN', 'is_mobile_isp=' || ({h("id", "42-mob")}::DOUBLE / {TWO_64} < 0.35), 'isp=' || {_sql_pick(catalogs.ISPS, "id", "42-isp")}) FROM pool
+    UNION ALL SELECT 'ip', 'ip_ring_' || pattern_id, concat_ws(';', 'country=IN', 'is_mobile_isp=false', 'isp=' || {_sql_pick(catalogs.ISPS, "pattern_id", "42-rip")}) FROM pats
+    UNION ALL SELECT 'merchant', 'mch_' || lpad(i, 5, '0'), concat_ws(';', 'category=' || {_sql_pick(catalogs.CATEGORIES, "i", "42|category")}, 'country=IN', 'risk_tier=' || CASE WHEN {h("i", "42|tier")}::DOUBLE / {TWO_64} < 0.12 THEN 'medium' ELSE 'low' END) FROM mch""",
+    _CATALOGS,
+)
+def catalog_attributes(net: Network) -> DataFrame:
+    profiles = enrich.ring_profiles(net.rings.select("pattern_id"), net.n)
+    made = {
+        "device": catalogs.devices(net.spark, net.n, profiles), "instrument": catalogs.instruments(net.spark, net.n, profiles),
+        "ip": catalogs.addresses(net.spark, net.n, profiles), "merchant": catalogs.merchants(net.spark, net.n),
+    }
+    out = None
+    for kind, rows in made.items():
+        id_, *names = rows.columns
+        one = rows.select(F.lit(kind).alias("catalog"), F.col(id_).alias("id"), attributes.attributes(**{c: F.col(c) for c in names}).alias("attrs"))
+        out = one if out is None else out.unionByName(one)
+    return as_text(out)
+
+
 # --- the audit log ----------------------------------------------------------------
 
 _STATES = """states AS (SELECT 'case_' || src_account_id AS case_id, timestamp AS ts, row_seq AS seq, transaction_status AS status, payment_method AS notes, 'ACCOUNT:' || lower(dst_account_id) AS target FROM tx),
