@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import modulo, stable_int
 from .graph import mirrored
@@ -103,14 +103,14 @@ def _weighed_moves(state: DataFrame, both: DataFrame, m2: float, resolution: flo
 
 
 def _step(state: DataFrame, both: DataFrame, m2: float, resolution: float, taken: Column, name: str, fresh: str | None = None) -> tuple[DataFrame, float, int]:
-    """(the state after the moves of `taken`, modularity of the state before, how many nodes had a move that improves): one job, whose last tasks also count."""
+    """(the state after the moves of `taken`, modularity of the state before, how many nodes had a move that improves): one job, and a sum over the rows that it wrote."""
     rows = _weighed_moves(state, both, m2, resolution, fresh)
     improves = F.coalesce(F.col("gain") > 1e-9, F.lit(False))
-    seen = Observation()
-    quality = F.sum((F.col("here") + F.col("loop")) / m2 - resolution * F.col("k") * F.col("total") / (m2 * m2))
-    rows = rows.withColumn("improves", improves).observe(seen, quality.alias("quality"), F.count_if("improves").alias("movers"))
-    after = cut(rows.select("node", F.when(F.col("improves") & taken, F.col("target")).otherwise(F.col("comm")).alias("comm"), "k", "loop"), name)
-    return after, seen.get["quality"] or 0.0, seen.get["movers"]
+    part = (F.col("here") + F.col("loop")) / m2 - resolution * F.col("k") * F.col("total") / (m2 * m2)
+    moved = F.when(improves & taken, F.col("target")).otherwise(F.col("comm"))
+    after = cut(rows.select("node", moved.alias("comm"), "k", "loop", part.alias("part"), improves.alias("improves")), name)
+    seen = after.agg(F.sum("part").alias("quality"), F.count_if("improves").alias("movers")).first()
+    return after.drop("part", "improves"), seen["quality"] or 0.0, seen["movers"]
 
 
 def _apart(state: DataFrame, both: DataFrame, m2: float, resolution: float, fresh: str) -> DataFrame:
@@ -125,8 +125,8 @@ def _apart(state: DataFrame, both: DataFrame, m2: float, resolution: float, fres
 def _moved(state: DataFrame, both: DataFrame, m2: float, resolution: float, seed: str, rounds: int, least: float) -> tuple[DataFrame, float, float]:
     """(state, modularity before, modularity after) of moves in rounds.
 
-    A round takes the hash-chosen half of all moves that improve, and its job also
-    tells how good the state was that it started from. A round that made things
+    A round takes the hash-chosen half of all moves that improve, and writes with
+    each node its share of the modularity that the round started from. A round that made things
     worse is known by the next one's job, and taken back: moves that can't disturb
     each other are made in its place."""
     kept, best, start = None, float("-inf"), 0.0
@@ -185,7 +185,7 @@ def _contracted(parts: DataFrame, both: DataFrame) -> tuple[DataFrame, DataFrame
 def detect(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42, rounds: int = 30, least: float = 1e-5, levels: int = 12) -> DataFrame:
     """account_id, community_id of a partition with high modularity; nodes (account_id) without edges are alone.
 
-    Each level moves nodes between communities in rounds, one job each, then
+    Each level moves nodes between communities in rounds, two jobs each, then
     splits communities into connected parts (refinement), which are the nodes of
     the next level. It ends with a level that improves nothing. The result doesn't
     depend on partitions."""

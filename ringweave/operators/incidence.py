@@ -20,7 +20,7 @@ from .stored import cut
 #: Classes of more accounts than this count as wholes in `degrees`; pairs of smaller ones are made, HOT / 2 for a row at the most.
 HOT = 128
 #: Accounts of a class that stand for it when the first weights are looked for, and pairs that are weighed then, for each edge that is asked for.
-SEEDS, FIRST = 8, 40
+SEEDS, FIRST = 4, 40
 #: Classes of one account that are combined in twos, LONG * LONG / 2 keys at the most.
 LONG = 48
 #: Room for the rounding of weights to six digits.
@@ -48,10 +48,14 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("class_id", *own).agg(F.count("*").alias("members")).filter("members > 1").withColumn("pairs", F.expr("members * (members - 1) div 2"))
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """Rows of classes that have members, with their number."""
+    return rows.join(classes(rows).select("class_id", "members").hint("merge"), "class_id")
+
+
 def blocks(rows: DataFrame, size: int = HOT) -> DataFrame:
     """class_id, block, accounts: the members of each class, sorted, `size` to a block at the most on average; blocks are dealt by hash, so no task sees a class whole."""
-    sizes = classes(rows).select("class_id", "members")
-    dealt = rows.join(sizes.hint("merge"), "class_id").withColumn("block", F.pmod(F.xxhash64("account_id"), F.ceil(F.col("members") / size)).cast("int"))
+    dealt = shared(rows).withColumn("block", F.pmod(F.xxhash64("account_id"), F.ceil(F.col("members") / size)).cast("int"))
     return dealt.groupBy("class_id", "block").agg(F.array_sort(F.collect_list("account_id")).alias("accounts"))
 
 
@@ -70,9 +74,9 @@ def degrees(rows: DataFrame, hot: int = HOT) -> DataFrame:
     in such blocks are left out.
     """
     own = [c for c in rows.columns if c == "community_id"]
-    shared = cut(rows.join(classes(rows).select("class_id", "members").hint("merge"), "class_id").select("class_id", "account_id", "members", *own), "classes")
-    cold = _pairs(shared.filter(F.col("members") <= hot)).select(F.col("l.account_id").alias("src"), F.col("r.account_id").alias("dst"), *(F.col(f"l.{c}") for c in own)).distinct()
-    large = shared.filter(F.col("members") > hot)
+    sized = cut(shared(rows).select("class_id", "account_id", "members", *own), "classes")
+    cold = _pairs(sized.filter(F.col("members") <= hot)).select(F.col("l.account_id").alias("src"), F.col("r.account_id").alias("dst"), *(F.col(f"l.{c}") for c in own)).distinct()
+    large = sized.filter(F.col("members") > hot)
     ends = F.explode(F.array("src", "dst")).alias("account_id")
     if large.isEmpty():
         return cold.select(ends, *own).groupBy("account_id", *own).agg(F.count("*").alias("degree"))
@@ -96,10 +100,9 @@ def edge_counts(rows: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def profiles(rows: DataFrame, transactions: DataFrame) -> DataFrame:
-    """account_id; an array of entities for each kind (merchants: day|merchant) that others share, and the account's days."""
-    shared = rows.join(classes(rows).select("class_id").hint("merge"), "class_id", "left_semi")
+    """account_id; an array of entities for each kind (merchants: day|merchant) that others share, and the account's days. rows: what `shared` gives."""
     name = F.when(F.col("kind") == "merchants", F.concat_ws("|", "day", "entity_id")).otherwise(F.col("entity_id"))
-    sets = shared.groupBy("account_id").agg(*(F.collect_set(F.when(F.col("kind") == k, name)).alias(k) for k in KINDS))
+    sets = rows.groupBy("account_id").agg(*(F.collect_set(F.when(F.col("kind") == k, name)).alias(k) for k in KINDS))
     return sets.join(active_days(transactions).hint("merge"), "account_id", "left")
 
 
@@ -166,13 +169,13 @@ def strongest(accounts: DataFrame, links: DataFrame, transactions: DataFrame, k:
     is one that the k-th edge has at least, so of each class only accounts, and
     then pairs, that may reach it are paired and weighed.
     """
-    rows = cut(memberships(accounts, links, transactions), "memberships")
+    rows = cut(shared(memberships(accounts, links, transactions)), "memberships")
     profile = cut(profiles(rows, transactions), "profiles")
     counts = F.struct(*(F.size(_merchants(F.col(c)) if c == "merchants" else F.col(c)).alias(c) for c in KINDS), F.greatest(F.lit(0), F.coalesce(F.size("days"), F.lit(0))).alias("days"))
-    sized = rows.join(classes(rows).select("class_id", "members").hint("merge"), "class_id").join(profile.select("account_id", counts.alias("n")).hint("merge"), "account_id")
+    sized = rows.join(profile.select("account_id", counts.alias("n")).hint("merge"), "account_id")
     own = lambda kind: _bound({x: F.col(f"n.{x}") for x in KINDS}, F.col("n.days"), kind)
     bounded = cut(sized.select("class_id", "members", "kind", "account_id", "n", _by_kind(own).alias("bound")), "bounds")
-    # the most promising account of each eighth of a class, in pairs
+    # the most promising account of each quarter of a class, in pairs
     part = F.pmod(F.xxhash64("account_id"), F.lit(SEEDS))
     seeds = bounded.groupBy("class_id", "kind", part.alias("part")).agg(F.max(F.struct("bound", "account_id", "n")).alias("x")).select("class_id", "kind", "x.*")
     fewer = lambda c: F.least(F.col(f"l.n.{c}"), F.col(f"r.n.{c}"))

@@ -49,10 +49,10 @@ def test_strongest(mixed, k):
 def test_all_candidates_are_found(mixed):
     """With every bound, and accounts combined or not, all edges of that weight are among the candidates."""
     edges = graph.project(*mixed).select("src", "dst", "weight").collect()
-    rows = incidence.memberships(*mixed)
+    rows = incidence.shared(incidence.memberships(*mixed))
     profile = incidence.profiles(rows, mixed[2])
     counts = F.struct(*(F.size(incidence._merchants(F.col(c)) if c == "merchants" else F.col(c)).alias(c) for c in graph.KINDS), F.greatest(F.lit(0), F.coalesce(F.size("days"), F.lit(0))).alias("days"))
-    sized = rows.join(incidence.classes(rows).select("class_id", "members"), "class_id").join(profile.select("account_id", counts.alias("n")), "account_id")
+    sized = rows.join(profile.select("account_id", counts.alias("n")), "account_id")
     own = lambda kind: incidence._bound({x: F.col(f"n.{x}") for x in graph.KINDS}, F.col("n.days"), kind)
     bounded = sized.select("class_id", "members", "kind", "account_id", "n", incidence._by_kind(own).alias("bound")).cache()
     for least in (3.0, 6.0, 9.5, 13.0):
@@ -64,7 +64,7 @@ def test_all_candidates_are_found(mixed):
 
 def test_weighed_pairs_are_the_edges(mixed):
     edges = graph.project(*mixed)
-    again = incidence.weighed(edges.select("src", "dst"), incidence.profiles(incidence.memberships(*mixed), mixed[2]))
+    again = incidence.weighed(edges.select("src", "dst"), incidence.profiles(incidence.shared(incidence.memberships(*mixed)), mixed[2]))
     assert sorted(map(str, again.select(edges.columns).collect())) == sorted(map(str, edges.collect()))
 
 
