@@ -52,10 +52,52 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASES).csv(path, header=True)
 
 
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """path, number, text: a file's JSON in pieces that each end with an object's closing brace, numbered from 0.
+
+    A file is read at braces, in as many tasks as it has splits. A brace inside a
+    string is told by the quotes before it: their parity by split comes first, then
+    each record's own, and records that end inside a string are put together again."""
+    quotes = F.length(F.regexp_replace("value", r'\\.|[^"\\]', ""))
+    split = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.text(path, lineSep="}").select(*split, F.monotonically_increasing_id().alias("row"), "value", (quotes % 2).alias("odd"))
+    own = W.partitionBy("path", "start").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    inside = rows.withColumn("inside", F.sum("odd").over(own) % 2)  # whether a record ends in a string, were its split to begin outside of one
+    sums = inside.groupBy("path", "start").agg(F.sum("odd").alias("odd"), F.sum("inside").alias("within"), F.count("*").alias("n"))
+    # a row for each split
+    earlier = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("flip", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    sums = sums.withColumn("ends", F.when(F.col("flip") == 0, F.col("n") - F.col("within")).otherwise(F.col("within")))
+    sums = sums.withColumn("before", F.coalesce(F.sum("ends").over(earlier), F.lit(0))).select("path", "start", "flip", "before")
+    ended = (F.col("inside") == F.col("flip")).cast("long")
+    placed = inside.join(sums.hint("merge"), ["path", "start"]).withColumn("ended", ended)
+    placed = placed.withColumn("number", F.col("before") + F.sum("ended").over(own) - F.col("ended"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "row", "value"))), lambda x: x["value"])
+    return placed.groupBy("path", "number").agg(F.concat(F.array_join(parts, "}"), F.lit("}")).alias("text"))
+
+
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+RUN = 1 << 16
+
+
 def read_community_edges(spark: SparkSession, path: str) -> DataFrame:
-    """community_id and edges from JSON of edge lists by community, seen from either end."""
-    lists = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,array<{EDGE}>>").alias("edges"))
-    rows = lists.select(F.explode("edges").alias("community_id", "list")).select(F.col("community_id").cast("long"), F.explode("list").alias("e")).select("community_id", "e.*")
+    """community_id and edges from JSON of edge lists by community, seen from either end. Edges hold no objects.
+
+    One large file is read by many tasks. An edge's community is the last key before
+    it: keys are carried on within runs of objects, and from run to run by each run's
+    last one. Lists that are empty or null give no rows."""
+    pieces = json_objects(spark, path)
+    text = F.when(F.col("number") == 0, F.regexp_replace("text", r"^[\s\uFEFF]*\{", "")).otherwise(F.col("text"))
+    head = F.regexp_extract("text", rf"^(?:[\s,\]]++|{STRING}\s*:\s*(?:\[|null))*+", 0)
+    pieces = pieces.withColumn("text", text).withColumn("head", head)
+    key = F.regexp_extract("head", rf"({STRING})\s*:\s*\[\s*$", 1)
+    edges = pieces.select("path", "number", F.floor(F.col("number") / RUN).alias("run"), F.when(key != "", key).alias("key"), F.expr("substring(text, length(head) + 1)").alias("edge")).filter(F.col("edge").startswith("{"))
+    own = W.partitionBy("path", "run").orderBy("number").rowsBetween(W.unboundedPreceding, 0)
+    edges = edges.withColumn("key", F.last("key", ignorenulls=True).over(own))
+    lasts = edges.groupBy("path", "run").agg(F.max_by("key", "number").alias("last"))
+    lasts = lasts.withColumn("carried", F.last("last", ignorenulls=True).over(W.partitionBy("path").orderBy("run").rowsBetween(W.unboundedPreceding, -1))).drop("last")
+    named = edges.join(lasts.hint("merge"), ["path", "run"]).withColumn("key", F.coalesce("key", "carried"))
+    rows = named.select(F.trim("key", F.lit('"')).cast("long").alias("community_id"), F.from_json("edge", EDGE).alias("e")).select("community_id", "e.*")
     return mirrored(rows.withColumnsRenamed({"source": "src", "target": "dst"}))
 
 

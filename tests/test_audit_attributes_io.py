@@ -94,3 +94,55 @@ def test_first_rows_of_files(spark, tmp_path, n):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_community_edges_of_several_splits(spark, tmp_path, indent):
+    """Large objects are read by many tasks: braces and quotes in strings, empty and null lists, two files, splits anywhere."""
+    import json
+    import random
+
+    rng = random.Random(5)
+    names = ["a", "}", "{", 'x"}', "\\\\", '\\"}', "é}", ']} , {"7": [{', "b"]
+    text = lambda: "".join(rng.choice(names) for _ in range(rng.randrange(1, 4)))
+    expected = []
+    for name, first in (("one", 0), ("two", 500)):
+        lists = {}
+        for c in range(first, first + 60):
+            lists[str(c)] = None if c % 17 == 3 else []
+            for _ in range(0 if c % 17 == 3 else rng.choice([0, 0, 1, 3, 40])):
+                e = {"shared_devices": [text() for _ in range(rng.randrange(3))], "source": text(), "target": text(), "weight": 1.5, "temporal_overlap": 2, "shared_payment_instruments": [], "shared_ips": [text()], "shared_merchants": []}
+                lists[str(c)].append(e)
+                for a, b in ((e["source"], e["target"]), (e["target"], e["source"])):
+                    expected.append((c, a, b, 1.5, 2, tuple(e["shared_devices"]), tuple(e["shared_ips"])))
+        (tmp_path / f"{name}.json").write_text(json.dumps(lists, indent=indent, ensure_ascii=False) + "\n")
+    (tmp_path / "empty.json").write_text(" {} ")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    run = io.RUN
+    try:
+        io.RUN = 64
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3001")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path), lineSep="}").rdd.getNumPartitions() > 20
+        got = io.read_community_edges(spark, str(tmp_path)).collect()
+    finally:
+        io.RUN = run
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.community_id, r.account_id, r.peer, r.weight, r.temporal_overlap, tuple(r.shared_devices), tuple(r.shared_ips)) for r in got) == sorted(expected)
+
+
+def test_tables_written_and_read_back(spark, tmp_path):
+    """Ledger as CSV and Parquet, tables and features: the same rows come back, in the contract's order of columns."""
+    from ringweave.operators.contracts import OBSERVABLE
+
+    rows = spark.range(50).select(*(F.concat(F.lit(f"{c}, \"x\" "), F.col("id").cast("string")).alias(c) for c in reversed(OBSERVABLE)))
+    io.write_ledger(rows, f"{tmp_path}/csv", "csv")
+    io.write_ledger(rows, f"{tmp_path}/parquet")
+    back = spark.read.csv(f"{tmp_path}/csv", header=True, escape="\\")
+    assert back.columns == [c for c in OBSERVABLE] == spark.read.parquet(f"{tmp_path}/parquet").columns
+    assert sorted(back.collect()) == sorted(rows.select(*OBSERVABLE).collect())
+    io.write_ledger(rows.limit(5), f"{tmp_path}/parquet")
+    assert spark.read.parquet(f"{tmp_path}/parquet").count() == 5
+    io.write_tables(str(tmp_path), devices=rows.select(OBSERVABLE[0]), links=rows.select(OBSERVABLE[1]))
+    assert spark.read.parquet(f"{tmp_path}/devices").count() == spark.read.parquet(f"{tmp_path}/links").count() == 50
