@@ -18,7 +18,8 @@ compared: two equal windows always have the same key.
 Defined results: a null text has no words; a document id that is null comes
 before all others; rows with the same id and words are the same document, rows
 with the same id and other words are compared by their start; copies of a whole
-text are settled at once. Windows are verified by names of 96 bits, made of two
+text are settled at once. Work is keyed by (id, text), so any number of rows may
+share an id or have none. Windows are verified by names of 96 bits, made of two
 independent hashes of each word.
 """
 
@@ -28,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import forget, pieces, stored, utf8
 from .words import U, Words, joined, mix, windows
@@ -36,6 +37,7 @@ from .words import U, Words, joined, mix, windows
 WINDOW, AROUND = 20, 4
 MOST = np.iinfo(np.uint64).max
 PIECE = 1 << 20
+PARTS = 4096
 NONE = -(1 << 63)
 
 
@@ -118,10 +120,10 @@ def _texts(batches):
 
 
 def _whole(batches):
-    for _, ids, data, at, words, _ in _texts(batches):
-        one, two = words.texts(), words.texts(1)
+    for batch, ids, data, at, words, rows in _texts(batches):
+        one, two, t = words.texts(), words.texts(1), batch.column("t").slice(rows.start, len(rows))
         sha = [hashlib.sha256(b" ".join(data[at[k] : at[k + 1]].tobytes().split())).hexdigest() for k in range(len(ids))]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), _signed(one), _signed(two), pa.array(np.diff(words.of)), pa.array(sha)], ["id", "one", "two", "n_words", "sha"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), t, _signed(one), _signed(two), pa.array(np.diff(words.of)), pa.array(sha)], ["id", "t", "one", "two", "n_words", "sha"])
 
 
 def _anchors(batches):
@@ -132,36 +134,33 @@ def _anchors(batches):
         yield pa.RecordBatch.from_arrays([_signed(keys.value[at]), pa.array(ids[text]), _signed(words.texts()[text]), pa.array((at - words.of[text]).astype(np.int32))], ["key", "id", "one", "at"])
 
 
+def _own(batch, words, rows):
+    """Of each row that was marked for its own words: its place among the texts, and its row. A hash of the text brought the rows together, the words decide."""
+    one, expected = words.texts().view(np.int64), batch.column("one").to_numpy(zero_copy_only=False)[rows.start : rows.stop]
+    return [(k, rows[k]) for k in np.flatnonzero(one == expected).tolist()]
+
+
 def _windows(batches):
     for batch, ids, _, _, words, rows in _texts(batches):
-        one, marked, twins = words.texts().view(np.int64), np.zeros(len(words.hash), bool), np.full(len(ids), -1, np.int64)
-        for k, row in enumerate(rows):
-            firsts = {x["one"]: x["twin"] for x in batch.column("firsts")[row].as_py()}
-            twins[k] = firsts.get(int(one[k]), -1)
-            if twins[k] >= 0:
-                own = np.asarray(batch.column("marks")[row].values)
-                own = own[own < words.of[k + 1] - words.of[k]]
-                marked[words.of[k] + own] = True
+        marked, own = np.zeros(len(words.hash), bool), np.zeros(len(ids), bool)
+        for k, row in _own(batch, words, rows):
+            at = np.asarray(batch.column("marks")[row].values)
+            own[k], marked[words.of[k] + at[at < words.of[k + 1] - words.of[k]]] = True, True
         at = Keys(words).repeated(marked)
         text = np.searchsorted(words.of, at, "right") - 1
-        keep = twins[text] >= 0
-        at, text = at[keep], text[keep]
+        at, text = at[own[text]], text[own[text]]
+        twins = batch.column("twin").to_numpy(zero_copy_only=False)[rows.start : rows.stop].astype(np.int32)
         name, proof = words.windows(WINDOW)[at], windows(words.hashed(1), WINDOW)[at]
-        yield pa.RecordBatch.from_arrays([_signed(name), pa.array((proof >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[text]), pa.array(twins[text].astype(np.int32)), pa.array((at - words.of[text]).astype(np.int32))], ["name", "proof", "id", "twin", "at"])
+        yield pa.RecordBatch.from_arrays([_signed(name), pa.array((proof >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[text]), pa.array(twins[text]), pa.array((at - words.of[text]).astype(np.int32))], ["name", "proof", "id", "twin", "at"])
 
 
 def _kept(batches):
     for batch, ids, data, at, words, rows in _texts(batches):
         one = words.texts().view(np.int64)
         out = {"id": [], "one": [], "removed": [], "kept": []}
-        for k, row in enumerate(rows):
-            firsts = {x["one"]: x["twin"] for x in batch.column("firsts")[row].as_py()}
-            twin = firsts.get(int(one[k]), -1)
-            if twin < 0:
-                continue
+        for k, row in _own(batch, words, rows):
             n = int(words.of[k + 1] - words.of[k])
             own = np.asarray(batch.column("starts")[row].values)
-            own = own[own >> 32 == twin] & 0xFFFFFFFF
             gone = np.zeros(n + WINDOW + 1, np.int64)
             np.add.at(gone, own, 1)
             np.add.at(gone, own + WINDOW, -1)
@@ -172,27 +171,34 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["one"], pa.int64()), pa.array(out["removed"], pa.int64()), pa.array(out["kept"], pa.string())], list(out))
 
 
+def numbered(texts: DataFrame) -> DataFrame:
+    """id, t, one and twin: a text's number among those with its id, from 0. Parts by hash are counted first, so that no task numbers all texts of an id."""
+    each = texts.select("id", "t", "one").distinct().withColumn("part", F.pmod("t", F.lit(PARTS)).cast("int"))
+    before = each.groupBy("id", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.partitionBy("id").orderBy("part")) - F.col("n")).drop("n")
+    own = F.row_number().over(W.partitionBy("id", "part").orderBy("t", "one")) - 1
+    return each.withColumn("own", own).join(before.hint("merge"), ["id", "part"]).select("id", "t", "one", (F.col("before") + F.col("own")).cast("int").alias("twin"))
+
+
 def repeats(docs: DataFrame, *, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
     """(all, changed): id, one, n_words, sha, copy for each row; id, one, removed, kept (the words that stay) for each text that loses some but not all words."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("id"), F.col(text_col).alias("text"))
-    whole = stored(texts.mapInArrow(_whole, "id long, one long, two long, n_words long, sha string"), "repeats-texts")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    whole = stored(texts.mapInArrow(_whole, "id long, t long, one long, two long, n_words long, sha string"), "repeats-texts")
     first = whole.groupBy("one", "two").agg(F.min("id").alias("first"))
-    every = whole.join(first.hint("shuffle_hash"), ["one", "two"]).withColumn("copy", F.col("id") > F.col("first")).drop("first")
-    # texts that come first, by id; rows that share an id but not their words are twins
-    firsts = every.filter(~F.col("copy")).groupBy("id").agg(F.array_sort(F.collect_set("one")).alias("ones"))
-    firsts = firsts.select("id", F.transform("ones", lambda x, k: F.struct(x.alias("one"), k.alias("twin"))).alias("firsts"))
-    anchors = stored(texts.mapInArrow(_anchors, "key long, id long, one long, at int"), "repeats-keys")
+    every = whole.join(first.hint("merge"), ["one", "two"]).withColumn("copy", F.col("id") > F.col("first")).drop("first")
+    # texts that come first; those that share an id are twins
+    firsts = numbered(every.filter(~F.col("copy")))
+    anchors = stored(texts.select("id", "text").mapInArrow(_anchors, "key long, id long, one long, at int"), "repeats-keys")
     place = F.xxhash64("one", "at")  # the same in all copies of a text
     again = anchors.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("key")
-    marks = anchors.join(again.hint("merge"), "key").groupBy("id").agg(F.collect_list("at").alias("marks"))
-    marks = stored(marks.join(firsts.hint("shuffle_hash"), "id"), "repeats-marks")
-    some = stored(texts.join(marks.hint("shuffle_hash"), "id"), "repeats-some")
+    marks = anchors.join(again.hint("merge"), "key").groupBy("id", "one").agg(F.collect_set("at").alias("marks"))
+    marks = stored(marks.join(firsts.hint("merge"), ["id", "one"]), "repeats-marks")
+    some = stored(texts.join(marks.hint("shuffle_hash"), ["id", "t"]), "repeats-some")
     forget(anchors, marks)
     named = stored(some.mapInArrow(_windows, "name long, proof int, id long, twin int, at int"), "repeats-windows")
     earliest = named.groupBy("name", "proof").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last")).filter("first < last").select("name", "proof", "first")
     later = named.join(earliest.hint("merge"), ["name", "proof"]).filter(F.struct("id", "at") > F.col("first"))
-    starts = later.groupBy("id").agg(F.collect_list(F.shiftleft(F.col("twin").cast("long"), 32) + F.col("at")).alias("starts"))
-    changed = some.select("id", "text", "firsts").join(starts.hint("shuffle_hash"), "id").mapInArrow(_kept, "id long, one long, removed long, kept string")
+    starts = later.groupBy("id", "twin").agg(F.collect_set("at").alias("starts"))
+    changed = some.select("id", "twin", "one", "text").join(starts.hint("shuffle_hash"), ["id", "twin"]).mapInArrow(_kept, "id long, one long, removed long, kept string")
     return every, changed
 
 
@@ -200,7 +206,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     every, changed = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     changed = changed.groupBy("id", "one").agg(F.max("removed").alias("removed"), F.first(F.sha2("kept", 256)).alias("kept_sha"))
     all_gone = F.col("copy") & (F.col("n_words") >= WINDOW)
-    return every.join(changed.hint("shuffle_hash"), ["id", "one"], "left").select(
+    return every.join(changed.hint("merge"), ["id", "one"], "left").select(
         F.when(F.col("id") != NONE, F.col("id")).alias("doc_id"),
         "n_words",
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),

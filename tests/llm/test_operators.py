@@ -368,6 +368,23 @@ def test_substrings_with_words_that_fool_polynomials(spark, tmp_path):
     assert {r.doc_id: r.n_removed for r in got}[1] == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark, tmp_path):
+    """5 000 rows without an id and as many of one id, some of equal words in other white space: what is written grows with the rows."""
+    rng = random.Random(12)
+    shared = [words(rng, 30, 9000) for _ in range(5)]
+    texts = [(i, rng.choice(shared) + f" t{k} " + words(rng, 12, 9000)) for i in (None, 5) for k in range(5000)]
+    texts += [(None, texts[0][1].replace(" ", "\n")), texts[1], (7, texts[6000][1]), (4, texts[6001][1])]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    got = substrings.query(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_by_force(texts)
+
+
+def test_twins_are_numbered_by_parts(spark):
+    texts = spark.range(20000).select(F.lit(1).cast("long").alias("id"), F.xxhash64("id").alias("t"), F.col("id").alias("one")).union(spark.range(9).selectExpr("id + 2", "id", "id"))
+    got = substrings.numbered(texts.union(texts)).collect()
+    assert sorted((r.id, r.twin) for r in got) == [(1, k) for k in range(20000)] + [(k + 2, 0) for k in range(9)]
+
+
 def test_substrings_empty(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert substrings.query(spark, str(tmp_path)).count() == 0
