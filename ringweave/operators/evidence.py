@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import evidence_id
@@ -26,6 +28,21 @@ FAMILIES = {
 }
 LAYERS = ["devices", "instruments", "ips", "merchants"]
 SUPPORT, SAMPLE = 20, 10
+#: Descriptions by entity and type of evidence; names in braces are metrics, or made from them in `told`.
+TEXTS = {
+    "": {
+        "SHARED_INSTRUMENT_CONCENTRATION": "Payment instrument {entity} is on the links of {account_count} accounts. Families share one, and so do accounts in one hand.",
+        "DEVICE_REUSE": "Device {entity} is on the links of {account_count} accounts. A lent device looks the same as one operator.",
+        "IP_CONCENTRATION": "Address {entity} is on the links of {account_count} accounts. Offices and carriers put strangers behind one address.",
+        "MERCHANT_TEMPORAL_OVERLAP": "{account_count} linked accounts paid merchant {entity} on the same days. Popular merchants bring this about by chance.",
+        "TEMPORAL_BURST": "{transaction_count} transactions lie between {start} and {end}. To be read against the usual pace.",
+        "RAPID_INTERACTION": "Half of {transaction_count} transactions come within {minutes} minutes of the one before.",
+        "HIGH_EVIDENCE_DENSITY": "Links among {member_count} members weigh {weight} or more for each of them.",
+        "HUB_ACCOUNT": "{account_id} is linked to {degree} of the {community_size} accounts of its community.",
+        "MULTI_LAYER_EVIDENCE": "{account_a} and {account_b} have {layer_count} kinds of links: {layers}.",
+    },
+    "ACCOUNT": {"MULTI_LAYER_EVIDENCE": "The account and {peer} have {layer_count} kinds of links: {layers}."},
+}
 
 
 def item(rows: DataFrame, entity_type: str, entity_id: Column, kind: str, severity: Column, subkey: Column, title: Column, supporting: Column, metrics: dict[str, Column], observed: Column | None = None) -> DataFrame:
@@ -49,6 +66,24 @@ def item(rows: DataFrame, entity_type: str, entity_id: Column, kind: str, severi
     )
 
 
+def told(template: str, value) -> list:
+    """The parts of a text: literals as they are, value(name) for names in braces."""
+    return [x for literal, name, _, _ in Formatter().parse(template) for x in ([literal] if literal else []) + ([value(name)] if name else [])]
+
+
+def described(items: DataFrame) -> DataFrame:
+    """Items with a description, made of their metrics; a metric that is absent or null is a dash."""
+    metric = lambda name: F.element_at("metrics", F.lit(name))
+    made = {"minutes": F.bround(metric("median_gap_hours").cast("double") * 60).cast("long").cast("string"), "weight": F.floor(metric("weight_per_member").cast("double")).cast("string")}
+
+    def text(template: str) -> Column:
+        return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in told(template, lambda name: F.coalesce(made.get(name, metric(name)), F.lit("-")))))
+
+    of = lambda texts: by_severity(F.col("type"), {k: text(t) for k, t in texts.items()})
+    special = [F.when(F.col("entity_type") == e, of(texts)) for e, texts in TEXTS.items() if e]
+    return items.withColumn("description", F.coalesce(*special, of(TEXTS[""])))
+
+
 def _none() -> Column:
     return F.expr("array()").cast("array<string>")
 

@@ -387,6 +387,45 @@ def evidence_families(net: Network) -> DataFrame:
     return r(evidence.families(evidence_of(net))).drop("entity_type")
 
 
+def _told(kind: str, **values: str) -> str:
+    """A description in SQL; values are the metrics' expressions."""
+    parts = evidence.told(evidence.TEXTS[""][kind], lambda name: (values[name],))
+    return " || ".join("'" + x + "'" if isinstance(x, str) else f"({x[0]})::VARCHAR" for x in parts)
+
+
+def _told_sharing(kind: str) -> str:
+    name, bounds = evidence.SHARING[kind]
+    return f"""SELECT {_id(name, "community_id", "entity")} AS evidence_id, community_id, entity || ': ' || n || ' accounts' AS title, {_told(name, entity="entity", account_count="n")} AS description
+      FROM (SELECT community_id, entity, count(DISTINCT a) AS n FROM (SELECT community_id, entity, unnest([src, dst]) AS a FROM (SELECT community_id, unnest({kind}) AS entity, src, dst FROM inside)) GROUP BY ALL) WHERE n >= {bounds[2]}"""
+
+
+def _told_burst(window: str, table: str, least: int) -> str:
+    text = _told("TEMPORAL_BURST", transaction_count="n", start="strftime(s, '%Y-%m-%d %H:%M:%S')", end="strftime(e, '%Y-%m-%d %H:%M:%S')")
+    return f"""SELECT {_id("TEMPORAL_BURST", "community_id", f"'{window}'")}, community_id, n || ' transactions within {window}', {text} FROM {table} WHERE n >= {least}"""
+
+
+_KINDS = "list_filter([" + ", ".join(f"CASE WHEN len({k}) > 0 THEN '{k}' END" for k in evidence.LAYERS) + "], lambda x: x IS NOT NULL)"
+_TOLD = [
+    *map(_told_sharing, evidence.SHARING),
+    _told_burst("60min", "hour1", 8),
+    _told_burst("24h", "day1", 4),
+    f"""SELECT {_id("RAPID_INTERACTION", "community_id", "'gap'")}, community_id, NULL, {_told("RAPID_INTERACTION", transaction_count="n", minutes="round_even(round_even(m, 4) * 60, 0)::BIGINT")}
+      FROM med JOIN (SELECT community_id, count(gap) + 1 AS n FROM raw_gaps GROUP BY 1) USING (community_id) WHERE m < 6""",
+    f"""SELECT {_id("HIGH_EVIDENCE_DENSITY", "community_id", "'density'")}, community_id, NULL, {_told("HIGH_EVIDENCE_DENSITY", member_count="member_count::BIGINT", weight="floor(round_even(weight_per_member, 4))::BIGINT")} FROM features WHERE weight_per_member > 0.5""",
+    f"""SELECT {_id("HUB_ACCOUNT", "community_id", "account_id")}, community_id, account_id || ' has ' || degree || ' links', {_told("HUB_ACCOUNT", account_id="account_id", degree="degree", community_size="members")}
+      FROM deg JOIN pct USING (community_id) WHERE members >= 2 AND ends > 0 AND (degree >= p95 AND degree >= 10 OR degree >= p75 AND degree >= 5 OR degree >= p50 AND degree >= 3)""",
+    f"""SELECT {_id("MULTI_LAYER_EVIDENCE", "community_id", "src || ':' || dst")}, community_id, src || ' and ' || dst || ': ' || len(names) || ' kinds', {_told("MULTI_LAYER_EVIDENCE", account_a="src", account_b="dst", layer_count="len(names)", layers="array_to_string(names, ',')")}
+      FROM (SELECT *, {_KINDS} AS names FROM inside) WHERE len(names) >= 2""",
+]
+
+
+@register("evidence_texts", f"SELECT evidence_id, community_id::VARCHAR AS entity_id, title, description FROM ({' UNION ALL '.join(_TOLD)})", _FEATURES + "," + _WINDOWS)
+def evidence_texts(net: Network) -> DataFrame:
+    """Titles and descriptions of the communities' evidence; titles with decimal fractions are left out, as engines write them differently."""
+    whole = ~F.col("type").isin("RAPID_INTERACTION", "HIGH_EVIDENCE_DENSITY")
+    return evidence.described(evidence_of(net)).select("evidence_id", "entity_id", F.when(whole, F.col("title")).alias("title"), "description")
+
+
 _ACCOUNT = _WINDOWS.replace("member_tx", "own_tx").replace("community_id", "account_id")
 _ACCOUNT_CTES = (
     _WINDOWS
