@@ -123,6 +123,13 @@ def weighed(pairs: DataFrame, accounts: DataFrame) -> DataFrame:
     return edges.withColumn("weight", evidence_weight({k: F.size(k) for k in KINDS}, F.col("temporal_overlap")))
 
 
+def of_pairs(pairs: DataFrame, accounts: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The edges between given pairs of accounts, whichever comes first; pairs that share nothing have none. Rows (a, b)."""
+    wanted = pairs.dropna(subset=["a", "b"]).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).filter("src <> dst").distinct()
+    rows = cut(shared(memberships(accounts, links, transactions)), "memberships")
+    return weighed(wanted, cut(profiles(rows, transactions), "profiles")).filter("weight > 0")
+
+
 def _bound(counts: dict[str, Column], days: Column, heaviest: str) -> Column:
     """What an edge can weigh whose heaviest kind is `heaviest`, from how many entities of each kind and days its ends may share."""
     total = sum((F.lit(w) * F.sqrt(counts[k].cast("double")) for k, w in WEIGHTS.items() if w <= WEIGHTS[heaviest]), F.lit(0.0))

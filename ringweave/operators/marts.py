@@ -166,11 +166,10 @@ def exposure(inside: DataFrame, keep: int = KEEP) -> DataFrame:
 def event_tags(transactions: DataFrame) -> DataFrame:
     """account_id, transaction_id, tag: first, declined, large or last; others are left out."""
     rows = ends(transactions).dropDuplicates(["account_id", "transaction_id"])
-    by = W.partitionBy("account_id").orderBy("timestamp", "transaction_id")
-    back = W.partitionBy("account_id").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
-    limits = rows.groupBy("account_id").agg(F.greatest(F.lit(1000.0), 2.5 * F.avg("amount")).alias("limit"))
-    rows = rows.withColumns({"k": F.row_number().over(by), "b": F.row_number().over(back)}).join(limits.hint("merge"), "account_id")
-    tag = F.when(F.col("k") == 1, "first").when(F.lower("transaction_status") == "declined", "declined").when(F.col("amount") >= F.col("limit"), "large").when(F.col("b") == 1, "last")
+    place = F.struct("timestamp", "transaction_id")
+    limits = rows.groupBy("account_id").agg(F.greatest(F.lit(1000.0), 2.5 * F.avg("amount")).alias("limit"), F.min(place).alias("first"), F.max(place).alias("last"))
+    rows = rows.join(limits.hint("merge"), "account_id")
+    tag = F.when(place.eqNullSafe(F.col("first")), "first").when(F.lower("transaction_status") == "declined", "declined").when(F.col("amount") >= F.col("limit"), "large").when(place.eqNullSafe(F.col("last")), "last")
     return rows.select("account_id", "transaction_id", tag.alias("tag")).filter("tag IS NOT NULL")
 
 

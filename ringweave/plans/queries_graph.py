@@ -184,6 +184,13 @@ def top_edges(net: Network) -> DataFrame:
     return graph.exported(incidence.strongest(net.accounts, net.links, ledger_of(net), 50))
 
 
+@register("pair_lookup", f"SELECT {_EXPORT} FROM edges JOIN (SELECT DISTINCT least(src_account_id, dst_account_id) AS src, greatest(src_account_id, dst_account_id) AS dst FROM tx) USING (src, dst)")
+def pair_lookup(net: Network) -> DataFrame:
+    """The links between accounts that paid each other, looked up without making the others."""
+    pairs = ledger_of(net).select(F.col("src_account_id").alias("a"), F.col("dst_account_id").alias("b"))
+    return graph.exported(incidence.of_pairs(pairs, net.accounts, net.links, ledger_of(net)))
+
+
 _CLASSES = """daily AS (SELECT DISTINCT merchant_id, timestamp::DATE AS day, account_id FROM parties WHERE merchant_id IS NOT NULL),
 classes AS (SELECT kind, entity_id, NULL::DATE AS day, count(DISTINCT account_id)::BIGINT AS members FROM links GROUP BY ALL HAVING members > 1
   UNION ALL SELECT 'merchants', merchant_id, day, count(*)::BIGINT AS members FROM daily GROUP BY ALL HAVING members > 1)"""

@@ -94,3 +94,16 @@ def test_empty(spark):
     assert incidence.edge_counts(rows).first().edges == 0
     with pytest.raises(ValueError):
         incidence.memberships(none[0], none[1], none[2].withColumn("is_ring_member", F.lit(True)))
+
+
+def test_edges_of_given_pairs(mixed, spark):
+    """Pairs in either order, repeated, of one account, of unknown accounts, without an end."""
+    edges = graph.project(*mixed)
+    names = [f"a{k:05}" for k in range(0, 90, 2)]
+    pairs = [(a, b) for a in names for b in names] + [("a00001", "a00003"), ("a00003", "a00001"), ("a00001", "nobody"), (None, "a00001"), ("a00001", None)]
+    given = spark.createDataFrame(pairs, "a string, b string")
+    got = incidence.of_pairs(given, *mixed).select(edges.columns).collect()
+    either = {(min(p), max(p)) for p in pairs if None not in p}
+    want = [tuple(r) for r in edges.collect() if (r.src, r.dst) in either]
+    assert want and sorted(map(tuple, got)) == sorted(want)
+    assert incidence.of_pairs(given.limit(0), *mixed).count() == 0
