@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .evidence import degrees
-from .graph import mirrored
+from .graph import mirrored, parties, project
 from .marts import pairs
 from .stored import cut
 
+#: Accounts or classes of a step of a path that are broadcast; more are joined by shuffles.
+FEW = 200_000
 KINDS = ("devices", "instruments", "ips", "merchants")
 
 
@@ -150,13 +152,31 @@ def storyline(accounts: DataFrame, items: DataFrame, timeline: DataFrame) -> Dat
 
 
 def _ways(edges: DataFrame) -> DataFrame:
-    """Each edge from either end, stored: account_id, peer."""
+    """What paths go along, stored: each edge from either end (account_id, peer), or, given classes (class_id, account_id: what `incidence.memberships` returns), these."""
+    if "class_id" in edges.columns:
+        return cut(edges.select("class_id", "account_id"), "reach-classes")
     return cut(mirrored(edges.select("src", "dst")).select("account_id", "peer"), "reach-edges")
 
 
+def _near(both: DataFrame, of: DataFrame) -> DataFrame:
+    """account_id, parent: the neighbours of some accounts, and the smallest of these that each is a neighbour of.
+
+    The members of a class are neighbours of each other, so a class needs the smallest one only, and no pair is made; the accounts themselves are among the neighbours then."""
+    own = of.select("account_id")
+    few = own.limit(FEW + 1).count() <= FEW
+    here = both.join(F.broadcast(own) if few else own.hint("merge"), "account_id")
+    if "class_id" not in both.columns:
+        return here.groupBy("peer").agg(F.min("account_id").alias("parent")).withColumnRenamed("peer", "account_id")
+    first = here.groupBy("class_id").agg(F.min("account_id").alias("parent"))
+    if few:
+        first = cut(first, "reach-met")
+        few = first.limit(FEW + 1).count() <= FEW
+    return both.join(F.broadcast(first) if few else first.hint("merge"), "class_id").groupBy("account_id").agg(F.min("parent").alias("parent"))
+
+
 def _next(both: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """The accounts one step beyond the last of `levels`, with the smallest account that they are reached from. Neighbours of a level lie in it, before it or beyond it, so only two levels are looked up."""
-    step = both.join(levels[-1].select("account_id").hint("merge"), "account_id").groupBy("peer").agg(F.min("account_id").alias("parent")).withColumnRenamed("peer", "account_id")
+    step = _near(both, levels[-1])
     for known in levels[-2:]:
         step = step.join(known.select("account_id").hint("merge"), "account_id", "left_anti")
     return cut(step.select("account_id", F.lit(len(levels)).alias("hops"), "parent"), "reach-frontier")
@@ -202,11 +222,12 @@ def _hops(both: DataFrame, start: str, end: str) -> list[tuple[str, str]]:
             break
     alive = [cut(met.select("account_id"), "reach-met")]
     for level in sides[1][-2::-1]:
-        near = both.join(alive[-1].hint("merge"), "account_id", "left_semi").select(F.col("peer").alias("account_id")).distinct()
+        near = _near(both, alive[-1]).select("account_id")
         alive.append(cut(near.join(level.select("account_id").hint("merge"), "account_id", "left_semi"), "reach-met"))
     path, at = [], end
     for on_path in alive[-2::-1]:
-        last = both.filter(F.col("account_id") == at).join(on_path.select(F.col("account_id").alias("peer")).hint("merge"), "peer", "left_semi").agg(F.min("peer")).first()[0]
+        one = both.sparkSession.createDataFrame([(at,)], "account_id string")
+        last = _near(both, one).join(on_path.select("account_id").hint("merge"), "account_id", "left_semi").agg(F.min("account_id")).first()[0]
         path.append((last, at))
         at = last
     for level in sides[0][:0:-1]:
@@ -216,12 +237,31 @@ def _hops(both: DataFrame, start: str, end: str) -> list[tuple[str, str]]:
     return path[::-1]
 
 
+def _path(edges: DataFrame, start: str, end: str) -> DataFrame:
+    hops = [(k + 1, a, b, min(a, b), max(a, b)) for k, (a, b) in enumerate(_hops(_ways(edges), start, end))]
+    return edges.sparkSession.createDataFrame(hops, "hop int, src string, dst string, a string, b string")
+
+
+def class_path(classes: DataFrame, start: str, end: str, accounts: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
+    """`shortest_path` over classes of accounts that share something (`incidence.memberships`): no pair is made but those among the accounts of the path."""
+    path = cut(_path(classes, start, end), "path")
+    # as many accounts as the path has
+    on_path = path.select(F.explode(F.array("src", "dst")).alias("account_id")).distinct()
+    moves = parties(transactions).join(F.broadcast(on_path), "account_id", "left_semi").select("transaction_id").distinct()
+    own = transactions.join(moves.hint("merge"), "transaction_id", "left_semi")
+    edges = project(accounts.join(F.broadcast(on_path), "account_id", "left_semi"), links.join(F.broadcast(on_path), "account_id", "left_semi"), own)
+    return _relations(path, edges, own)
+
+
 def shortest_path(edges: DataFrame, start: str, end: str, transactions: DataFrame | None = None) -> DataFrame:
     """hop, src, dst and, where edges tell kinds, the relation of each hop of a path with the fewest edges, however long; none if there isn't any."""
-    hops = [(k + 1, a, b, min(a, b), max(a, b)) for k, (a, b) in enumerate(_hops(_ways(edges), start, end))]
-    path = edges.sparkSession.createDataFrame(hops, "hop int, src string, dst string, a string, b string")
+    path = _path(edges, start, end)
     if "devices" not in edges.columns:
         return path.select("hop", "src", "dst")
+    return _relations(path, edges, transactions)
+
+
+def _relations(path: DataFrame, edges: DataFrame, transactions: DataFrame | None) -> DataFrame:
     known = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), *KINDS, "temporal_overlap")
     rows = path.hint("broadcast").join(known, ["a", "b"])  # a row for each hop
     if transactions is None:

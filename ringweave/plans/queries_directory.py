@@ -180,7 +180,7 @@ def _target(net: Network) -> str:
 )
 def path_length(net: Network) -> DataFrame:
     """The way from the first account over shared devices, instruments and addresses."""
-    path = slices.shortest_path(once(net, "infrastructure", lambda: more.infrastructure(net)), "acc_0", _target(net))
+    path = slices.shortest_path(more.infrastructure(net), "acc_0", _target(net))
     return path.agg(F.max("hop").alias("hops"))
 
 
