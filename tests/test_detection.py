@@ -1,11 +1,12 @@
 """Detection: exact optima of small graphs, connected communities, one modularity whatever way it is counted."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from ringweave.operators import communities
+from ringweave.operators import communities, stored
 
 
 def partitions(n):
@@ -86,3 +87,22 @@ def test_refinement_splits_what_no_edge_joins(spark):
     level, _, above = communities._contracted(parts, both)
     assert {r.comm for r in above.collect()} == {"n0"} and above.agg(F.sum("k")).first()[0] == 12.0
     assert level.count() == 6
+
+
+def test_edges_lie_by_peer_and_move_once_a_round(spark):
+    edges = clique([0, 1, 2]) + clique([3, 4, 5]) + [(2, 3, 1.0)]
+    both = stored.dealt(spark.createDataFrame([(x, y, w) for a, b, w in edges for x, y in ((a, b), (b, a))], "node long, peer long, weight double"), "louvain-both", "peer")
+    state = stored.cut(spark.createDataFrame([(k, k, 2.0 + (k in (2, 3)), 0.0) for k in range(6)], "node long, comm long, k double, loop double"), "louvain-state")
+    moves = communities._weighed_moves(state, both, 14.0, 1.0, 1)
+    plan = moves._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L, \d+\), (\w+)", plan)
+    # the state goes to the edges' peers, and what comes of edges to the nodes
+    assert sum(by == "peer" for by, _ in moved) == 1 and sum(how == "REPARTITION_BY_COL" for _, how in moved) == 1, moved
+    assert {r.node: r.target for r in moves.collect() if r.node in (0, 5)} == {0: 1, 5: 4}
+
+
+def test_loops_strangers_and_accounts_alone(spark):
+    edges = clique([0, 1, 2]) + clique([3, 4, 5]) + [(2, 3, 1.0), (6, 6, 2.0), (0, 9, 0.5), (9, 9, 1.0)]
+    got, _ = detected(spark, 8, edges)
+    assert len({*got[:3]}) == len({*got[3:6]}) == 1 and len(set(got)) == 4 and sorted(set(got)) == list(range(4))
