@@ -140,7 +140,7 @@ def bursts(rows: DataFrame, key: str, entity_type: str) -> DataFrame:
 
 def rapid(rows: DataFrame, key: str, entity_type: str) -> DataFrame:
     """Evidence for a small median gap between consecutive rows; equal times count."""
-    between = gaps(rows.select(key, "timestamp"), key)
+    between = cut(gaps(rows.select(key, "timestamp"), key), "gaps")
     found = between.groupBy(key).agg(F.min("gap").alias("least"), F.max("gap").alias("most"), (F.count("*") + 1).alias("n")).join(medians(between, key, "gap").hint("merge"), key)
     severity = steps(F.col("median"), (0.5, 2.0, 6.0), test="__lt__")
     metrics = {"median_gap_hours": F.bround("median", 4), "min_gap_hours": F.bround("least", 4), "max_gap_hours": F.bround("most", 4), "transaction_count": F.col("n")}

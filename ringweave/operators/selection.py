@@ -8,17 +8,30 @@ from .stored import cut
 
 #: Accuracy of the sketch that proposes the range, and how far from the middle the range goes: some times the sketch's error.
 ACCURACY, AROUND = 10_000, 0.0005
+#: Keys of at most so many values are ranked in whole, a task holding one such key at a time.
+FEW = 100_000
 
 
-def medians(rows: DataFrame, key: str, value: str, few_keys: bool = False, around: float = AROUND) -> DataFrame:
+def medians(rows: DataFrame, key: str, value: str, few_keys: bool = False, around: float = AROUND, few: int = FEW) -> DataFrame:
     """key, median of the values that aren't null, a mean of the middle two where there are two.
 
-    A sketch of each key (merged from the tasks' sketches) gives a range that holds
+    Keys of up to `few` values are ranked. A sketch of each other key (merged from the tasks' sketches) gives a range that holds
     the middle ranks; rows below it are counted and those in it, about a thousandth,
     are ranked. Should a range miss a rank, as counting tells, that key is ranked
     over all its values, so the result is exact whatever the sketch did.
     `few_keys`: their number has a bound of its own, so their ranges are broadcast."""
     rows = cut(rows.select(key, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL"), "median-values")
+    # each has more than `few` of the rows, so they are few
+    large = cut(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > few).select(key), "median-keys")
+    if large.isEmpty():
+        return ranked_medians(rows, key, "v")
+    small = ranked_medians(rows.join(F.broadcast(large), key, "left_anti"), key, "v") if few else None
+    sketched = _sketched_medians(rows.join(F.broadcast(large), key, "left_semi") if few else rows, key, few_keys, around)
+    return sketched.unionByName(small) if few else sketched
+
+
+def _sketched_medians(rows: DataFrame, key: str, few_keys: bool, around: float) -> DataFrame:
+    """The same by ranges from sketches; rows of key and v, read several times."""
     range_ = F.percentile_approx("v", F.array(F.lit(0.5 - around), F.lit(0.5 + around)), ACCURACY)
     ranges = rows.groupBy(key).agg(range_.alias("r"), F.count("*").alias("n"))
     n = F.col("n")

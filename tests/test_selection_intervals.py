@@ -25,6 +25,21 @@ def test_medians(spark, few):
     assert {r.k: r.median for r in selection.ranked_medians(df.filter("v IS NOT NULL AND k IS NOT NULL"), "k", "v").collect()} == want
 
 
+@pytest.mark.parametrize("few", [0, 3000])
+def test_medians_of_small_and_large_keys(spark, few):
+    """Keys up to `few` values are ranked, the others found by their ranges."""
+    df = spark.createDataFrame(rows_of(random.Random(2)), "k string, v double").repartition(5)
+    want = {r.k: r.m for r in df.filter("v IS NOT NULL AND k IS NOT NULL").groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert {r.k: r.median for r in selection.medians(df, "k", "v", few=few).collect()} == want
+    assert {r.k: r.median for r in selection.medians(df, "k", "v", around=-0.3, few=few).collect()} == want
+
+
+def test_small_keys_need_no_sketch(spark):
+    df = spark.range(1000).selectExpr("id % 50 AS k", "double(id) AS v")
+    assert "percentile_approx" not in selection.medians(df, "k", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert selection.medians(df, "k", "v").filter("median <> k + 475").isEmpty()
+
+
 def test_medians_whose_range_misses(spark):
     """A range that can't hold the middle is noticed, and its key ranked in whole."""
     df = spark.createDataFrame([("a", float(k)) for k in range(1000)] + [("b", 5.0)], "k string, v double")
