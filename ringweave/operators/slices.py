@@ -129,6 +129,10 @@ def flow_chain(timeline: DataFrame, keep: int = 5) -> DataFrame:
     return timeline.filter(F.col("place") <= keep).select("community_id", "place", "transaction_id", "src_account_id", "dst_account_id", "amount", part.alias("part"))
 
 
+#: Transactions of a community that a storyline shows.
+MOVES = 4
+
+
 def storyline(accounts: DataFrame, items: DataFrame, timeline: DataFrame) -> DataFrame:
     """community_id, stage, place, entity: five stages, each cut to its first rows. accounts: community_id, account_id; items: ordered evidence of communities."""
     def capped(rows: DataFrame, stage: str, by: list, keep: int) -> DataFrame:
@@ -142,7 +146,7 @@ def storyline(accounts: DataFrame, items: DataFrame, timeline: DataFrame) -> Dat
         capped(accounts.select("community_id", F.col("account_id").alias("entity")), "onboarding", ["entity"], 4),
         capped(of(("SHARED_INSTRUMENT_CONCENTRATION", "DEVICE_REUSE", "IP_CONCENTRATION", "HUB_ACCOUNT")), "infrastructure", ["by"], 4),
         capped(of(("TEMPORAL_BURST", "RAPID_INTERACTION", "HIGH_EVIDENCE_DENSITY")), "velocity", ["by"], 3),
-        timeline.filter("place <= 4").select("community_id", F.lit("movement").alias("stage"), "place", F.col("transaction_id").alias("entity")),
+        timeline.filter(F.col("place") <= MOVES).select("community_id", F.lit("movement").alias("stage"), "place", F.col("transaction_id").alias("entity")),
         capped(of(("MERCHANT_TEMPORAL_OVERLAP",)), "merchant", ["by"], 3),
     ]
     out = parts[0]
