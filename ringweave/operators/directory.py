@@ -27,6 +27,22 @@ def signals(items: DataFrame) -> DataFrame:
     return top.groupBy(F.col("entity_id").cast("long").alias("community_id")).agg(name(1), name(2), name(3))
 
 
+def tally(items: DataFrame, text: str | None = None) -> DataFrame:
+    """entity_type, entity_id, type, points, hit (whether the text finds one of them): what a directory reads of evidence, a row for each type of an entity. Items that are there twice count once."""
+    hit = _told(_text(text)) if _text(text) else F.lit(False)
+    each = items.groupBy("evidence_id", "entity_id", "entity_type", "type").agg(F.max("points").alias("points"), F.max(hit).alias("hit"))
+    return each.groupBy("entity_type", "entity_id", "type").agg(F.sum("points").alias("points"), F.max("hit").alias("hit"))
+
+
+def _text(text: str | None) -> str:
+    return (text or "").strip().lower()
+
+
+def _told(text: str) -> Column:
+    """Whether an item's type, title or supporting entities hold the text."""
+    return F.lower(F.concat_ws("\n", "type", "title", F.array_join("supporting_entities", "\n"))).contains(text)
+
+
 def _named(text: str) -> Column:
     """Whether a community's number (as such, as #number or as community #number), level or signals hold the text."""
     number = F.col("community_id").cast("string")
@@ -37,16 +53,15 @@ def _named(text: str) -> Column:
 def communities(rows: DataFrame, text: str | None = None, level: str | None = None, items: DataFrame | None = None) -> DataFrame:
     """Communities (community_id, risk_level, top_signal_1 to 3, ...) of a level that a text finds.
 
-    With `items`, evidence counts too: its type, title and supporting entities.
+    With `items`, evidence counts too: its type, title and supporting entities, or what `tally` found of these.
     """
     rows = equal(rows, risk_level=level)
-    text = (text or "").strip().lower()
+    text = _text(text)
     if not text:
         return rows
     if items is None:
         return rows.filter(_named(text))
-    told = F.lower(F.concat_ws("\n", "type", "title", F.array_join("supporting_entities", "\n")))
-    hits = items.filter(told.contains(text)).select(F.col("entity_id").cast("long").alias("community_id"), F.lit(True).alias("hit")).distinct()
+    hits = items.filter("hit" if "hit" in items.columns else _told(text)).select(F.col("entity_id").cast("long").alias("community_id"), F.lit(True).alias("hit")).distinct()
     return rows.join(hits.hint("merge"), "community_id", "left").filter(_named(text) | F.coalesce("hit", F.lit(False))).drop("hit")
 
 

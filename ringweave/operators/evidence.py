@@ -90,9 +90,10 @@ def _none() -> Column:
 
 def first_of(rows: DataFrame, keys: list[str], column: str, name: str, keep: int = SUPPORT) -> DataFrame:
     """keys, n (distinct values of `column`) and the first `keep` of these as an array: a hot key's values are counted, never gathered in a row."""
-    single = rows.select(*keys, column).dropna().distinct()
-    placed = single.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(column)))
-    return placed.groupBy(*keys).agg(F.max("k").cast("long").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= keep, F.col(column)))).alias(name))
+    single = rows.select(*keys, column).dropna().distinct().repartition(*keys)
+    # a number before the names, which sorts faster
+    placed = single.withColumn("key", F.xxhash64(*keys)).withColumn("k", F.row_number().over(W.partitionBy("key", *keys).orderBy(column)))
+    return placed.groupBy("key", *keys).agg(F.max("k").cast("long").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= keep, F.col(column)))).alias(name)).drop("key")
 
 
 def _kinds_of(rows: DataFrame, kinds: list[str], *keep: str) -> DataFrame:
@@ -113,7 +114,7 @@ def sharing(inside: DataFrame, *kinds: str) -> DataFrame:
 def _shared_items(found: DataFrame, kinds, entity_type: str, entity_id: Column, supporting: Column, metrics: dict[str, Column]) -> DataFrame:
     """Items on shared entities (kind, entity, n) of several kinds."""
     of = lambda make: F.coalesce(*(F.when(F.col("kind") == k, make(*SHARING[k])) for k in kinds))
-    return item(found, entity_type, entity_id, of(lambda name, _: F.lit(name)), of(lambda _, bounds: steps(F.col("n"), bounds)), F.col("entity"), F.format_string("%s: %d accounts", "entity", "n"), supporting, metrics)
+    return item(found, entity_type, entity_id, of(lambda name, _: F.lit(name)), of(lambda _, bounds: steps(F.col("n"), bounds)), F.col("entity"), F.concat("entity", F.lit(": "), "n", F.lit(" accounts")), supporting, metrics)
 
 
 def burst_windows(rows: DataFrame, key: str, seconds: int) -> DataFrame:
@@ -192,7 +193,7 @@ def hubs(membership: DataFrame, inside: DataFrame, entity_type: str = "COMMUNITY
     severity = hub_severity(F.col("degree"), F.col("p")[0], F.col("p")[1], F.col("p")[2])
     metrics = {"account_id": F.col("account_id"), "degree": F.col("degree"), "percentile_rank": F.bround("rank_pct", 1), "p50": F.bround(F.col("p")[0], 1), "p75": F.bround(F.col("p")[1], 1), "p95": F.bround(F.col("p")[2], 1), "community_size": F.col("members")}
     entity = F.col("community_id") if entity_type == "COMMUNITY" else F.col("account_id")
-    return item(rows, entity_type, entity, "HUB_ACCOUNT", severity, F.col("account_id"), F.format_string("%s has %d links", "account_id", "degree"), F.array("account_id"), metrics)
+    return item(rows, entity_type, entity, "HUB_ACCOUNT", severity, F.col("account_id"), F.concat("account_id", F.lit(" has "), "degree", F.lit(" links")), F.array("account_id"), metrics)
 
 
 def layers() -> tuple[Column, Column]:
@@ -205,17 +206,22 @@ def multi_layer(inside: DataFrame) -> DataFrame:
     n, names = layers()
     rows = inside.withColumn("n", n).withColumn("names", names)
     metrics = {"account_a": F.col("src"), "account_b": F.col("dst"), "layer_count": F.col("n"), "layers": F.col("names")}
-    return item(rows, "COMMUNITY", F.col("community_id"), "MULTI_LAYER_EVIDENCE", steps(F.col("n"), (3, 2), ("HIGH", "MEDIUM")), F.concat_ws(":", "src", "dst"), F.format_string("%s and %s: %d kinds", "src", "dst", "n"), F.array("src", "dst"), metrics)
+    return item(rows, "COMMUNITY", F.col("community_id"), "MULTI_LAYER_EVIDENCE", steps(F.col("n"), (3, 2), ("HIGH", "MEDIUM")), F.concat_ws(":", "src", "dst"), F.concat("src", F.lit(" and "), "dst", F.lit(": "), "n", F.lit(" kinds")), F.array("src", "dst"), metrics)
 
 
 def community_evidence(membership: DataFrame, inside: DataFrame, transactions: DataFrame, features: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Evidence on communities; features: those of DENSITY at least. rows: what `member_transactions` gives, where that is stored."""
+    return distinct_items(community_items(membership, inside, transactions, features, rows))
+
+
+def community_items(membership: DataFrame, inside: DataFrame, transactions: DataFrame, features: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The same, in which an item that is found twice is there twice."""
     if rows is None:
         # windows, their support and gaps all read these
         rows = cut(member_transactions(membership, transactions.select("transaction_id", "timestamp", "src_account_id", "dst_account_id")), "member-rows")
     rows = rows.select("community_id", "timestamp", "transaction_id")
     parts = [sharing(inside, *SHARING), bursts(rows, "community_id", "COMMUNITY"), rapid(rows, "community_id", "COMMUNITY"), density(features), hubs(membership, inside), multi_layer(inside)]
-    return distinct_items(_union(parts))
+    return _union(parts)
 
 
 def account_evidence(membership: DataFrame, inside: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -242,7 +248,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def distinct_items(items: DataFrame) -> DataFrame:
-    return items.dropDuplicates(["entity_type", "entity_id", "evidence_id"])
+    # repeated items are few: all move at once, and are sorted by what tells most of them apart
+    return items.repartition("evidence_id").dropDuplicates(["evidence_id", "entity_id", "entity_type"])
 
 
 def severity_order(severity: Column) -> Column:
@@ -255,10 +262,15 @@ def ordered(items: DataFrame) -> DataFrame:
     return items.withColumn("place", place)
 
 
+def score() -> Column:
+    """The score of rows with points: their sum, 100 at most."""
+    return F.least(F.lit(100), F.sum("points")).cast("int")
+
+
 def scores(items: DataFrame) -> DataFrame:
     """Per entity: score (at most 100), raw score, items by severity."""
     n = lambda s: F.count_if(F.col("severity") == s).alias(s.lower() + "_count")
-    return items.groupBy("entity_type", "entity_id").agg(F.least(F.lit(100), F.sum("points")).cast("int").alias("evidence_score"), F.sum("points").alias("raw_score"), F.count("*").alias("item_count"), *map(n, POINTS))
+    return items.groupBy("entity_type", "entity_id").agg(score().alias("evidence_score"), F.sum("points").alias("raw_score"), F.count("*").alias("item_count"), *map(n, POINTS))
 
 
 def families(items: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import modulo, stable_float, stable_int
 
@@ -55,8 +55,8 @@ class Network:
     def raw(self) -> DataFrame:
         return self.raw_of(self.read("orders"))
 
-    def raw_of(self, orders: DataFrame) -> DataFrame:
-        """tx_id, row_seq, src_id, dst_id, amount, timestamp of orders, which may be a stream."""
+    def raw_of(self, orders: DataFrame, *also: Column) -> DataFrame:
+        """tx_id, row_seq, src_id, dst_id, amount, timestamp of orders, which may be a stream; and other columns of theirs."""
         o, c, p = F.col("o_orderkey"), F.col("o_custkey"), self.communities
         seconds = (o % 60) * 86400 + (o * 7919) % (3600 * (1 + (c % p) % 6))
         return orders.select(
@@ -68,14 +68,17 @@ class Network:
             F.timestamp_seconds(F.lit(1704067200) + seconds).alias("timestamp"),
             F.col("o_orderstatus").alias("status_code"),
             F.substring("o_orderpriority", 1, 1).alias("priority"),
+            *also,
         )
 
     @cached_property
     def transactions(self) -> DataFrame:
         """The ledger: transaction_id, row_seq, timestamp, amount, both accounts, merchant_id, payment_method, transaction_status."""
-        merchant = self.read("lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("mch_"), F.min("l_suppkey")).alias("merchant_id"))
+        # numbers are joined, and names made of them afterwards
+        merchant = self.read("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("suppkey"))
+        orders = self.read("orders").join(merchant, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         named = lambda c, values: F.coalesce(*(F.when(F.col(c) == k, v) for k, v in values.items()))
-        return self.raw.join(merchant, F.col("row_seq") == F.col("l_orderkey"), "left").select(
+        return self.raw_of(orders, F.concat(F.lit("mch_"), "suppkey").alias("merchant_id")).select(
             F.col("tx_id").alias("transaction_id"), "row_seq", "timestamp", "amount", F.col("src_id").alias("src_account_id"), F.col("dst_id").alias("dst_account_id"), "merchant_id",
             named("priority", METHODS).alias("payment_method"), named("status_code", STATUSES).alias("transaction_status"),
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import communities, contracts, directory, evidence, features, filters, graph, labels, marts, scoring, slices
+from ..operators.stored import cut
 from . import queries_graph as base
 from . import queries_marts as more
 from .network import Network, sql
@@ -40,10 +41,12 @@ dir AS (SELECT community_id, risk_score,
 )
 
 
-def directory_of(net: Network) -> DataFrame:
-    rows = more.scores_of(net).select("community_id", "risk_score")
-    rows = rows.join(directory.signals(evidence_of(net)).hint("merge"), "community_id")
-    return rows.withColumn("risk_level", directory.level_of(F.col("risk_score")))
+def directory_of(net: Network, text: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Communities with score, level and signals, and where a text finds evidence. A row for each type of a community's evidence is stored, and no items."""
+    types = cut(directory.tally(base.items_of(net), text), "tally")
+    rows = types.groupBy(F.col("entity_id").cast("long").alias("community_id")).agg(evidence.score().alias("risk_score"))
+    rows = rows.join(directory.signals(types).hint("merge"), "community_id")
+    return rows.withColumn("risk_level", directory.level_of(F.col("risk_score"))), types
 
 
 @register(
@@ -53,7 +56,7 @@ def directory_of(net: Network) -> DataFrame:
     _DIRECTORY,
 )
 def community_search(net: Network) -> DataFrame:
-    return directory.communities(directory_of(net), " Hub ", "HIGH").select("community_id", "risk_score", "risk_level", "top_signal_1", "top_signal_2", "top_signal_3")
+    return directory.communities(directory_of(net)[0], " Hub ", "HIGH").select("community_id", "risk_score", "risk_level", "top_signal_1", "top_signal_2", "top_signal_3")
 
 
 @register(
@@ -62,7 +65,8 @@ def community_search(net: Network) -> DataFrame:
     _DIRECTORY,
 )
 def triage_search(net: Network) -> DataFrame:
-    return directory.communities(directory_of(net), "burst", None, evidence_of(net)).select("community_id", "risk_level")
+    rows, types = directory_of(net, "burst")
+    return directory.communities(rows, "burst", None, types).select("community_id", "risk_level")
 
 
 @register(

@@ -83,8 +83,13 @@ def labels_of(net: Network) -> DataFrame:
     return labels.community_labels(net.membership, labels.ring_members(net.rings))
 
 
+def items_of(net: Network) -> DataFrame:
+    """Evidence on communities for queries that read it once: not stored, and what isn't asked for isn't made. An item may be there twice."""
+    return evidence.community_items(net.membership, inside_of(net), ledger_of(net), features_of(net, *evidence.DENSITY), member_times_of(net))
+
+
 def evidence_of(net: Network) -> DataFrame:
-    return once(net, "evidence", lambda: evidence.community_evidence(net.membership, inside_of(net), ledger_of(net), features_of(net, *evidence.DENSITY), member_times_of(net)))
+    return once(net, "evidence", lambda: evidence.distinct_items(items_of(net)))
 
 
 # --- hashes and enrichment -------------------------------------------------
