@@ -446,7 +446,7 @@ _TOLD = [
 def evidence_texts(net: Network) -> DataFrame:
     """Titles and descriptions of the communities' evidence; titles with decimal fractions are left out, as engines write them differently."""
     whole = ~F.col("type").isin("RAPID_INTERACTION", "HIGH_EVIDENCE_DENSITY")
-    return evidence.described(evidence_of(net)).select("evidence_id", "entity_id", F.when(whole, F.col("title")).alias("title"), "description")
+    return evidence.described(evidence.distinct_items(items_of(net))).select("evidence_id", "entity_id", F.when(whole, F.col("title")).alias("title"), "description")
 
 
 _ACCOUNT = _WINDOWS.replace("member_tx", "own_tx").replace("community_id", "account_id")

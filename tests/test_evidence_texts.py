@@ -27,3 +27,13 @@ def test_each_type_has_a_text(spark):
     empty = evidence.described(spark.createDataFrame([], ITEM))
     assert empty.count() == 0 and dict(empty.dtypes)["description"] == "string"
     assert empty.select(F.col("description")).schema[0].nullable
+
+
+def test_texts_store_no_items(spark, monkeypatch):
+    from ringweave.plans import queries_graph
+
+    stored = []
+    monkeypatch.setattr(queries_graph.communities, "cut", lambda df, name, old=queries_graph.communities.cut: stored.append(name) or old(df, name))
+    found = queries_graph.QUERIES["evidence_texts"](spark, "/root/testdata/sf0.001")
+    assert found.count() == found.distinct().count() == 295
+    assert "ledger" in stored and "evidence" not in stored
