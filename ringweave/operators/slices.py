@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .evidence import degrees
 from .graph import mirrored, parties, project
@@ -156,9 +158,11 @@ def storyline(accounts: DataFrame, items: DataFrame, timeline: DataFrame) -> Dat
 
 
 def _ways(edges: DataFrame) -> DataFrame:
-    """What paths go along, stored: each edge from either end (account_id, peer), or, given classes (class_id, account_id: what `incidence.memberships` returns), these."""
+    """What paths go along, stored: each edge from either end (account_id, peer), or, given classes (class_id, account_id: what `incidence.memberships` returns), those of two accounts or more."""
     if "class_id" in edges.columns:
-        return cut(edges.select("class_id", "account_id"), "reach-classes")
+        of = W.partitionBy("class_id").orderBy("account_id")
+        some = edges.select("class_id", "account_id").withColumns({"place": F.row_number().over(of), "next": F.lead("account_id").over(of)}).filter("place > 1 OR next IS NOT NULL")
+        return cut(some.select("class_id", "account_id"), "reach-classes")
     return cut(mirrored(edges.select("src", "dst")).select("account_id", "peer"), "reach-edges")
 
 
@@ -182,12 +186,21 @@ def _next(both: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """The accounts one step beyond the last of `levels`, with the smallest account that they are reached from. Neighbours of a level lie in it, before it or beyond it, so only two levels are looked up."""
     step = _near(both, levels[-1])
     for known in levels[-2:]:
-        step = step.join(known.select("account_id").hint("merge"), "account_id", "left_anti")
+        # an outer join, as an anti join would be pushed below the grouping, where it shuffles all that paths go along
+        step = step.join(known.select("account_id", F.lit(True).alias("known")).hint("merge"), "account_id", "left").filter("known IS NULL").drop("known")
     return cut(step.select("account_id", F.lit(len(levels)).alias("hops"), "parent"), "reach-frontier")
 
 
+def _few(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table, for which no Python worker starts."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    kind = ",".join(c.replace(" ", ":") for c in schema.split(", "))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
 def _start(both: DataFrame, account: str) -> DataFrame:
-    return both.sparkSession.createDataFrame([(account, 0, None)], "account_id string, hops int, parent string")
+    return _few(both.sparkSession, [(account, 0, None)], "account_id string, hops int, parent string")
 
 
 def reach(edges: DataFrame, start: str, depth: int | None = 6) -> DataFrame:
@@ -227,11 +240,11 @@ def _hops(both: DataFrame, start: str, end: str) -> list[tuple[str, str]]:
     alive = [cut(met.select("account_id"), "reach-met")]
     for level in sides[1][-2::-1]:
         near = _near(both, alive[-1]).select("account_id")
-        alive.append(cut(near.join(level.select("account_id").hint("merge"), "account_id", "left_semi"), "reach-met"))
+        alive.append(cut(near.join(level.select("account_id").hint("merge"), "account_id"), "reach-met"))
     path, at = [], end
     for on_path in alive[-2::-1]:
-        one = both.sparkSession.createDataFrame([(at,)], "account_id string")
-        last = _near(both, one).join(on_path.select("account_id").hint("merge"), "account_id", "left_semi").agg(F.min("account_id")).first()[0]
+        one = _few(both.sparkSession, [(at,)], "account_id string")
+        last = _near(both, one).join(on_path.select("account_id").hint("merge"), "account_id").agg(F.min("account_id")).first()[0]
         path.append((last, at))
         at = last
     for level in sides[0][:0:-1]:
@@ -243,7 +256,7 @@ def _hops(both: DataFrame, start: str, end: str) -> list[tuple[str, str]]:
 
 def _path(edges: DataFrame, start: str, end: str) -> DataFrame:
     hops = [(k + 1, a, b, min(a, b), max(a, b)) for k, (a, b) in enumerate(_hops(_ways(edges), start, end))]
-    return edges.sparkSession.createDataFrame(hops, "hop int, src string, dst string, a string, b string")
+    return _few(edges.sparkSession, hops, "hop int, src string, dst string, a string, b string")
 
 
 def class_path(classes: DataFrame, start: str, end: str, accounts: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:

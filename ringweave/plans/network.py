@@ -96,7 +96,8 @@ class Network:
         instrument = F.when(stable_float(key, "42-share-ins") < 0.08, F.concat(F.lit("ins_s"), k % p)).otherwise(F.concat(F.lit("ins_"), k))
         ip = F.when(k % 4 == 0, F.concat(F.lit("ip_s"), k % p)).otherwise(F.concat(F.lit("ip_"), modulo(stable_int(key, "42-pick-ip"), max(8, self.n // 2))))
         kinds = F.array(*(F.struct(F.lit(n).alias("kind"), c.alias("entity_id")) for n, c in (("devices", device), ("instruments", instrument), ("ips", ip))))
-        return self.read("customer").select(key.alias("account_id"), F.explode(kinds).alias("x")).select("x.kind", "account_id", "x.entity_id")
+        # keys are a small file, which few tasks read, and hashes take time
+        return self.read("customer").select("c_custkey").repartition("c_custkey").select(key.alias("account_id"), F.explode(kinds).alias("x")).select("x.kind", "account_id", "x.entity_id")
 
     @cached_property
     def rings(self) -> DataFrame:

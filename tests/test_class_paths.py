@@ -31,3 +31,19 @@ def test_a_hot_class_makes_no_pairs(spark):
     """20,000 accounts at one address are 200 million pairs."""
     classes = spark.range(20_000).select(F.lit("ips||x").alias("class_id"), F.concat(F.lit("a"), "id").alias("account_id"))
     assert slices.shortest_path(classes, "a3", "a17000").collect() == [(1, "a3", "a17000")]
+
+
+def test_classes_of_one_account_are_no_ways(spark):
+    rows = [("ips||x", "a1"), ("ips||x", "a2"), ("devices||d1", "a1"), ("devices||d2", "a2"), ("ips||y", "a2"), ("ips||y", "a3")]
+    ways = slices._ways(spark.createDataFrame(rows, "class_id string, account_id string"))
+    assert sorted(map(tuple, ways.collect())) == [("ips||x", "a1"), ("ips||x", "a2"), ("ips||y", "a2"), ("ips||y", "a3")]
+
+
+def test_starts_and_paths_need_no_python_worker(spark):
+    classes = spark.range(3).select(F.lit("ips||x").alias("class_id"), F.concat(F.lit('a"\\'), "id").alias("account_id"))
+    path = slices.shortest_path(classes, 'a"\\0', 'a"\\2')
+    for table in (slices._start(classes, 'a"\\0'), path):
+        assert "ExistingRDD" not in table._jdf.queryExecution().toString()
+    assert path.collect() == [(1, 'a"\\0', 'a"\\2')]
+    assert slices._start(classes, "a").collect() == [("a", 0, None)]
+    assert slices.shortest_path(classes, 'a"\\0', "b").collect() == []
